@@ -35,9 +35,10 @@ def or_zero(column: Column, zero: float | int = 0) -> Column:
 
 
 def missing_count(columns: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in columns])
+    return F.expr(" + ".join(f"cast(`{c}` is null as int)" for c in columns))
 
 
 def missing_names(columns: list[str]) -> Column:
     """Names of the NULL columns, in the given order."""
-    return F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]))
+    names = ", ".join(f"if(`{c}` is null, '{c}', null)" for c in columns)
+    return F.expr(f"array_compact(array({names}))")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,27 @@ BLOCK_SHIFT = 5
 BROADCAST_BLOCKS = 1_000_000
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """The wanted cells, and their blocks where those are few enough to broadcast."""
+
+    cells: DataFrame
+    blocks: DataFrame | None
+
+    def restrict(self, pixels: DataFrame) -> DataFrame:
+        """Rows of `pixels` on a wanted cell.
+
+        Blocks go first and drop most pixels in the scan stage; the exact semi join then only
+        moves the pixels near a geometry. Without blocks the exact semi join alone does the work.
+        """
+        if self.blocks is not None:
+            near = _with_block(pixels).join(
+                F.broadcast(self.blocks), ["block_x", "block_y"], "left_semi"
+            )
+            pixels = near.drop("block_x", "block_y")
+        return pixels.join(self.cells, ["cell_x", "cell_y"], "left_semi")
+
+
 def _with_block(frame: DataFrame) -> DataFrame:
     return frame.withColumns(
         {
@@ -20,16 +43,9 @@ def _with_block(frame: DataFrame) -> DataFrame:
     )
 
 
-def within_bounds(pixels: DataFrame, cells: DataFrame) -> DataFrame:
-    """Rows of `pixels` whose cell is in `cells`.
-
-    Blocks go first: where their number allows a broadcast, most pixels are dropped in the scan
-    stage. The exact semi join then only moves the pixels near a geometry. Beyond the limit the
-    exact semi join alone does the work.
-    """
+def bounds_of(cells: DataFrame, broadcast_blocks: int = BROADCAST_BLOCKS) -> Bounds:
+    """Bounds of the given cells; counts their blocks once, at most to the limit."""
     wanted = cells.select("cell_x", "cell_y").distinct()
     blocks = _with_block(wanted).select("block_x", "block_y").distinct()
-    if blocks.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
-        near = _with_block(pixels).join(F.broadcast(blocks), ["block_x", "block_y"], "left_semi")
-        pixels = near.drop("block_x", "block_y")
-    return pixels.join(wanted, ["cell_x", "cell_y"], "left_semi")
+    few = blocks.limit(broadcast_blocks + 1).count() <= broadcast_blocks
+    return Bounds(wanted, blocks if few else None)

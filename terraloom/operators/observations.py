@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terraloom.config import AnalysisConfig
 from terraloom.functions.calendar import epoch_millis, last_day, number_days, period_end
 from terraloom.functions.et_quality import cloud_code, et_per_day, et_period, good_flag
-from terraloom.functions.masks import flag, missing_count, missing_names, or_zero
+from terraloom.functions.masks import flag, missing_count, missing_names
 from terraloom.schemas import (
     MISSING_STATISTIC,
     OBSERVATION_COLUMNS,
@@ -103,7 +103,7 @@ def with_missing_statistics(frame: DataFrame, statistics: list[str] | None = Non
             "missing_keys": missing_names(statistics),
         }
     )
-    return counted.withColumns({c: or_zero(F.col(c), MISSING_STATISTIC) for c in statistics})
+    return counted.fillna(MISSING_STATISTIC, subset=statistics)
 
 
 def with_row_status(frame: DataFrame, config: AnalysisConfig) -> DataFrame:
@@ -120,8 +120,8 @@ def with_row_status(frame: DataFrame, config: AnalysisConfig) -> DataFrame:
 
 def output_columns(frame: DataFrame) -> DataFrame:
     """The output contract: names, order and types."""
-    return frame.select(
-        *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in OUTPUT_SCHEMA.fields]
+    return frame.selectExpr(
+        *[f"cast(`{f.name}` as {f.dataType.simpleString()}) as `{f.name}`" for f in OUTPUT_SCHEMA]
     )
 
 

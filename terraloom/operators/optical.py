@@ -46,10 +46,15 @@ def clear_pixels(
     return link_cloud_score(pixels.filter(all_present(bands)), cloud).filter(is_clear(threshold))
 
 
+def _last_pixel(bands: list[str]) -> list[Column]:
+    """Fields whose maximum is the last scene's pixel; the bands settle conflicting copies."""
+    return [F.col("ts"), F.col("scene_id"), *[F.col(b) for b in bands]]
+
+
 def daily_mosaic(clear: DataFrame, bands: list[str], keys: list[str]) -> DataFrame:
     """Per `keys` (cell and day): the bands of the last scene by (ts, scene_id)."""
-    last = F.max_by(F.struct(*bands), F.struct("ts", "scene_id")).alias("__last")
-    return clear.groupBy(*keys).agg(last).select(*keys, "__last.*")
+    last = clear.groupBy(*keys).agg(F.max(F.struct(*_last_pixel(bands))).alias("__last"))
+    return last.select(*keys, *[F.col(f"__last.{b}").alias(b) for b in bands])
 
 
 def daily_stack(clear: DataFrame, bands: list[str]) -> DataFrame:
@@ -59,11 +64,8 @@ def daily_stack(clear: DataFrame, bands: list[str]) -> DataFrame:
     combined before the shuffle, and its single shuffle key is the period and cell.
     """
     slot = F.datediff(F.col("dd"), F.col("period_start"))
-    pixel = F.struct(slot.alias("slot"), *bands)
-    order = F.struct("ts", "scene_id")
-    slots = [
-        F.max_by(pixel, F.when(slot == i, order)).alias(f"__day{i}") for i in range(PERIOD_DAYS)
-    ]
+    pixel = F.struct(*_last_pixel(bands), slot.alias("slot"))
+    slots = [F.max(F.when(slot == i, pixel)).alias(f"__day{i}") for i in range(PERIOD_DAYS)]
     stacked = clear.groupBy(*PERIOD_CELL).agg(*slots)
     days = F.array_compact(F.array(*[F.col(f"__day{i}") for i in range(PERIOD_DAYS)]))
     return stacked.select(*PERIOD_CELL, days.alias("days"))
@@ -75,31 +77,25 @@ def medoid(stack: DataFrame, bands: list[str]) -> DataFrame:
     Twice the median is an integer for an even count as well, so the distance is taken between
     doubled values. Days are at most eight, so this is a projection, not a join.
     """
-    size = F.size("days")
     # A field of an array of structs is the array of that field.
-    ranked = stack.withColumns({f"__{b}": F.sort_array(F.col(f"days.{b}")) for b in bands})
-
-    def middle(band: str) -> Column:
-        values = F.col(f"__{band}")
-        low = F.element_at(values, F.floor((size + 1) / 2).cast("int"))
-        high = F.element_at(values, (F.floor(size / 2) + 1).cast("int"))
-        return low.cast("bigint") + high.cast("bigint")
-
-    centred = ranked.select(*PERIOD_CELL, "days", *[middle(b).alias(f"__{b}") for b in bands])
-
-    def scored(day: Column) -> Column:
-        gaps = [day[b].cast("bigint") * 2 - F.col(f"__{b}") for b in bands]
-        score = reduce(lambda a, b: a + b, [g * g for g in gaps])
-        return F.struct(score.alias("score"), *[day[c].alias(c) for c in ("slot", *bands)])
-
-    best = F.array_min(F.transform("days", scored))
-    chosen = centred.select(*PERIOD_CELL, F.size("days").alias("clear_days"), best.alias("__best"))
-    date_key = F.date_add(F.col("period_start"), F.col("__best.slot")).cast("string")
-    return chosen.select(
+    ranked = stack.selectExpr("*", *[f"sort_array(days.{b}) as sorted_{b}" for b in bands])
+
+    def middle(band: str) -> str:
+        low = f"sorted_{band}[(size(days) - 1) div 2]"
+        high = f"sorted_{band}[size(days) div 2]"
+        return f"cast({low} as bigint) + cast({high} as bigint) as twice_{band}"
+
+    centred = ranked.selectExpr(*PERIOD_CELL, "days", *[middle(b) for b in bands])
+    gaps = [f"(2 * cast(d.{b} as bigint) - twice_{b})" for b in bands]
+    fields = [f"'score', {' + '.join(f'{g} * {g}' for g in gaps)}", "'slot', d.slot"]
+    fields += [f"'{b}', d.{b}" for b in bands]
+    best = f"array_min(transform(days, d -> named_struct({', '.join(fields)}))) as best"
+    chosen = centred.selectExpr(*PERIOD_CELL, "size(days) as clear_days", best)
+    return chosen.selectExpr(
         *PERIOD_CELL,
         "clear_days",
-        date_key.alias("date_key"),
-        *[F.col(f"__best.{b}").alias(b) for b in bands],
+        "cast(date_add(period_start, best.slot) as string) as date_key",
+        *[f"best.{b} as {b}" for b in bands],
     )
 
 

@@ -10,12 +10,18 @@ from terraloom.operators.optical import PERIOD_CELL
 from terraloom.operators.periods import assign_period
 
 
-def most_scenes_in_a_period(scenes: DataFrame, periods: DataFrame) -> int:
-    """Largest number of catalogue scenes in one period.
-
-    A cell has one value per scene, so this bounds the distinct values of any (period, cell). The
-    catalogue has one row per scene; one number reaches the driver.
+def most_scenes_in_a_period(
+    scenes: DataFrame, periods: DataFrame, enough: int = HOT_ROWS
+) -> int:
+    """A bound on the number of catalogue scenes in one period.
+
+    A cell has one value per scene, so this bounds the distinct values of any (period, cell). A
+    catalogue of at most `enough` rows bounds itself; a longer one is counted per period. One
+    number reaches the driver.
     """
+    total = scenes.limit(enough + 1).count()
+    if total <= enough:
+        return total
     dated = assign_period(scenes.select("scene_id", "ts"), "ts", periods)
     per_period = dated.groupBy("period_start").agg(F.count(F.lit(1)).alias("n"))
     return per_period.agg(F.coalesce(F.max("n"), F.lit(0))).head()[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CELL = ["cell_x", "cell_y"]
@@ -66,19 +66,18 @@ def zonal_statistics(predictors: DataFrame, bridge: DataFrame, bands: list[str])
     predictors hold one row per period and cell, so a group never exceeds its geometry's cells.
     """
     placed = predictors.join(bridge, CELL).select(*ZONE, "weight", *bands)
-    zone = Window.partitionBy(*ZONE)
+    zone = f"over (partition by {', '.join(ZONE)})"
 
-    def share(band: str):
-        return F.when(F.col(band).isNotNull(), F.col("weight"))
+    def area(band: str) -> str:
+        return f"sum(if({band} is not null, weight, null))"
 
-    means = {
-        f"__{b}": F.sum(F.col("weight") * F.col(b)).over(zone) / F.sum(share(b)).over(zone)
-        for b in bands
-    }
-    centred = placed.withColumns(means)
+    means = [f"sum(weight * {b}) {zone} / {area(b)} {zone} as mean_{b}" for b in bands]
+    centred = placed.selectExpr("*", *means)
     stats = []
     for b in bands:
-        gap = F.col(b) - F.col(f"__{b}")
-        variance = F.sum(F.col("weight") * gap * gap) / F.sum(share(b))
-        stats += [F.first(f"__{b}").alias(f"{b}_mean"), F.sqrt(variance).alias(f"{b}_stdDev")]
+        spread = f"sum(weight * ({b} - mean_{b}) * ({b} - mean_{b}))"
+        stats += [
+            F.expr(f"first(mean_{b}) as {b}_mean"),
+            F.expr(f"sqrt({spread} / {area(b)}) as {b}_stdDev"),
+        ]
     return centred.groupBy(*ZONE).agg(*stats)

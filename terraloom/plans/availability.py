@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from terraloom.config import AnalysisConfig
 from terraloom.functions.masks import or_zero
-from terraloom.operators.bounds import within_bounds
+from terraloom.operators.bounds import Bounds, bounds_of
 from terraloom.operators.observations import et_at_sites, with_period_columns, with_validity
 from terraloom.operators.optical import PERIOD_CELL, clear_pixels
 from terraloom.operators.periods import assign_period, composite_periods
 from terraloom.operators.radar import radar_valid_cells
 from terraloom.operators.stations import observation_grid
+from terraloom.operators.storage import written
 from terraloom.operators.zonal import coverage, footprint_cells_of, scene_dates
 from terraloom.plans.inputs import Inputs, Places
 from terraloom.schemas import OPTICAL_BANDS
@@ -20,44 +21,48 @@ from terraloom.sources.scans import scan_cloud, scan_et, scan_optical, scan_rada
 
 
 def periods_of(inputs: Inputs, config: AnalysisConfig) -> DataFrame:
-    return composite_periods(scan_et(inputs.et_pixels, config))
+    """The composites of the window, written once: many joins of one run read this short list."""
+    return written(composite_periods(scan_et(inputs.et_pixels, config)).coalesce(1), "periods")
 
 
 def optical_rows(
-    inputs: Inputs, cells: DataFrame, periods: DataFrame, config: AnalysisConfig
+    inputs: Inputs, bounds: Bounds, periods: DataFrame, config: AnalysisConfig
 ) -> DataFrame:
     """Optical pixels near the geometries, with their day and period."""
-    near = within_bounds(scan_optical(inputs.optical_pixels, config), cells)
+    near = bounds.restrict(scan_optical(inputs.optical_pixels, config))
     return assign_period(near, "ts", periods)
 
 
 def clear_rows(
-    inputs: Inputs, cells: DataFrame, periods: DataFrame, config: AnalysisConfig
+    inputs: Inputs, bounds: Bounds, periods: DataFrame, config: AnalysisConfig
 ) -> DataFrame:
     """Valid optical pixels near the geometries. Both join inputs are restricted first."""
-    cloud = within_bounds(scan_cloud(inputs.cloud_pixels, config), cells)
-    rows = optical_rows(inputs, cells, periods, config)
+    cloud = bounds.restrict(scan_cloud(inputs.cloud_pixels, config))
+    rows = optical_rows(inputs, bounds, periods, config)
     return clear_pixels(rows, cloud, list(OPTICAL_BANDS), config.clear_threshold)
 
 
 def radar_rows(
-    inputs: Inputs, cells: DataFrame, periods: DataFrame, config: AnalysisConfig
+    inputs: Inputs, bounds: Bounds, periods: DataFrame, config: AnalysisConfig
 ) -> DataFrame:
-    near = within_bounds(inputs.sar_pixels, cells)
+    near = bounds.restrict(inputs.sar_pixels)
     return assign_period(scan_radar(inputs.sar_scenes, near, config), "ts", periods)
 
 
-def availability(inputs: Inputs, places: Places, config: AnalysisConfig) -> DataFrame:
+def availability(
+    inputs: Inputs, places: Places, config: AnalysisConfig, periods: DataFrame | None = None
+) -> DataFrame:
     """One row per site and composite.
 
     Coverage and scene dates are computed per footprint, so stations in one ET cell share them.
     Pixel values stay out of this stage: only masks and keys are shuffled.
     """
-    periods = periods_of(inputs, config)
+    periods = periods_of(inputs, config) if periods is None else periods
     footprints = footprint_cells_of(places.bridge)
-    clear = clear_rows(inputs, footprints, periods, config)
-    seen = optical_rows(inputs, footprints, periods, config)
-    radar = radar_rows(inputs, footprints, periods, config)
+    bounds = bounds_of(footprints)
+    clear = clear_rows(inputs, bounds, periods, config)
+    seen = optical_rows(inputs, bounds, periods, config)
+    radar = radar_rows(inputs, bounds, periods, config)
 
     s2_share = coverage(clear.select(*PERIOD_CELL).distinct(), footprints)
     s1_share = coverage(radar_valid_cells(radar), footprints)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.config import AnalysisConfig
+from terraloom.operators.bounds import bounds_of
 from terraloom.operators.observations import (
     output_columns,
     unfold_scales,
@@ -57,10 +58,13 @@ class TrainingTables:
 
 
 def meteorology(
-    observations: DataFrame, inputs: Inputs, places: Places, config: AnalysisConfig
+    observations: DataFrame,
+    inputs: Inputs,
+    places: Places,
+    config: AnalysisConfig,
+    periods: DataFrame,
 ) -> DataFrame:
     """Add all weather columns to observations keyed by site and `period_start` (DATE)."""
-    periods = periods_of(inputs, config)
     hourly = scan_hourly(inputs.met_hourly, config)
     rain = scan_rain(inputs.rain_daily, config)
     lookback = config.rain_lookback_days
@@ -90,21 +94,24 @@ def needed_cells(valid: DataFrame, bridge: DataFrame) -> DataFrame:
 
 
 def predictor_statistics(
-    valid: DataFrame, inputs: Inputs, places: Places, config: AnalysisConfig
+    valid: DataFrame,
+    inputs: Inputs,
+    places: Places,
+    config: AnalysisConfig,
+    periods: DataFrame,
 ) -> DataFrame:
     """The 32 statistics per geometry, scale and period, from pixels of valid observations only.
 
     Optical and radar composites stay apart down to the statistics: their masks are independent,
     and joining statistics is far smaller than joining pixels.
     """
-    periods = periods_of(inputs, config)
     needed = needed_cells(valid, places.bridge)
-    cells = places.bridge.select("cell_x", "cell_y")
-    clear = clear_rows(inputs, cells, periods, config).join(needed, PERIOD_CELL, "left_semi")
+    bounds = bounds_of(places.bridge)
+    clear = clear_rows(inputs, bounds, periods, config).join(needed, PERIOD_CELL, "left_semi")
     bands = list(OPTICAL_BANDS)
     optical = optical_predictors(medoid(daily_stack(clear, bands), bands))
 
-    radar = radar_rows(inputs, cells, periods, config).join(needed, PERIOD_CELL, "left_semi")
+    radar = radar_rows(inputs, bounds, periods, config).join(needed, PERIOD_CELL, "left_semi")
     largest = most_scenes_in_a_period(select_radar_scenes(inputs.sar_scenes, config), periods)
     backscatter = radar_medians(radar, largest)
 
@@ -129,7 +136,8 @@ def build_training_tables(
     Valid observations are few and steer all heavy work, so they are written once; the scans for
     the statistics then read pixels of valid observations only.
     """
-    table = valid_observations(availability(inputs, places, config))
+    periods = periods_of(inputs, config)
+    table = valid_observations(availability(inputs, places, config, periods))
     if work is not None:
         day = F.col("period_date")
         keyed = table.withColumns(
@@ -146,9 +154,9 @@ def build_training_tables(
         "period_start", F.col("period_date")
     )
     with_weather = (
-        meteorology(weather_keyed, inputs, places, config)
+        meteorology(weather_keyed, inputs, places, config, periods)
         .drop("period_start")
         .withColumnRenamed("period_text", "period_start")
     )
-    statistics = predictor_statistics(valid, inputs, places, config)
+    statistics = predictor_statistics(valid, inputs, places, config, periods)
     return TrainingTables(output_columns(assemble_rows(with_weather, statistics, config)))

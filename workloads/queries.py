@@ -19,7 +19,7 @@ from terraloom.operators import (
     worklist,
     zonal,
 )
-from terraloom.operators.bounds import within_bounds
+from terraloom.operators.bounds import Bounds, bounds_of
 from terraloom.operators.medians import exact_medians
 from terraloom.operators.resample import resample_bilinear
 from terraloom.plans import availability as avail
@@ -55,11 +55,11 @@ def query(function: Query) -> Query:
 
 def rounded(frame: DataFrame) -> DataFrame:
     """Round doubles to six places, the precision of the comparison; adding 0.0 drops a minus zero."""
-    return frame.select(
+    return frame.selectExpr(
         *[
-            (F.round(F.col(f"`{f.name}`"), 6) + F.lit(0.0)).alias(f.name)
+            f"round(`{f.name}`, 6) + 0D as `{f.name}`"
             if isinstance(f.dataType, T.DoubleType)
-            else F.col(f"`{f.name}`")
+            else f"`{f.name}`"
             for f in frame.schema.fields
         ]
     )
@@ -73,14 +73,18 @@ def _footprints(spark: SparkSession, sf: str) -> DataFrame:
     return zonal.footprint_cells_of(standins.bridge(spark, sf))
 
 
+def _bounds(spark: SparkSession, sf: str) -> Bounds:
+    return bounds_of(_footprints(spark, sf))
+
+
 def _clear(spark: SparkSession, sf: str) -> DataFrame:
     ins = standins.inputs(spark, sf)
-    return avail.clear_rows(ins, _footprints(spark, sf), _periods(spark, sf), CONFIG)
+    return avail.clear_rows(ins, _bounds(spark, sf), _periods(spark, sf), CONFIG)
 
 
 def _radar(spark: SparkSession, sf: str) -> DataFrame:
     ins = standins.inputs(spark, sf)
-    return avail.radar_rows(ins, _footprints(spark, sf), _periods(spark, sf), CONFIG)
+    return avail.radar_rows(ins, _bounds(spark, sf), _periods(spark, sf), CONFIG)
 
 
 def _largest_radar(spark: SparkSession, sf: str) -> int:
@@ -103,9 +107,8 @@ def q_scan_stations(spark, sf):
 
 @query
 def q_scan_optical(spark, sf):
-    return within_bounds(
-        scans.scan_optical(standins.optical_pixels(spark, sf), CONFIG), _footprints(spark, sf)
-    )
+    pixels = scans.scan_optical(standins.optical_pixels(spark, sf), CONFIG)
+    return _bounds(spark, sf).restrict(pixels)
 
 
 @query
@@ -135,7 +138,9 @@ def q_filter_halfopen(spark, sf):
 def q_filter_bounds(spark, sf):
     boxes = standins.bridge(spark, sf).filter(F.col("scale") == "local_60m")
     pixels = standins.cloud_pixels(spark, sf)
-    return rounded(within_bounds(pixels, boxes).select("scene_id", "cell_x", "cell_y", "cs_cdf"))
+    return rounded(
+        bounds_of(boxes).restrict(pixels).select("scene_id", "cell_x", "cell_y", "cs_cdf")
+    )
 
 
 @query
@@ -270,10 +275,10 @@ def q_rain_prev30(spark, sf):
 
 
 def _meteorology(spark, sf):
-    grid = stations.observation_grid(standins.sites(spark, sf), _periods(spark, sf))
-    return training.meteorology(
-        grid, standins.inputs(spark, sf), standins.places(spark, sf), CONFIG
-    )
+    ins = standins.inputs(spark, sf)
+    found = avail.periods_of(ins, CONFIG)
+    grid = stations.observation_grid(standins.sites(spark, sf), found)
+    return training.meteorology(grid, ins, standins.places(spark, sf), CONFIG, found)
 
 
 @query
@@ -465,19 +470,27 @@ def q_radar_coverage(spark, sf):
 @query
 def q_scene_dates(spark, sf):
     ins, zones = standins.inputs(spark, sf), _footprints(spark, sf)
-    found = _periods(spark, sf)
-    seen = avail.optical_rows(ins, zones, found, CONFIG)
+    bounds, found = bounds_of(zones), avail.periods_of(ins, CONFIG)
+    seen = avail.optical_rows(ins, bounds, found, CONFIG)
+    radar_seen = avail.radar_rows(ins, bounds, found, CONFIG)
     return zonal.scene_dates(seen, zones).unionByName(
-        zonal.scene_dates(_radar(spark, sf), zones).withColumn(
+        zonal.scene_dates(radar_seen, zones).withColumn(
             "geom_id", F.concat(F.lit("radar-"), F.col("geom_id"))
         )
     )
 
 
 def _statistics(spark, sf, scale):
+    ins = standins.inputs(spark, sf)
     zones = standins.bridge(spark, sf).filter(F.col("scale") == scale)
-    named = optical.optical_predictors(_medoid(spark, sf))
-    medians = radar.radar_medians(_radar(spark, sf), _largest_radar(spark, sf))
+    bounds, found = bounds_of(zones), avail.periods_of(ins, CONFIG)
+    clear = avail.clear_rows(ins, bounds, found, CONFIG)
+    named = optical.optical_predictors(optical.medoid(optical.daily_stack(clear, BANDS), BANDS))
+    scenes = scans.select_radar_scenes(ins.sar_scenes, CONFIG)
+    medians = radar.radar_medians(
+        avail.radar_rows(ins, bounds, found, CONFIG),
+        radar.most_scenes_in_a_period(scenes, found),
+    )
     zone = ["geom_id", "scale", "period_start"]
     return rounded(
         zonal.zonal_statistics(named, zones, OPTICAL_PREDICTORS).join(
@@ -547,12 +560,6 @@ def q_two_scale_rows(spark, sf):
     )
 
 
-def _valid_rows(spark, sf):
-    ins, places = standins.inputs(spark, sf), standins.places(spark, sf)
-    valid = avail.valid_observations(avail.availability(ins, places, CONFIG))
-    return training.written(valid, "valid-observations"), ins, places
-
-
 @query
 def q_missing_keys(spark, sf):
     """Footprints whose optical or radar part is empty: absent statistics are counted and filled."""

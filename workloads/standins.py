@@ -8,6 +8,7 @@ hourly weather. `FIXTURES.md` gives the reasons; `oracle.py` spells the same tab
 from __future__ import annotations
 
 from datetime import date
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,10 +43,27 @@ BAND_FACTORS = {
 }
 FOOTPRINT_WEIGHTS = (1.0, 1.0, 0.5, 0.25)
 LOCAL_WEIGHTS = (1.0, 0.25)
+# Scan splits of tables that unfold into pixels, per application.
+_SPLITS: dict[tuple[str, ...], int] = {}
 # Events cover 30 days of 2024; twelve shifted copies cover 1999.
 EVENT_COPIES, EVENT_DAYS, EVENT_SHIFT = 12, 30, -9131
 
 
+def once(build):
+    """Keep what `build` returns per application and folder: plans and file lists, no rows."""
+    kept = {}
+
+    @wraps(build)
+    def lookup(spark: SparkSession, sf_dir: str, *args):
+        key = (spark.sparkContext.applicationId, sf_dir, *args)
+        if key not in kept:
+            kept[key] = build(spark, sf_dir, *args)
+        return kept[key]
+
+    return lookup
+
+
+@once
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,7 +75,18 @@ def standard_period(day: Column) -> Column:
 
 
 def _pixels(frame: DataFrame) -> DataFrame:
-    return frame.withColumn("cell_y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))))
+    """Four pixels per row, spread over all cores where the files give fewer splits than cores.
+
+    One small file is one split, and each of its rows unfolds. A table of many files stays as read.
+    """
+    spark = frame.sparkSession
+    key = (spark.sparkContext.applicationId, *sorted(frame.inputFiles()))
+    if key not in _SPLITS:
+        _SPLITS[key] = frame.rdd.getNumPartitions()
+    cores = spark.sparkContext.defaultParallelism
+    spread = frame.repartition(cores) if _SPLITS[key] < cores else frame
+    cells = F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))
+    return spread.withColumn("cell_y", F.explode(cells))
 
 
 def _item_scene_id() -> Column:
@@ -69,6 +98,7 @@ def _item_scene_id() -> Column:
     )
 
 
+@once
 def optical_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.floor("l_extendedprice").cast("bigint")
     quantity = F.col("l_quantity").cast("bigint")
@@ -89,6 +119,7 @@ def optical_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@once
 def cloud_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten times the discount; an undiscounted item has no cloud score at all."""
     items = _pixels(table(spark, sf_dir, "lineitem").filter(F.col("l_discount") > 0))
@@ -101,6 +132,7 @@ def cloud_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@once
 def sar_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = F.col("o_custkey")
     both = F.array(F.lit("VH"), F.lit("VV"))
@@ -114,6 +146,7 @@ def sar_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@once
 def sar_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     stations = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar()
     orders = table(spark, sf_dir, "orders").withColumn("cell_x", F.col("o_orderkey") % stations)
@@ -129,6 +162,7 @@ def sar_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@once
 def met_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = (
         table(spark, sf_dir, "events")
@@ -153,6 +187,7 @@ def met_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@once
 def rain_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "orders")
@@ -162,6 +197,7 @@ def rain_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@once
 def et_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
@@ -177,6 +213,7 @@ def et_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@once
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station coordinates lie off every cell border of the stand-in grids."""
     key = F.col("s_suppkey")
@@ -190,6 +227,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@once
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("station_key")
     zero = F.lit(0).cast("bigint")
@@ -209,6 +247,7 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_pixel_id(placed, ET_STEP_M, ET_STEP_M).drop("station_key")
 
 
+@once
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     def entries(scale: str, geom: str, weights: tuple[float, ...]) -> list[Column]:
         return [
@@ -230,6 +269,7 @@ def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@once
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     return Inputs(
         et_pixels=et_pixels(spark, sf_dir),
@@ -242,12 +282,14 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     )
 
 
+@once
 def places(spark: SparkSession, sf_dir: str) -> Places:
     return Places(
         sites(spark, sf_dir), bridge(spark, sf_dir), ERA5_SUPPORT_M, CHIRPS_SUPPORT_M
     )
 
 
+@once
 def met_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells within six of any station's own cell, two of five of them valid land."""
     column, row = MET_GRID.index(F.col("longitude"), F.col("latitude"))
@@ -260,6 +302,7 @@ def met_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.filter((F.col("cell_x") * 7 + F.col("cell_y") * 3) % 5 >= 3)
 
 
+@once
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pixel per part, 50 columns wide; parts of size 7 are masked."""
     key = F.col("p_partkey")

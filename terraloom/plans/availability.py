@@ -33,20 +33,40 @@ def optical_rows(
     return assign_period(near, "ts", periods)
 
 
+def _needed_only(rows: DataFrame, needed: DataFrame | None) -> DataFrame:
+    return rows if needed is None else rows.join(needed, PERIOD_CELL, "left_semi")
+
+
 def clear_rows(
-    inputs: Inputs, bounds: Bounds, periods: DataFrame, config: AnalysisConfig
+    inputs: Inputs,
+    bounds: Bounds,
+    periods: DataFrame,
+    config: AnalysisConfig,
+    needed: DataFrame | None = None,
 ) -> DataFrame:
-    """Valid optical pixels near the geometries. Both join inputs are restricted first."""
+    """Valid optical pixels near the geometries, of the `needed` period cells if given.
+
+    Both sides of the scene join are restricted and screened before it. A cloud score carries the
+    time of its scene, so it belongs to the same period.
+    """
+    rows = _needed_only(optical_rows(inputs, bounds, periods, config), needed)
     cloud = bounds.restrict(scan_cloud(inputs.cloud_pixels, config))
-    rows = optical_rows(inputs, bounds, periods, config)
+    if needed is not None:
+        cloud = _needed_only(assign_period(cloud, "ts", periods), needed)
     return clear_pixels(rows, cloud, list(OPTICAL_BANDS), config.clear_threshold)
 
 
 def radar_rows(
-    inputs: Inputs, bounds: Bounds, periods: DataFrame, config: AnalysisConfig
+    inputs: Inputs,
+    bounds: Bounds,
+    periods: DataFrame,
+    config: AnalysisConfig,
+    needed: DataFrame | None = None,
 ) -> DataFrame:
+    """Pixels of the selected radar scenes near the geometries, of `needed` cells if given."""
     near = bounds.restrict(inputs.sar_pixels)
-    return assign_period(scan_radar(inputs.sar_scenes, near, config), "ts", periods)
+    dated = assign_period(scan_radar(inputs.sar_scenes, near, config), "ts", periods)
+    return _needed_only(dated, needed)
 
 
 def availability(

@@ -107,11 +107,11 @@ def predictor_statistics(
     """
     needed = needed_cells(valid, places.bridge)
     bounds = bounds_of(places.bridge)
-    clear = clear_rows(inputs, bounds, periods, config).join(needed, PERIOD_CELL, "left_semi")
+    clear = clear_rows(inputs, bounds, periods, config, needed)
     bands = list(OPTICAL_BANDS)
     optical = optical_predictors(medoid(daily_stack(clear, bands), bands))
 
-    radar = radar_rows(inputs, bounds, periods, config).join(needed, PERIOD_CELL, "left_semi")
+    radar = radar_rows(inputs, bounds, periods, config, needed)
     largest = most_scenes_in_a_period(select_radar_scenes(inputs.sar_scenes, config), periods)
     backscatter = radar_medians(radar, largest)
 

@@ -47,7 +47,7 @@ def scan_optical(
 
 def scan_cloud(cloud: DataFrame, config: AnalysisConfig) -> DataFrame:
     return cloud.filter(half_open(F.col("ts"), config.start, config.end)).select(
-        "scene_id", "cell_x", "cell_y", "cs_cdf"
+        "scene_id", "ts", "cell_x", "cell_y", "cs_cdf"
     )
 
 

@@ -43,8 +43,6 @@ BAND_FACTORS = {
 }
 FOOTPRINT_WEIGHTS = (1.0, 1.0, 0.5, 0.25)
 LOCAL_WEIGHTS = (1.0, 0.25)
-# Scan splits of tables that unfold into pixels, per application.
-_SPLITS: dict[tuple[str, ...], int] = {}
 # Events cover 30 days of 2024; twelve shifted copies cover 1999.
 EVENT_COPIES, EVENT_DAYS, EVENT_SHIFT = 12, 30, -9131
 
@@ -74,43 +72,50 @@ def standard_period(day: Column) -> Column:
     return F.date_add(year_start, (F.floor((F.dayofyear(day) - 1) / 8) * 8).cast("int"))
 
 
-def _pixels(frame: DataFrame) -> DataFrame:
-    """Four pixels per row, spread over all cores where the files give fewer splits than cores.
+@once
+def _spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table that unfolds into pixels, over all cores where its files give fewer splits.
 
-    One small file is one split, and each of its rows unfolds. A table of many files stays as read.
+    One small file is one split, and all work on its rows would be one task. A table of many files
+    stays as read.
     """
-    spark = frame.sparkSession
-    key = (spark.sparkContext.applicationId, *sorted(frame.inputFiles()))
-    if key not in _SPLITS:
-        _SPLITS[key] = frame.rdd.getNumPartitions()
+    frame = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    spread = frame.repartition(cores) if _SPLITS[key] < cores else frame
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
+def _pixels(frame: DataFrame) -> DataFrame:
+    """Four pixels per row."""
     cells = F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))
-    return spread.withColumn("cell_y", F.explode(cells))
+    return frame.withColumn("cell_y", F.explode(cells))
 
 
-def _item_scene_id() -> Column:
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return F.concat_ws(
-        "-", *[F.col(p).cast("string") for p in parts], cents.cast("string"),
-        F.col("l_quantity").cast("bigint").cast("string"),
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their scene id; made before a row unfolds into pixels."""
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
+    quantity = F.col("l_quantity").cast("bigint")
+    keys = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    scene = F.concat_ws("-", *[part.cast("string") for part in (*keys, cents, quantity)])
+    return _spread_table(spark, sf_dir, "lineitem").withColumns(
+        {
+            "scene_id": scene,
+            "price": F.floor("l_extendedprice").cast("bigint"),
+            "quantity": quantity,
+        }
     )
 
 
 @once
 def optical_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.floor("l_extendedprice").cast("bigint")
-    quantity = F.col("l_quantity").cast("bigint")
-    items = _pixels(table(spark, sf_dir, "lineitem"))
+    price, quantity = F.col("price"), F.col("quantity")
     bands = {
         b: ((price * p + F.col("cell_y") * c + quantity * q) % 10000).cast("int")
         for b, (p, c, q) in BAND_FACTORS.items()
     }
     masked = (F.col("l_partkey") + F.col("cell_y")) % 5 == 0
     bands["b5"] = F.when(~masked, bands["b5"])
-    return items.select(
-        _item_scene_id().alias("scene_id"),
+    return _pixels(_items(spark, sf_dir)).select(
+        "scene_id",
         F.col("l_shipdate").alias("ts"),
         F.col("l_partkey").cast("string").alias("mgrs_tile"),
         F.col("l_suppkey").alias("cell_x"),
@@ -122,9 +127,9 @@ def optical_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @once
 def cloud_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten times the discount; an undiscounted item has no cloud score at all."""
-    items = _pixels(table(spark, sf_dir, "lineitem").filter(F.col("l_discount") > 0))
-    return items.select(
-        _item_scene_id().alias("scene_id"),
+    scored = _items(spark, sf_dir).filter(F.col("l_discount") > 0)
+    return _pixels(scored).select(
+        "scene_id",
         F.col("l_shipdate").alias("ts"),
         F.col("l_suppkey").alias("cell_x"),
         "cell_y",
@@ -149,7 +154,7 @@ def sar_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @once
 def sar_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     stations = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar()
-    orders = table(spark, sf_dir, "orders").withColumn("cell_x", F.col("o_orderkey") % stations)
+    orders = _spread_table(spark, sf_dir, "orders").withColumn("cell_x", F.col("o_orderkey") % stations)
     level = -F.col("o_totalprice") / F.lit(65537.0)
     masked = (F.col("o_orderkey") + F.col("cell_y")) % 7 == 0
     return _pixels(orders).select(

@@ -94,23 +94,27 @@ def with_utm_inverse(
     m0 = WGS84_A * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256)
     shift = UTM_FALSE_NORTHING_SOUTH if south else 0.0
     mu, p, n, r, t, c, d = (F.col(f"__{k}") for k in ("mu", "phi", "n", "r", "t", "c", "d"))
-    out = frame.withColumn("__mu", (F.col(y) - shift) / F.lit(UTM_SCALE * m0))
-    out = out.withColumn(
-        "__phi",
-        mu + f2 * F.sin(2 * mu) + f4 * F.sin(4 * mu) + f6 * F.sin(6 * mu) + f8 * F.sin(8 * mu),
+    # Multiple angles from one sine and cosine: sin 2a, sin 3a and sin 4a in terms of sin a, cos a.
+    s2, c2 = F.sin(2 * mu), F.cos(2 * mu)
+    series = (
+        s2 * (f2 + f6 * (3 - 4 * s2 * s2)) + 2 * s2 * c2 * (f4 + 2 * f8 * (1 - 2 * s2 * s2))
     )
-    out = out.withColumn("__w", 1 - F.lit(E2) * F.sin(p) * F.sin(p))
+    out = frame.withColumn("__mu", (F.col(y) - shift) / F.lit(UTM_SCALE * m0))
+    out = out.withColumn("__phi", mu + series)
+    out = out.withColumns({"__sin": F.sin(p), "__cos": F.cos(p)})
+    sine, cosine = F.col("__sin"), F.col("__cos")
+    out = out.withColumn("__w", 1 - F.lit(E2) * sine * sine)
     out = out.withColumns(
         {
             "__n": F.lit(WGS84_A) / F.sqrt(F.col("__w")),
             "__r": F.lit(WGS84_A * (1 - E2)) / (F.col("__w") * F.sqrt(F.col("__w"))),
-            "__t": F.tan(p) * F.tan(p),
-            "__c": F.lit(EP2) * F.cos(p) * F.cos(p),
+            "__t": (sine / cosine) * (sine / cosine),
+            "__c": F.lit(EP2) * cosine * cosine,
         }
     )
     out = out.withColumn("__d", (F.col(x) - UTM_FALSE_EASTING) / (n * UTM_SCALE))
     d2 = d * d
-    phi = p - (n * F.tan(p) / r) * d2 * (
+    phi = p - (n * sine / (cosine * r)) * d2 * (
         F.lit(0.5)
         - d2 * (5 + 3 * t + 10 * c - 4 * c * c - 9 * EP2) / 24
         + d2 * d2 * (61 + 90 * t + 298 * c + 45 * t * t - 252 * EP2 - 3 * c * c) / 720
@@ -122,7 +126,7 @@ def with_utm_inverse(
     )
     return out.withColumns(
         {
-            lon: F.lit(central_meridian(zone)) + F.degrees(lam / F.cos(p)),
+            lon: F.lit(central_meridian(zone)) + F.degrees(lam / cosine),
             lat: F.degrees(phi),
         }
-    ).drop("__mu", "__phi", "__w", "__n", "__r", "__t", "__c", "__d")
+    ).drop("__mu", "__phi", "__sin", "__cos", "__w", "__n", "__r", "__t", "__c", "__d")

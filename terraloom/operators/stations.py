@@ -94,7 +94,8 @@ def nearest_cells(
     )
     own_x, own_y = grid.index(F.col("longitude"), F.col("latitude"))
     candidates = (
-        stations.select("station_id", "longitude", "latitude", own_x.alias("__ox"), own_y.alias("__oy"))
+        _unfolding(stations, "station_id")
+        .select("station_id", "longitude", "latitude", own_x.alias("__ox"), own_y.alias("__oy"))
         .withColumn("__dx", F.explode(F.sequence(-columns, columns)))
         .withColumn("__dy", F.explode(F.sequence(F.lit(-rows), F.lit(rows))))
         .withColumns(
@@ -216,9 +217,20 @@ def local_cells(stations: DataFrame, grid: Grid, half_width: float) -> DataFrame
     )
 
 
+def _unfolding(frame: DataFrame, *keys: str) -> DataFrame:
+    """Spread few small rows by key before each of them unfolds into many.
+
+    Runtime merging goes by bytes and would put all of these rows into one task; a given number of
+    partitions keeps them apart. Aggregations on the keys need no further shuffle.
+    """
+    partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(partitions, *keys)
+
+
 def _footprint_frames(et_cells: DataFrame, et_grid: Grid, grid: Grid) -> DataFrame:
     """Per ET cell: its four corners on the analysis grid and the cell range that covers them."""
     cells = et_cells.select(F.col("cell_x").alias("et_x"), F.col("cell_y").alias("et_y")).distinct()
+    cells = _unfolding(cells, "et_x", "et_y")
     pairs = [(a, b) for a in (0, 1) for b in (0, 1)]
     corner = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
     spread = cells.withColumn("__c", F.explode(corner)).select("et_x", "et_y", "__c.a", "__c.b")

@@ -8,13 +8,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import byte_bpe, common, token_counts, token_files
+from terraloom.llm import (
+    byte_bpe,
+    common,
+    line_frequency,
+    mixing,
+    secrets,
+    token_counts,
+    token_files,
+)
 
 #: The end id of the token files and the limit of the token counts, from the contracts.
 END_ID = 1
 TOKEN_LIMIT = 512
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(common.read(spark, sf_dir, "documents"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken)
+
+
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.judge(common.read(spark, sf_dir, "documents"))
+
+
+def op4_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(common.read(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    counts = [
+        F.size(secrets.of_kind(spans, kind)).cast("long").alias(f"n_{kind}") for kind in secrets.BASE
+    ]
+    base = secrets.joined(secrets.of_kind(spans, *secrets.BASE))
+    return found.select(
+        "doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secrets.joined(spans).alias("spans")
+    )
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     return token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
@@ -35,5 +65,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_token_files, op9_byte_bpe, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op2_source_mix,
+        op3_line_frequency,
+        op4_secret_links,
+        op5_token_files,
+        op9_byte_bpe,
+        op10_token_counts,
+    )
 }

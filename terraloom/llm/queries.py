@@ -13,6 +13,7 @@ from terraloom.llm import (
     common,
     line_frequency,
     mixing,
+    near_dedup,
     secrets,
     token_counts,
     token_files,
@@ -50,6 +51,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    return near_dedup.group(docs, near_dedup.Rule(words=3, percent=85))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = common.read(spark, sf_dir, "documents")
@@ -71,6 +77,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_line_frequency,
         op4_secret_links,
         op5_token_files,
+        op7_minhash_dedup,
         op9_byte_bpe,
         op10_token_counts,
     )

@@ -25,7 +25,7 @@ from terraloom.llm import common
 #: Documents of a chunk; bounds what a task holds.
 CHUNK_DOCS = 4096
 #: Text of a chunk in bytes, after which it ends.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Sums held by a task before they are passed on.
 HELD_SUMS = 4 << 20
 
@@ -42,7 +42,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
     ids: list = []
     texts: list[str] = []
     held = 0
-    for batch in batches:
+    for batch in common.arrow_rows(batches, 256):
         for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             ids.append(doc_id)
             texts.append(text)
@@ -138,7 +138,7 @@ def _summed(tokenizer_file: str, special: list[str]):
             sums.clear()
             return batch
 
-        for batch in common.arrow_rows(batches, 20_000):
+        for batch in common.arrow_rows(batches, 4_000):
             tokens = batch.column(0).to_pylist()
             chunks = batch.column(1).to_pylist()
             rows = batch.column(2).to_pylist()

@@ -17,6 +17,7 @@ from terraloom.llm import (
     secrets,
     token_counts,
     token_files,
+    top_k,
 )
 
 #: The end id of the token files and the limit of the token counts, from the contracts.
@@ -56,6 +57,11 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(docs, near_dedup.Rule(words=3, percent=85))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.read(spark, sf_dir, "embeddings")
+    return top_k.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = common.read(spark, sf_dir, "documents")
@@ -78,6 +84,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_secret_links,
         op5_token_files,
         op7_minhash_dedup,
+        op8_top_k,
         op9_byte_bpe,
         op10_token_counts,
     )

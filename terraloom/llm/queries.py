@@ -18,6 +18,7 @@ from terraloom.llm import (
     token_counts,
     token_files,
     top_k,
+    toxicity,
 )
 
 #: The end id of the token files and the limit of the token counts, from the contracts.
@@ -25,6 +26,11 @@ END_ID = 1
 TOKEN_LIMIT = 512
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    return toxicity.score(docs, common.read(spark, sf_dir, "labels"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(common.read(spark, sf_dir, "documents"))
     taken = (F.col("copies") * F.col("size")).alias("taken")
@@ -79,6 +85,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_toxicity,
         op2_source_mix,
         op3_line_frequency,
         op4_secret_links,

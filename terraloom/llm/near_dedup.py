@@ -316,3 +316,13 @@ def _labelled(rows: DataFrame, grouped: DataFrame) -> DataFrame:
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def representatives(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
+    """The rows of `docs` that `group` keeps, with their columns as they are.
+
+    Rows that share a doc_id stay or go together; rows without id stay.
+    """
+    gone = group(docs, rule).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    same = docs["doc_id"].cast("long") == gone["__gone"]
+    return docs.join(gone, same, "left_anti")

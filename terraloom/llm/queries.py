@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from terraloom.llm import (
     byte_bpe,
     common,
+    licences,
     line_frequency,
     mixing,
     near_dedup,
@@ -58,6 +59,18 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a source is a tree of folders of 1000 documents, where every other
+    document stands in a folder of 100 below. Any document with a statement speaks for its folder.
+    """
+    docs = common.read(spark, sf_dir, "documents")
+    thousand = F.floor(docs["doc_id"] / 1000).cast("string")
+    hundred = F.when(docs["doc_id"] % 2 == 1, F.floor(docs["doc_id"] / 100).cast("string"))
+    path = F.concat_ws("/", docs["source"], thousand, hundred, docs["doc_id"].cast("string"))
+    found = licences.scan(docs, path, lambda _: F.lit(True))
+    return found.withColumn("cosine", F.round("cosine", 6))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     return near_dedup.group(docs, near_dedup.Rule(words=3, percent=85))
@@ -90,6 +103,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_line_frequency,
         op4_secret_links,
         op5_token_files,
+        op6_licence_scan,
         op7_minhash_dedup,
         op8_top_k,
         op9_byte_bpe,

@@ -1,9 +1,156 @@
-"""DuckDB SQL for the registered queries that SQL can express."""
+"""DuckDB SQL for the registered queries that SQL can express.
+
+The rest (restored texts, library tokenizers, cosine of weighted words over lines, exact components)
+is held against brute force in tests/llm.
+"""
 
 from __future__ import annotations
 
-STATEMENTS: dict[str, str] = {}
+from terraloom.llm import line_frequency, mixing, secrets
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _mix() -> str:
+    weights = ", ".join(map(str, mixing.WEIGHTS))
+    return rf"""
+with sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::bigint as size
+  from documents
+), per_source as (
+  select source, sum(size)::bigint as source_size from sized group by source
+), turns as (
+  select *, row_number() over (order by source nulls last) as turn from per_source
+), weighed as (
+  select *, [{weights}][((turn - 1) % {len(mixing.WEIGHTS)} + 1)::int] as weight,
+    source_size * {mixing.MOST} as most_words
+  from turns
+), levels as (
+  select *,
+    ((sum(source_size) over ()) * {mixing.SHARE}::double
+      - coalesce(sum(most_words) over (order by most_words / weight, turn
+          rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by most_words / weight, turn
+          rows between current row and unbounded following) as level
+  from weighed
+), goals as (
+  select source, source_size,
+    coalesce(least(most_words::double,
+      weight * max(case when most_words / weight >= level then level end) over ()),
+      most_words::double) as target,
+    ('0x' || substr(md5({_quoted(mixing.SEED + "|")} || coalesce('=' || source, '')), 1, 8))::bigint
+      / 4294967296.0::double as shift
+  from levels
+), ranked as (
+  select *, row_number() over (partition by source
+    order by size, coalesce(((doc_id % {mixing.SALTS}) + {mixing.SALTS}) % {mixing.SALTS}, 0), doc_id) as place
+  from sized
+), drawn as (
+  select doc_id, size, source_size, target, place, shift,
+    case when source_size = 0 then 0 else target / source_size end as expected
+  from ranked r join goals g on r.source is not distinct from g.source
+)
+select doc_id, size, source_size, target,
+  ((floor(place * expected + shift) - floor((place - 1) * expected + shift))::bigint * size)::bigint as taken
+from drawn
+"""
+
+
+def _lines() -> str:
+    return rf"""
+with docs as (
+  select row_number() over () as row_id, doc_id, source, coalesce(text, '') as text from documents
+), counted as (
+  select row_id, doc_id, source, regexp_extract_all(text, '{_WORD}') as words,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as raw
+  from docs
+), placed as (
+  select row_id, unnest(range(1, len(words) - 1)) as place, words from counted where len(words) >= 3
+), windows as (
+  select row_id, place, words[place] || ' ' || words[place + 1] || ' ' || words[place + 2] as three from placed
+), repeated as (
+  select row_id, place from windows qualify count(*) over (partition by row_id, three) > 1
+), covered as (
+  select row_id, count(distinct word)::bigint as n
+  from (select row_id, unnest([place, place + 1, place + 2]) as word from repeated) group by row_id
+), lines as (
+  select row_id, doc_id, source, line,
+    lower(array_to_string(regexp_extract_all(line, '{_WORD}'), ' ')) as normal,
+    len(regexp_extract_all(line, '{_WORD}')) as words
+  from (select row_id, doc_id, source, unnest(raw) as line from counted)
+), frequent as (
+  select source, normal from lines group by source, normal
+  having count(distinct coalesce(doc_id, -1 - row_id)) > {line_frequency.MAX_DOCS}
+), removed as (
+  select row_id, sum(words)::bigint as n from lines l
+  where exists (select 1 from frequent f where f.normal = l.normal and f.source is not distinct from l.source)
+  group by row_id
+), joined as (
+  select doc_id, len(words)::bigint as n_words,
+    coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::bigint as word_chars, n_symbols,
+    (len(raw) - len(list_distinct(raw)))::bigint as n_dup_lines,
+    coalesce(c.n, 0)::bigint as n_repeat_words, coalesce(r.n, 0)::bigint as n_removed_words
+  from counted left join covered c using (row_id) left join removed r using (row_id)
+), judged as (
+  select *, n_words < {line_frequency.LEAST_WORDS}
+    or 100 * n_repeat_words > {line_frequency.MOST_REPEATED} * n_words as base_failed
+  from joined
+)
+select *, not base_failed
+  and 100 * (n_words - n_removed_words) >= {line_frequency.LEAST_LEFT} * n_words as kept
+from judged
+"""
+
+
+def _secrets() -> str:
+    """RE2 has no look-around: the weak kinds are found in runs that SQL cuts at the same places."""
+    patterns = {
+        "assign": secrets.ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)",
+                                         "(?:(?i)password|passwd|secret|token|api_?key)"),
+        "access": secrets.ACCESS,
+        "hex": secrets.HEX,
+    }
+    parts = []
+    for kind, pattern in patterns.items():
+        passes = {
+            "assign": f"length(regexp_extract(m, {_quoted(pattern)}, 1)) >= 12",
+            "access": "length(m) >= 18",
+            "hex": "true",
+        }[kind]
+        parts.append(
+            f"select row_id, '{kind}' as kind, m, g, place, {passes} as ok from (select row_id,"
+            f" unnest(regexp_extract_all(text, {_quoted(pattern)})) as m,"
+            f" unnest(list_slice(regexp_split_to_array(text, {_quoted(pattern)}), 1,"
+            f" len(regexp_extract_all(text, {_quoted(pattern)})))) as g,"
+            f" generate_subscripts(regexp_extract_all(text, {_quoted(pattern)}), 1) as place from docs)"
+        )
+    return " union all ".join(parts)
+
+
+def _search(k: int = 20) -> str:
+    return f"""
+with usable as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as q from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
+  from usable a join usable b on a.vec_id <> b.vec_id and len(a.q) = len(b.q)
+  where a.vec_id % 20 = 0
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from scored qualify rank <= {k}
+"""
 
 
 def statements() -> dict[str, str]:
-    return dict(STATEMENTS)
+    return {
+        "op2_source_mix": _mix(),
+        "op3_line_frequency": _lines(),
+        "op8_top_k": _search(),
+    }

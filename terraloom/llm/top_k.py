@@ -88,7 +88,7 @@ def _tile_lists(k: int):
                 scores = (left @ right.T).astype("<i8")
                 keys = scores * n + (n - 1 - np.arange(n))
                 own = queries[:, None] == ids[None, :]
-                keys[own] = np.iinfo("<i8").min
+                keys[own] = np.iinfo("<i8").min // 2  # never among the best, and safe to negate
                 best = min(k, n)
                 places = np.argpartition(-keys, best - 1, axis=1)[:, :best]
                 whose = np.repeat(queries, best)

@@ -178,11 +178,12 @@ def directory(path: Column) -> Column:
 
 
 def ancestors(path: Column) -> Column:
-    """The directories above a path, from the top down."""
+    """The directories above a path, from the top (empty) down."""
     parts = F.split(directory(path), "/", -1)
-    return F.transform(
+    below = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")
     )
+    return F.array_distinct(F.concat(F.array(F.lit("")), below))
 
 
 def named_licence(path: Column) -> Column:

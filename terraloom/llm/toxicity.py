@@ -3,7 +3,7 @@
 Texts are restored first (see `deobfuscation`), with a character model counted over all texts. Words
 and beginnings of words are then features. Those that mark toxic documents are chosen on a bounded
 sample of labelled documents: nearly all documents that hold the feature are toxic, in enough
-different groups of documents. Copies share the smallest hash of their words and count as one group,
+different groups of documents. Copies share the smallest hash of their word pairs and count as one group,
 so that words which merely stand beside an insult in many copies of one text are not chosen.
 """
 
@@ -49,12 +49,13 @@ def _occurrences(model: np.ndarray):
         for batch in common.arrow_rows(batches, 200):
             groups, toxic, features = [], [], []
             for text, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = set(_WORD.findall(restore(text.lower())))
+                words = _WORD.findall(restore(text.lower()))
                 if not words:
                     continue
-                own = sorted({f for w in words for f in features_of(w)})
+                pairs = {f"{x} {y}".encode() for x, y in zip(words, words[1:] + words[:1])}
+                own = sorted({f for w in set(words) for f in features_of(w)})
                 features += own
-                groups += [min(zlib.crc32(w.encode()) for w in words)] * len(own)
+                groups += [min(map(zlib.crc32, pairs))] * len(own)
                 toxic += [mark] * len(own)
             yield pa.record_batch(
                 [

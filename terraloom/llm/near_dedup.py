@@ -7,10 +7,12 @@ all shingles. A signature is thus the minimum of short windows of one table. Ban
 are hashed; documents that agree in a band are candidates, and candidates are verified by the exact
 Jaccard similarity of their whole shingle sets.
 
-Texts with equal sets form one class and are compared once. Buckets are not paired out: each round
-compares members to a centre of their bucket, joins what is linked, and goes on with buckets that
-still hold several components. When few pairs are left, all pairs between different components of
-a bucket are verified, so no link that would join two components is missed among the candidates.
+Texts with equal sets form one class and are compared once. Buckets are not paired out: members are
+first compared to centres of their buckets, and what is linked is joined. Then only pairs between
+different components of a bucket matter. Where they are few they are all verified; in dense
+buckets an exact prefix filter comes before: two sets of the required similarity share one of their
+rarest shingles at a small enough place. So no link that would join two components is missed among
+the candidates.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.llm import common, components
@@ -30,8 +32,10 @@ from terraloom.operators.storage import written
 
 #: Ring positions of the permutations, and the seed of the table.
 RING, SEED = 1 << 20, 20_240_229
-#: Rounds of comparing to centres at most, before the remaining pairs are all verified.
-ROUNDS = 5
+#: Rounds of comparing to centres before the remaining pairs are verified.
+ROUNDS = 2
+#: Pairs a member up to which a bucket is verified without the prefix filter.
+SPARSE = 8
 #: Shingles whose windows are held at once.
 STEP = 512
 
@@ -180,7 +184,8 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 def _crossing(members: DataFrame, labels: DataFrame) -> DataFrame:
     """key, node, n_shingles, component of buckets that hold several components. Written."""
-    known = members.join(labels, "node").select("key", "node", "n_shingles", "component")
+    known = members.select("key", "node", "n_shingles").join(labels, "node")
+    known = known.select("key", "node", "n_shingles", "component")
     several = (
         known.groupBy("key")
         .agg(F.min("component").alias("x"), F.max("component").alias("y"))
@@ -203,8 +208,18 @@ def _to_centres(crossing: DataFrame, number: int) -> DataFrame:
     return _pairs(met, "node", "n_shingles", "top.one.node", "top.one.n_shingles")
 
 
+def _sparse(crossing: DataFrame) -> DataFrame:
+    """key, sparse: whether a bucket's pairs between components are few for its members."""
+    parts = crossing.groupBy("key", "component").agg(F.count("*").alias("n"))
+    keys = parts.groupBy("key").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")
+    )
+    pairs = (F.col("n") * F.col("n") - F.col("own")) / 2
+    return keys.select("key", (pairs <= SPARSE * F.col("n")).alias("sparse"))
+
+
 def _all_crossing(crossing: DataFrame) -> DataFrame:
-    """All pairs between different components of a bucket: a, b."""
+    """All pairs between different components of a bucket."""
     parts = crossing.select("key", "component").distinct()
     first = parts.withColumnRenamed("component", "x")
     second = parts.withColumnRenamed("component", "y")
@@ -215,6 +230,75 @@ def _all_crossing(crossing: DataFrame) -> DataFrame:
     return _pairs(met, "node_x", "size_x", "node_y", "size_y")
 
 
+def _last_place(percent: int, size: Column, other: Column) -> Column:
+    """Largest place (from 0) of the first shingle that a set can share with one of size `other`.
+
+    Similar sets share at least percent / (100 + percent) of their sizes' sum.
+    """
+    shared = F.ceil((size + other) * percent / (100 + percent) - F.lit(1e-9))
+    return size - shared
+
+
+def _by_prefix(nodes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of different components that pass the prefix filter; `nodes`: node, component."""
+    listed = sets.join(nodes.select("node").distinct(), "node", "left_semi").mapInArrow(
+        _exploded, "node long, n_shingles long, shingle long"
+    )
+    listed = written(listed, "near-shingles")
+    rarity = listed.groupBy("shingle").agg(F.count("*").alias("held"))
+    order = Window.partitionBy("node").orderBy("held", "shingle")
+    placed = (
+        listed.join(rarity, "shingle")
+        .select("node", "n_shingles", "shingle", (F.row_number().over(order) - 1).alias("place"))
+        # No partner is smaller than this.
+        .filter(F.col("place") <= F.col("n_shingles") - F.ceil(F.col("n_shingles") * rule.percent / 100 - F.lit(1e-9)))
+        .join(nodes, "node")
+    )
+    placed = written(placed, "near-prefixes")
+    parts = placed.groupBy("shingle", "component").agg(
+        F.min("place").alias("place"),
+        F.min("n_shingles").alias("least"),
+        F.max("n_shingles").alias("most"),
+    )
+    x, y = parts.alias("x"), parts.alias("y")
+    beside = x.join(
+        y,
+        (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.component") < F.col("y.component"))
+        & (F.col("x.place") <= _last_place(rule.percent, F.col("x.most"), F.col("y.least")))
+        & (F.col("y.place") <= _last_place(rule.percent, F.col("y.most"), F.col("x.least"))),
+    ).select(F.col("x.shingle").alias("shingle"), F.col("x.component").alias("x"), F.col("y.component").alias("y"))
+    left = placed.select(
+        "shingle", F.col("component").alias("x"), F.col("node").alias("node_x"),
+        F.col("n_shingles").alias("size_x"), F.col("place").alias("place_x"),
+    )
+    right = placed.select(
+        "shingle", F.col("component").alias("y"), F.col("node").alias("node_y"),
+        F.col("n_shingles").alias("size_y"), F.col("place").alias("place_y"),
+    )
+    one = beside.join(left, ["shingle", "x"])
+    same = (one["shingle"] == right["shingle"]) & (one["y"] == right["y"])
+    near = (F.col("place_x") <= _last_place(rule.percent, F.col("size_x"), F.col("size_y"))) & (
+        F.col("place_y") <= _last_place(rule.percent, F.col("size_y"), F.col("size_x"))
+    )
+    return _pairs(one.join(right, same & near), "node_x", "size_x", "node_y", "size_y")
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in common.arrow_rows(batches, 200):
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        nodes = np.asarray(batch.column(0), np.int64)
+        yield pa.record_batch(
+            [
+                pa.array(np.repeat(nodes, sizes)),
+                pa.array(np.repeat(sizes, sizes)),
+                pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)),
+            ],
+            ["node", "n_shingles", "shingle"],
+        )
+
+
 def _pairs(met: DataFrame, node: str, size: str, other: str, other_size: str) -> DataFrame:
     return met.select(
         F.least(node, other).alias("a"),
@@ -277,19 +361,19 @@ def group(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     pairs = nearest.filter("centre < node").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     tested = verify(pairs, sets, rule)
     labels = components.merged(labels, tested.filter("linked"))
-    members = members.drop("centre")
-    for number in range(ROUNDS + 1):
-        crossing = _crossing(members, labels)
-        if crossing.isEmpty():
-            break
-        last = number == ROUNDS or _few(crossing)
-        found = _all_crossing(crossing) if last else _to_centres(crossing, number)
-        fresh = _candidates(found, rule).join(tested, ["a", "b"], "left_anti")
-        new = verify(fresh, sets, rule)
+    crossing = _crossing(members, labels)
+    for number in range(ROUNDS):
+        found = _candidates(_to_centres(crossing, number), rule)
+        new = verify(found.join(tested, ["a", "b"], "left_anti"), sets, rule)
         labels = components.merged(labels, new.filter("linked"))
-        if last:
-            break
         tested = tested.unionByName(new)
+        crossing = _crossing(crossing, labels)
+    dealt = crossing.join(_sparse(crossing), "key")
+    few = _all_crossing(dealt.filter("sparse").drop("sparse"))
+    dense = dealt.filter("not sparse").select("node", "component").distinct()
+    found = _candidates(few.unionByName(_by_prefix(dense, sets, rule)), rule)
+    new = verify(found.join(tested, ["a", "b"], "left_anti"), sets, rule)
+    labels = components.merged(labels, new.filter("linked"))
     same = usable.select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key")
     grouped = same.join(labels, "node", "left").select(
         "doc_id", "set_key", F.coalesce("component", "node").alias("component_id")
@@ -297,14 +381,6 @@ def group(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     return _labelled(rows, grouped)
 
 
-def _few(crossing: DataFrame) -> bool:
-    """Whether all pairs between components are no more than a few per member."""
-    parts = crossing.groupBy("key", "component").agg(F.count("*").alias("n"))
-    keys = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    row = keys.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
-    return row["pairs"] <= 4 * row["rows"]
-
-
 def _labelled(rows: DataFrame, grouped: DataFrame) -> DataFrame:
     """The smallest component of each doc_id, put to its rows."""
     by_doc = grouped.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

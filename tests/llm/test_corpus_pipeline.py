@@ -1,6 +1,7 @@
 """The pipeline's stages on a small table, each held against its operator or brute force."""
 
 import base64
+import random
 
 import corpus_pipeline
 import public_tokenizers
@@ -50,9 +51,16 @@ def test_run_chains_the_stages(spark, tables):
     assert rows and all(r.n_tokens == len(r.ids) for r in rows)
 
 
-def test_toxic_documents_go(spark, tmp_path):
-    insult = [(i, f"word{i} text{i} about idiot people number{i} here and there once{i}", "en", "a", 1) for i in range(40)]
-    clean = [(100 + i, f"plain{i} line{i} about other people number{i} here and there once{i}", "en", "a", 1) for i in range(40)]
+def test_toxic_documents_go(spark):
+    draw = random.Random(4)
+
+    def text(*extra):
+        words = [f"{'abcdefghij'[draw.randrange(10)]}{draw.choice(['er', 'on', 'ti', 'no', 'sa', 'lu'])}{draw.choice(['ka', 'mo', 're', 'ba'])}" for _ in range(30)] + list(extra)
+        draw.shuffle(words)
+        return " ".join(words)
+
+    insult = [(i, text("idiot"), "en", "a", 1) for i in range(40)]
+    clean = [(100 + i, text(), "en", "a", 1) for i in range(40)]
     docs = spark.createDataFrame(insult + clean, "doc_id long, text string, lang string, source string, n_chars int")
     marks = [(r[0], 1, 1) for r in insult] + [(r[0], 1, 0) for r in clean]
     labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")

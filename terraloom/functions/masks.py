@@ -34,11 +34,16 @@ def or_zero(column: Column, zero: float | int = 0) -> Column:
     return F.coalesce(column, F.lit(zero))
 
 
+def is_missing(column: str) -> str:
+    """NULL or NaN: what is counted as missing is also what gets filled."""
+    return f"(`{column}` is null or isnan(`{column}`))"
+
+
 def missing_count(columns: list[str]) -> Column:
-    return F.expr(" + ".join(f"cast(`{c}` is null as int)" for c in columns))
+    return F.expr(" + ".join(f"cast({is_missing(c)} as int)" for c in columns))
 
 
 def missing_names(columns: list[str]) -> Column:
-    """Names of the NULL columns, in the given order."""
-    names = ", ".join(f"if(`{c}` is null, '{c}', null)" for c in columns)
+    """Names of the missing columns, in the given order."""
+    names = ", ".join(f"if({is_missing(c)}, '{c}', null)" for c in columns)
     return F.expr(f"array_compact(array({names}))")

@@ -9,32 +9,32 @@ from pyspark.sql import functions as F
 
 # A block is 32 x 32 cells. A block list is far smaller than the cell list it stands for.
 BLOCK_SHIFT = 5
-# Blocks that may be broadcast: two BIGINT per row, so at most some 64 MB of hash table.
-BROADCAST_BLOCKS = 1_000_000
+BLOCK = ["block_x", "block_y"]
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """The wanted cells, and their blocks where those are few enough to broadcast."""
+    """The wanted cells and their blocks."""
 
     cells: DataFrame
-    blocks: DataFrame | None
+    blocks: DataFrame
 
-    def restrict(self, pixels: DataFrame) -> DataFrame:
-        """Rows of `pixels` on a wanted cell.
+    def near(self, pixels: DataFrame) -> DataFrame:
+        """Rows of `pixels` in a block with a wanted cell.
 
-        Blocks go first and drop most pixels in the scan stage; the exact semi join then only
-        moves the pixels near a geometry. Without blocks the exact semi join alone does the work.
+        Tables partitioned by `block_x` and `block_y` are pruned by this join. The join has no
+        hint: the block list's measured size decides how it runs.
         """
-        if self.blocks is not None:
-            near = _with_block(pixels).join(
-                F.broadcast(self.blocks), ["block_x", "block_y"], "left_semi"
-            )
-            pixels = near.drop("block_x", "block_y")
-        return pixels.join(self.cells, ["cell_x", "cell_y"], "left_semi")
+        if set(BLOCK) <= set(pixels.columns):
+            return pixels.join(self.blocks, BLOCK, "left_semi")
+        return with_block(pixels).join(self.blocks, BLOCK, "left_semi").drop(*BLOCK)
+
+    def restrict(self, pixels: DataFrame) -> DataFrame:
+        """Rows of `pixels` on a wanted cell: by blocks first, then exactly."""
+        return self.near(pixels).join(self.cells, ["cell_x", "cell_y"], "left_semi")
 
 
-def _with_block(frame: DataFrame) -> DataFrame:
+def with_block(frame: DataFrame) -> DataFrame:
     return frame.withColumns(
         {
             "block_x": F.shiftright("cell_x", BLOCK_SHIFT),
@@ -43,9 +43,6 @@ def _with_block(frame: DataFrame) -> DataFrame:
     )
 
 
-def bounds_of(cells: DataFrame, broadcast_blocks: int = BROADCAST_BLOCKS) -> Bounds:
-    """Bounds of the given cells; counts their blocks once, at most to the limit."""
+def bounds_of(cells: DataFrame) -> Bounds:
     wanted = cells.select("cell_x", "cell_y").distinct()
-    blocks = _with_block(wanted).select("block_x", "block_y").distinct()
-    few = blocks.limit(broadcast_blocks + 1).count() <= broadcast_blocks
-    return Bounds(wanted, blocks if few else None)
+    return Bounds(wanted, with_block(wanted).select(*BLOCK).distinct())

@@ -1,4 +1,4 @@
-"""Exact medians per group, also where single groups are too large for one task."""
+"""Exact medians per group."""
 
 from __future__ import annotations
 
@@ -7,45 +7,22 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark's median keeps one map entry per distinct value of a group in memory.
-HOT_ROWS = 1_000_000
 # Rank bracket around the middle, and the rank accuracy of the sketch that places it.
 BRACKET = (0.499, 0.501)
 ACCURACY = 20_000
 
 
-def exact_medians(
-    rows: DataFrame,
-    keys: list[str],
-    values: list[str],
-    largest_group: int | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def exact_medians(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Median of every column in `values` per `keys`; NULLs are ignored, an even count averages.
 
-    `largest_group` is a proven bound on a group's distinct values. Within `hot_rows` one
-    aggregation does everything. Otherwise groups are counted, and those above `hot_rows` take a
-    path that spreads each of them over many tasks.
+    For groups that stay small whatever the size of the data, such as the passes over one cell in
+    one period: a group's distinct values are held in memory. See `spread_medians` for others.
     """
-    if largest_group is not None and largest_group <= hot_rows:
-        return _plain(rows, keys, values)
-    hot = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > hot_rows)
-        .drop("__n")
-    )
-    cold_rows = rows.join(hot, keys, "left_anti")
-    hot_rows_only = rows.join(hot, keys, "left_semi")
-    return _plain(cold_rows, keys, values).unionByName(_spread(hot_rows_only, keys, values))
-
-
-def _plain(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.median(v).alias(v) for v in values])
 
 
-def _spread(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Medians by ranks: count equal values, bracket the middle with a sketch, rank inside it.
+def spread_medians(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """The same for groups that grow with the data. Medians by ranks: count equal values, bracket the middle with a sketch, rank inside it.
 
     The counts are keyed by value, so one group spreads over all tasks; only the bracket, about
     0.2 % of a group's ranks, is ordered in one place. The bracket's counted lower edge makes the
@@ -88,7 +65,14 @@ def _spread(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
         reached = (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)
         return F.max(F.when(reached, F.col("value")))
 
-    medians = inside.groupBy(*group).agg(((at(lower_rank) + at(upper_rank)) / 2).alias("median"))
+    found = inside.groupBy(*group).agg(
+        ((at(lower_rank) + at(upper_rank)) / 2).alias("median"), F.max("total").alias("total")
+    )
+    # A bracket that misses the middle would be an error of the sketch; it must not pass as NULL.
+    missed = F.raise_error(F.lit("a median fell outside its bracket"))
+    medians = found.withColumn(
+        "median", F.when(F.col("median").isNull() & (F.col("total") > 0), missed).otherwise(F.col("median"))
+    )
     pivoted = medians.groupBy(*keys).agg(
         *[F.max(F.when(F.col("band") == v, F.col("median"))).alias(v) for v in values]
     )

@@ -13,7 +13,6 @@ from terraloom.functions.et_quality import cloud_code, et_per_day, et_period, go
 from terraloom.functions.masks import flag, missing_count, missing_names
 from terraloom.schemas import (
     MISSING_STATISTIC,
-    OBSERVATION_COLUMNS,
     OUTPUT_SCHEMA,
     SCALES,
     STATISTICS,
@@ -123,7 +122,3 @@ def output_columns(frame: DataFrame) -> DataFrame:
     return frame.selectExpr(
         *[f"cast(`{f.name}` as {f.dataType.simpleString()}) as `{f.name}`" for f in OUTPUT_SCHEMA]
     )
-
-
-def observation_columns(frame: DataFrame) -> DataFrame:
-    return frame.select(*[F.col(f"`{c}`") for c in OBSERVATION_COLUMNS])

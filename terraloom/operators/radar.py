@@ -5,36 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.operators.medians import HOT_ROWS, exact_medians
+from terraloom.operators.medians import exact_medians
 from terraloom.operators.optical import PERIOD_CELL
-from terraloom.operators.periods import assign_period
 
 
-def most_scenes_in_a_period(
-    scenes: DataFrame, periods: DataFrame, enough: int = HOT_ROWS
-) -> int:
-    """A bound on the number of catalogue scenes in one period.
-
-    A cell has one value per scene, so this bounds the distinct values of any (period, cell). A
-    catalogue of at most `enough` rows bounds itself; a longer one is counted per period. One
-    number reaches the driver.
-    """
-    total = scenes.limit(enough + 1).count()
-    if total <= enough:
-        return total
-    dated = assign_period(scenes.select("scene_id", "ts"), "ts", periods)
-    per_period = dated.groupBy("period_start").agg(F.count(F.lit(1)).alias("n"))
-    return per_period.agg(F.coalesce(F.max("n"), F.lit(0))).head()[0]
-
-
-def radar_medians(
-    rows: DataFrame, largest_group: int | None = None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def radar_medians(rows: DataFrame) -> DataFrame:
     """Per period and cell: medians of each band over its own valid pixels.
 
-    VV minus VH is the difference of the two medians, not the median of differences.
+    A group holds the passes of one orbit over one cell within eight days. VV minus VH is the
+    difference of the two medians, not the median of differences.
     """
-    medians = exact_medians(rows, PERIOD_CELL, ["vv", "vh", "angle"], largest_group, hot_rows)
+    medians = exact_medians(rows, PERIOD_CELL, ["vv", "vh", "angle"])
     return medians.select(
         *PERIOD_CELL,
         F.col("vv").alias("VV_dB"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +10,13 @@ _FOLDER_KEY = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a scratch folder only for a local master."""
+    """A folder that the driver and all executors reach.
+
+    The cluster names it in `spark.checkpoint.dir`; where that is unset, the warehouse serves.
+    """
     folder = spark.conf.get(_FOLDER_KEY, None)
-    if folder:
-        return folder
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
-        raise RuntimeError(f"set {_FOLDER_KEY} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spark-terraloom-")
-    spark.conf.set(_FOLDER_KEY, folder)
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
     return folder
 
 
@@ -27,9 +24,17 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     """Write `frame` to the shared folder and read it back.
 
     Later joins then plan on the table's real size, and a lost executor re-reads files instead of
-    recomputing the whole upstream plan.
+    recomputing the whole upstream plan. The table goes when the application ends.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/terraloom/{name}-{uuid4().hex}"
+    place, files = file_system(spark, path)
+    files.deleteOnExit(place)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's path and the file system that holds it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELL = ["cell_x", "cell_y"]
@@ -58,6 +58,38 @@ def scene_dates(pixels: DataFrame, bridge: DataFrame) -> DataFrame:
     )
 
 
+def zone_summary(rows: DataFrame, valid: Column, bridge: DataFrame) -> DataFrame:
+    """Coverage and scene dates of each geometry and period from one pass over dated pixel keys.
+
+    `valid` is an aggregate over the rows of a period cell. A cell sees a scene or two a day and a
+    period has eight days, so a cell's scene list is bounded, and most cells of a geometry hold the
+    same list. Returns geom_id, period_start, share, dates_total, dates, products_total.
+    """
+    per_cell = rows.groupBy("period_start", *CELL).agg(
+        valid.alias("valid"), F.collect_set(F.struct("dd", "scene_id")).alias("scenes")
+    )
+    area = bridge.groupBy("geom_id").agg(F.sum("weight").alias("area"))
+    touched = F.when(F.col("weight") > 0, F.sort_array("scenes"))
+    per_zone = (
+        per_cell.join(bridge.select("geom_id", *CELL, "weight"), CELL)
+        .groupBy("geom_id", "period_start")
+        .agg(
+            F.sum(F.when(F.col("valid"), F.col("weight"))).alias("covered"),
+            F.array_distinct(F.flatten(F.collect_set(touched))).alias("scenes"),
+        )
+        .join(area, "geom_id")
+    )
+    days = F.array_sort(F.array_distinct(F.transform("scenes", lambda x: x["dd"].cast("string"))))
+    return per_zone.select(
+        "geom_id",
+        "period_start",
+        (F.col("covered") / F.col("area")).alias("share"),
+        F.size(days).alias("dates_total"),
+        F.array_join(days, ";").alias("dates"),
+        F.size("scenes").alias("products_total"),
+    )
+
+
 def zonal_statistics(predictors: DataFrame, bridge: DataFrame, bands: list[str]) -> DataFrame:
     """Weighted mean and population standard deviation per geometry, scale and period.
 

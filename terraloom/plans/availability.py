@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.config import AnalysisConfig
-from terraloom.functions.masks import or_zero
+from terraloom.functions.masks import all_present, or_zero
 from terraloom.operators.bounds import Bounds, bounds_of
 from terraloom.operators.observations import et_at_sites, with_period_columns, with_validity
-from terraloom.operators.optical import PERIOD_CELL, clear_pixels
+from terraloom.operators.optical import PERIOD_CELL, SCENE_CELL, clear_pixels, is_clear
 from terraloom.operators.periods import assign_period, composite_periods
-from terraloom.operators.radar import radar_valid_cells
 from terraloom.operators.stations import observation_grid
 from terraloom.operators.storage import written
-from terraloom.operators.zonal import coverage, footprint_cells_of, scene_dates
+from terraloom.operators.zonal import footprint_cells_of, zone_summary
 from terraloom.plans.inputs import Inputs, Places
 from terraloom.schemas import OPTICAL_BANDS
 from terraloom.sources.scans import scan_cloud, scan_et, scan_optical, scan_radar
@@ -22,14 +21,17 @@ from terraloom.sources.scans import scan_cloud, scan_et, scan_optical, scan_rada
 
 def periods_of(inputs: Inputs, config: AnalysisConfig) -> DataFrame:
     """The composites of the window, written once: many joins of one run read this short list."""
-    return written(composite_periods(scan_et(inputs.et_pixels, config)).coalesce(1), "periods")
+    return written(composite_periods(scan_et(inputs.et_pixels, config)), "periods")
 
 
 def optical_rows(
     inputs: Inputs, bounds: Bounds, periods: DataFrame, config: AnalysisConfig
 ) -> DataFrame:
-    """Optical pixels near the geometries, with their day and period."""
-    near = bounds.restrict(scan_optical(inputs.optical_pixels, config))
+    """Optical pixels in the blocks of the geometries, with their day and period.
+
+    What follows joins the geometries' own cells, so no exact restriction is needed here.
+    """
+    near = bounds.near(scan_optical(inputs.optical_pixels, config))
     return assign_period(near, "ts", periods)
 
 
@@ -44,13 +46,13 @@ def clear_rows(
     config: AnalysisConfig,
     needed: DataFrame | None = None,
 ) -> DataFrame:
-    """Valid optical pixels near the geometries, of the `needed` period cells if given.
+    """Valid optical pixels in the blocks of the geometries, of the `needed` period cells if given.
 
     Both sides of the scene join are restricted and screened before it. A cloud score carries the
     time of its scene, so it belongs to the same period.
     """
     rows = _needed_only(optical_rows(inputs, bounds, periods, config), needed)
-    cloud = bounds.restrict(scan_cloud(inputs.cloud_pixels, config))
+    cloud = bounds.near(scan_cloud(inputs.cloud_pixels, config))
     if needed is not None:
         cloud = _needed_only(assign_period(cloud, "ts", periods), needed)
     return clear_pixels(rows, cloud, list(OPTICAL_BANDS), config.clear_threshold)
@@ -63,12 +65,38 @@ def radar_rows(
     config: AnalysisConfig,
     needed: DataFrame | None = None,
 ) -> DataFrame:
-    """Pixels of the selected radar scenes near the geometries, of `needed` cells if given."""
-    near = bounds.restrict(inputs.sar_pixels)
+    """Pixels of the selected radar scenes in the geometries' blocks, of `needed` cells if given."""
+    near = bounds.near(inputs.sar_pixels)
     dated = assign_period(scan_radar(inputs.sar_scenes, near, config), "ts", periods)
     return _needed_only(dated, needed)
 
 
+def optical_zones(
+    inputs: Inputs, bounds: Bounds, periods: DataFrame, footprints: DataFrame, config: AnalysisConfig
+) -> DataFrame:
+    """Optical coverage and scene dates: one scan of the pixels and one of the cloud scores."""
+    rows = optical_rows(inputs, bounds, periods, config).select(
+        *SCENE_CELL, "dd", "period_start", all_present(list(OPTICAL_BANDS)).alias("present")
+    )
+    clear = (
+        bounds.near(scan_cloud(inputs.cloud_pixels, config))
+        .filter(is_clear(config.clear_threshold))
+        .select(*SCENE_CELL, F.lit(True).alias("clear"))
+    )
+    flagged = rows.join(clear, SCENE_CELL, "left")
+    valid = F.max(F.col("present") & F.coalesce("clear", F.lit(False)))
+    return zone_summary(flagged, valid, footprints)
+
+
+def radar_zones(
+    inputs: Inputs, bounds: Bounds, periods: DataFrame, footprints: DataFrame, config: AnalysisConfig
+) -> DataFrame:
+    """Radar coverage and scene dates from one scan of the pixels."""
+    rows = radar_rows(inputs, bounds, periods, config)
+    valid = F.max(F.col("vv").isNotNull()) & F.max(F.col("vh").isNotNull())
+    return zone_summary(rows, valid, footprints)
+
+
 def availability(
     inputs: Inputs, places: Places, config: AnalysisConfig, periods: DataFrame | None = None
 ) -> DataFrame:
@@ -80,39 +108,18 @@ def availability(
     periods = periods_of(inputs, config) if periods is None else periods
     footprints = footprint_cells_of(places.bridge)
     bounds = bounds_of(footprints)
-    clear = clear_rows(inputs, bounds, periods, config)
-    seen = optical_rows(inputs, bounds, periods, config)
-    radar = radar_rows(inputs, bounds, periods, config)
-
-    s2_share = coverage(clear.select(*PERIOD_CELL).distinct(), footprints)
-    s1_share = coverage(radar_valid_cells(radar), footprints)
-    s2_dates, s1_dates = scene_dates(seen, footprints), scene_dates(radar, footprints)
+    optical = optical_zones(inputs, bounds, periods, footprints, config)
+    radar = radar_zones(inputs, bounds, periods, footprints, config)
 
     zone = ["geom_id", "period_start"]
-    observed = et_at_sites(
-        observation_grid(places.sites, periods), scan_et(inputs.et_pixels, config)
-    )
-    joined = (
-        observed.join(s2_share.withColumnRenamed("share", "s2_share"), zone, "left")
-        .join(s1_share.withColumnRenamed("share", "s1_share"), zone, "left")
-        .join(
-            s2_dates.select(
-                *zone, F.col("dates_total").alias("s2_dates_total"), F.col("dates").alias("s2_dates")
-            ),
-            zone,
-            "left",
-        )
-        .join(
-            s1_dates.select(
-                *zone,
-                F.col("dates_total").alias("s1_dates_total"),
-                F.col("dates").alias("s1_dates"),
-                F.col("products_total").alias("s1_products_total"),
-            ),
-            zone,
-            "left",
-        )
-    )
+    # Only the sites' own ET cells travel to the observations.
+    own = places.sites.select("cell_x", "cell_y").distinct()
+    et = scan_et(inputs.et_pixels, config).join(own, ["cell_x", "cell_y"], "left_semi")
+    observed = et_at_sites(observation_grid(places.sites, periods), et)
+    names = ("share", "dates_total", "dates", "products_total")
+    joined = observed.join(
+        optical.withColumnsRenamed({c: f"s2_{c}" for c in names}).drop("s2_products_total"), zone, "left"
+    ).join(radar.withColumnsRenamed({c: f"s1_{c}" for c in names}), zone, "left")
     filled = joined.withColumns(
         {
             **{c: or_zero(F.col(c), 0.0) for c in ("s2_share", "s1_share")},

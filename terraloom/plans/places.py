@@ -43,7 +43,3 @@ def resolve_places(
         sites.select("cell_x", "cell_y"), et_grid, analysis, config.footprint_samples
     ).unionByName(local_cells(sites, analysis, config.local_half_width_m))
     return Places(sites, written(bridge, "bridge"), met.scale_m, rain.scale_m)
-
-
-def touched_cells(bridge: DataFrame) -> DataFrame:
-    return bridge.filter(F.col("weight") > 0).select("cell_x", "cell_y")

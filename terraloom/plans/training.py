@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.config import AnalysisConfig
+from terraloom.functions.calendar import quarter_label
 from terraloom.operators.bounds import bounds_of
 from terraloom.operators.observations import (
     output_columns,
@@ -16,8 +17,9 @@ from terraloom.operators.observations import (
     with_row_status,
 )
 from terraloom.operators.optical import PERIOD_CELL, daily_stack, medoid, optical_predictors
-from terraloom.operators.radar import most_scenes_in_a_period, radar_medians
+from terraloom.operators.radar import radar_medians
 from terraloom.operators.storage import written
+from terraloom.operators.worklist import PARTITION
 from terraloom.operators.weather import (
     attach_weather,
     hourly_derived,
@@ -34,8 +36,9 @@ from terraloom.plans.availability import (
     valid_observations,
 )
 from terraloom.plans.inputs import Inputs, Places
+from terraloom.plans.restriction import of_quarters, of_stations, window_of
 from terraloom.schemas import OPTICAL_BANDS, OPTICAL_PREDICTORS, RADAR_PREDICTORS
-from terraloom.sources.scans import scan_hourly, scan_rain, select_radar_scenes
+from terraloom.sources.scans import scan_hourly, scan_rain
 
 
 @dataclass(frozen=True)
@@ -70,10 +73,12 @@ def meteorology(
     lookback = config.rain_lookback_days
     needed = places.sites.select(F.col("met_x").alias("cell_x"), F.col("met_y").alias("cell_y"))
     wanted = hourly.join(needed.distinct(), ["cell_x", "cell_y"], "left_semi")
+    rained = places.sites.select(F.col("rain_x").alias("cell_x"), F.col("rain_y").alias("cell_y"))
+    wanted_rain = rain.join(rained.distinct(), ["cell_x", "cell_y"], "left_semi")
     return attach_weather(
         observations,
         period_weather(hourly_derived(wanted), periods),
-        period_rain(rain, periods, lookback),
+        period_rain(wanted_rain, periods, lookback),
         period_counts(hourly, rain, periods, lookback),
         places.era5_support_m,
         places.chirps_support_m,
@@ -112,8 +117,7 @@ def predictor_statistics(
     optical = optical_predictors(medoid(daily_stack(clear, bands), bands))
 
     radar = radar_rows(inputs, bounds, periods, config, needed)
-    largest = most_scenes_in_a_period(select_radar_scenes(inputs.sar_scenes, config), periods)
-    backscatter = radar_medians(radar, largest)
+    backscatter = radar_medians(radar)
 
     zone = ["geom_id", "scale", "period_start"]
     return zonal_statistics(optical, places.bridge, OPTICAL_PREDICTORS).join(
@@ -131,24 +135,23 @@ def assemble_rows(valid: DataFrame, statistics: DataFrame, config: AnalysisConfi
 def build_training_tables(
     inputs: Inputs, places: Places, config: AnalysisConfig, work: DataFrame | None = None
 ) -> TrainingTables:
-    """The whole pipeline. `work` (`station_id`, `year`, `quarter`) restricts it to those partitions.
+    """The whole pipeline. `work` (`station_id`, `year`, `quarter`) restricts it to those partitions:
+    its stations, composites and dates bound every scan before any pixel is read.
 
     Valid observations are few and steer all heavy work, so they are written once; the scans for
     the statistics then read pixels of valid observations only.
     """
     periods = periods_of(inputs, config)
+    if work is not None:
+        work = work.select("station_id", "year", "quarter").distinct()
+        places = of_stations(places, work)
+        periods = written(of_quarters(periods, work), "periods")
+        config = window_of(periods, config)
     table = valid_observations(availability(inputs, places, config, periods))
     if work is not None:
         day = F.col("period_date")
-        keyed = table.withColumns(
-            {
-                "year": F.year(day),
-                "quarter": F.concat(F.lit("Q"), F.quarter(day).cast("string")),
-            }
-        )
-        table = keyed.join(
-            work.select("station_id", "year", "quarter"), ["station_id", "year", "quarter"], "left_semi"
-        ).drop("year", "quarter")
+        keyed = table.withColumns({"year": F.year(day), "quarter": quarter_label(day)})
+        table = keyed.join(work, PARTITION, "left_semi").drop("year", "quarter")
     valid = written(table, "valid-observations")
     weather_keyed = valid.withColumnRenamed("period_start", "period_text").withColumn(
         "period_start", F.col("period_date")

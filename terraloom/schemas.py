@@ -111,6 +111,8 @@ GRIDS = columns(
     "grid_id string, kind string, origin_x double, origin_y double, "
     "step_x double, step_y double, scale_m double"
 )
+# Large pixel tables are best stored by block_x and block_y (see operators.bounds) and by month:
+# the block join then prunes files, and the window whole folders.
 ET_PIXELS = columns(
     "period_start date, cell_x bigint, cell_y bigint, et_dn int, et_qc int"
 )
@@ -124,8 +126,9 @@ CLOUD_PIXELS = columns(
 SAR_SCENES = columns(
     "scene_id string, ts timestamp_ntz, mode string, pass string, rel_orbit int, pols array<string>"
 )
+# `ts` is that of the scene: it lets the window prune pixels before they meet the catalogue.
 SAR_PIXELS = columns(
-    "scene_id string, cell_x bigint, cell_y bigint, vv double, vh double, angle double"
+    "scene_id string, ts timestamp_ntz, cell_x bigint, cell_y bigint, vv double, vh double, angle double"
 )
 MET_HOURLY = columns(
     "hour timestamp_ntz, cell_x bigint, cell_y bigint, "

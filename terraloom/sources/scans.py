@@ -65,7 +65,8 @@ def select_radar_scenes(scenes: DataFrame, config: AnalysisConfig) -> DataFrame:
 
 def scan_radar(scenes: DataFrame, pixels: DataFrame, config: AnalysisConfig) -> DataFrame:
     """Pixels of the selected scenes. The planner picks the join from the catalogue's real size."""
-    pixels = nan_as_null(pixels.select("scene_id", "cell_x", "cell_y", "vv", "vh", "angle"))
+    dated = pixels.filter(half_open(F.col("ts"), config.start, config.end))
+    pixels = nan_as_null(dated.select("scene_id", "cell_x", "cell_y", "vv", "vh", "angle"))
     return pixels.join(select_radar_scenes(scenes, config), "scene_id")
 
 

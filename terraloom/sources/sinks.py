@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import time
+from uuid import uuid4
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terraloom.functions.calendar import quarter_label
 from terraloom.operators.observations import output_columns
+from terraloom.operators.storage import file_system
 from terraloom.operators.worklist import PARTITION, pending
 from terraloom.schemas import OUTPUT_SCHEMA, SCALES, columns
 
-LEDGER = columns("station_id string, year int, quarter string")
+#: Finished partitions: the run that wrote each, and when.
+LEDGER = columns("station_id string, year int, quarter string, run string, written_at bigint")
 
 
 def write_csv(table: DataFrame, path: str) -> None:
-    """The 83 columns with a header. Spark's committer publishes the files together."""
-    output_columns(table).write.mode("overwrite").option("header", True).csv(path)
+    """The 83 columns with a header, under `path` only once they are complete.
+
+    The files are written beside `path` and take its place by renaming; an export that fails
+    leaves the old one as it was.
+    """
+    spark = table.sparkSession
+    fresh, old = f"{path}.new-{uuid4().hex}", f"{path}.old-{uuid4().hex}"
+    output_columns(table).write.option("header", True).csv(fresh)
+    target, files = file_system(spark, path)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    if files.exists(target) and not files.rename(target, path_of(old)):
+        raise OSError(f"cannot move {path} away")
+    if not files.rename(path_of(fresh), target):
+        raise OSError(f"cannot move {fresh} to {path}")
+    files.delete(path_of(old), True)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -29,32 +48,49 @@ def with_partition(table: DataFrame) -> DataFrame:
 
 
 def write_partitions(table: DataFrame, work: DataFrame, root: str) -> None:
-    """Write the partitions of `work`, then record them as done.
+    """Write the rows of `work`'s partitions as one run, then record the partitions as done.
 
-    `table` must hold rows of those partitions only. The rebalance hint makes few, even files and
-    splits a partition that is much larger than the rest. The record also covers partitions
-    without rows. A run that dies in between repeats them: the overwrite is per partition.
+    Rows outside `work` are left out. A run has a folder of its own with year and quarter below,
+    clustered by station; a reader takes each partition from the latest recorded run. So a repeated
+    partition replaces its old rows, also if it now has none, and a run that dies in between is
+    never read.
     """
-    rows = with_partition(output_columns(table)).withColumn("part_station", F.col("station_id"))
-    parts = ["part_station", "year", "quarter"]
+    run, now = uuid4().hex, time.time_ns()
+    wanted = work.select(*PARTITION).distinct()
+    rows = with_partition(output_columns(table)).join(wanted, PARTITION, "left_semi")
     (
-        rows.hint("rebalance", *parts)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*parts)
+        rows.hint("rebalance", "year", "quarter")
+        .sortWithinPartitions("year", "quarter", "station_id")
+        .withColumn("run", F.lit(run))
+        .write.mode("append")
+        .partitionBy("run", "year", "quarter")
         .parquet(f"{root}/rows")
     )
-    work.select(*PARTITION).write.mode("append").parquet(f"{root}/done")
+    recorded = wanted.withColumns({"run": F.lit(run), "written_at": F.lit(now)})
+    recorded.write.mode("append").parquet(f"{root}/done")
 
 
-def done_partitions(spark: SparkSession, root: str) -> DataFrame:
-    """Partitions that an earlier run finished; none before the first run."""
+def _stored(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    """A table that may not have been written yet."""
     try:
-        return spark.read.schema(LEDGER).parquet(f"{root}/done").distinct()
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], LEDGER)
+        return spark.createDataFrame([], schema)
+
+
+def latest_runs(spark: SparkSession, root: str) -> DataFrame:
+    """Per finished partition the run that holds its rows."""
+    ledger = _stored(spark, LEDGER, f"{root}/done")
+    return ledger.groupBy(*PARTITION).agg(
+        F.max_by("run", F.struct("written_at", "run")).alias("run")
+    )
+
+
+def done_partitions(spark: SparkSession, root: str) -> DataFrame:
+    """Partitions that an earlier run finished; none before the first run."""
+    return latest_runs(spark, root).select(*PARTITION)
 
 
 def pending_partitions(spark: SparkSession, work: DataFrame, root: str) -> DataFrame:
@@ -62,8 +98,11 @@ def pending_partitions(spark: SparkSession, work: DataFrame, root: str) -> DataF
 
 
 def read_partitions(spark: SparkSession, root: str) -> DataFrame:
-    """All partitions as one table with the output columns."""
-    return output_columns(spark.read.parquet(f"{root}/rows"))
+    """All partitions as one table with the output columns; empty before the first run."""
+    keys = columns("run string, year int, quarter string")
+    schema = T.StructType([*OUTPUT_SCHEMA.fields, *keys.fields])
+    rows = _stored(spark, schema, f"{root}/rows")
+    return output_columns(rows.join(latest_runs(spark, root), [*PARTITION, "run"], "left_semi"))
 
 
 def output_summary(table: DataFrame) -> DataFrame:

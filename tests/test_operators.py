@@ -10,7 +10,7 @@ from conftest import plan_text
 from pyspark.sql import functions as F
 
 from terraloom.operators import medians, optical, periods, radar, resample, stations, weather, zonal
-from terraloom.operators.bounds import bounds_of
+from terraloom.operators.bounds import bounds_of, with_block
 from terraloom.operators.worklist import pending, with_quarters
 from terraloom.sources.grids import Grid, read_grid
 
@@ -103,7 +103,7 @@ def test_radar_bands_have_their_own_masks(spark):
         ],
         "period_start date, cell_x bigint, cell_y bigint, vv double, vh double, angle double",
     )
-    found = {r["cell_x"]: r for r in radar.radar_medians(rows, 10).collect()}
+    found = {r["cell_x"]: r for r in radar.radar_medians(rows).collect()}
     assert (found[1]["VV_dB"], found[1]["VH_dB"], found[1]["VV_minus_VH_dB"]) == (-12.0, -21.0, 9.0)
     assert found[1]["Angle_deg"] == 32.0
     assert found[2]["VV_dB"] is None and found[2]["VV_minus_VH_dB"] is None
@@ -116,7 +116,7 @@ def test_hot_groups_have_exact_medians(spark, size):
     data = [(1, rng.gauss(0, 5), rng.choice([None, 3.0, rng.random()])) for _ in range(size)]
     data += [(2, 1.0, 2.0), (2, 4.0, None)] + [(3, 7.5, None)] * 40
     rows = spark.createDataFrame(data, "k int, x double, y double")
-    got = medians.exact_medians(rows, ["k"], ["x", "y"], hot_rows=5)
+    got = medians.spread_medians(rows, ["k"], ["x", "y"])
 
     def expected(k, i):
         values = [r[i] for r in data if r[0] == k and r[i] is not None]
@@ -127,15 +127,6 @@ def test_hot_groups_have_exact_medians(spark, size):
     }
 
 
-def test_small_catalogue_bounds_itself_and_a_large_one_is_counted(spark):
-    scenes = spark.createDataFrame(
-        [(f"s{i}", datetime(2021, 1, 1 + i)) for i in range(12)], "scene_id string, ts timestamp_ntz"
-    )
-    starts = composites(spark, START, date(2021, 1, 9))
-    assert radar.most_scenes_in_a_period(scenes, starts) == 12
-    assert radar.most_scenes_in_a_period(scenes, starts, enough=5) == 8
-
-
 def test_coverage_counts_absent_pixels_and_reaches_the_threshold_exactly(spark):
     bridge = spark.createDataFrame(
         [("g", 1, 0, 999.0), ("g", 2, 0, 1.0), ("h", 3, 0, 1.0), ("h", 4, 0, 0.5)],
@@ -174,16 +165,28 @@ def test_zonal_statistics_match_numpy_and_survive_an_offset(spark):
     assert (row["b_mean"], row["b_stdDev"]) == (pytest.approx(40.0), pytest.approx(0.0, abs=1e-9))
 
 
-def test_bounds_agree_with_and_without_blocks(spark):
+def test_bounds_keep_wanted_cells_only(spark):
     pixels = spark.range(5000).select((F.col("id") - 2500).alias("cell_x"), (F.col("id") % 7).alias("cell_y"))
     cells = spark.createDataFrame([(-33, 5), (10, 4), (10, 4), (2000, 0)], "cell_x bigint, cell_y bigint")
-    plain = bounds_of(cells, broadcast_blocks=0)
-    blocked = bounds_of(cells)
-    assert plain.blocks is None and blocked.blocks is not None
+    bounds = bounds_of(cells)
     wanted = {(-33, 5), (10, 4), (2000, 0)}
     expected = sorted(tuple(r) for r in pixels.collect() if tuple(r) in wanted)
-    for bounds in (plain, blocked):
-        assert sorted(tuple(r) for r in bounds.restrict(pixels).collect()) == expected
+    assert sorted(tuple(r) for r in bounds.restrict(pixels).collect()) == expected
+    near = {(r["cell_x"] >> 5, r["cell_y"] >> 5) for r in bounds.near(pixels).collect()}
+    assert near == {(-2, 0), (0, 0), (62, 0)}
+
+
+def test_partitioned_pixels_are_pruned_by_block(spark, tmp_path):
+    pixels = spark.range(4000).select((F.col("id") % 2000).alias("cell_x"), F.lit(0).cast("bigint").alias("cell_y"))
+    path = str(tmp_path / "pixels")
+    with_block(pixels).write.partitionBy("block_x", "block_y").parquet(path)
+    cells = spark.range(10, 13).select(F.col("id").alias("cell_x"), F.lit(0).cast("bigint").alias("cell_y"))
+    stored = spark.read.parquet(path)
+    listed = str(tmp_path / "cells")
+    cells.write.parquet(listed)
+    found = bounds_of(spark.read.parquet(listed).filter("cell_x > 0")).restrict(stored)
+    assert found.count() == 6
+    assert "dynamicpruning" in plan_text(found)
 
 
 def test_period_join_is_a_hash_join(spark):

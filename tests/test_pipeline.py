@@ -1,16 +1,18 @@
 """The whole pipeline from coordinates to written partitions, on a small hand-made scene."""
 
+from dataclasses import replace
 from datetime import date, datetime, timedelta
 
 import pytest
 from conftest import plan_text
 from pyspark.sql import functions as F
 
-from terraloom import AnalysisConfig, schemas
+from terraloom import AnalysisConfig, job, schemas
 from terraloom.operators.worklist import with_quarters
 from terraloom.plans.availability import availability
 from terraloom.plans.inputs import Inputs
 from terraloom.plans.places import resolve_places
+from terraloom.plans.restriction import of_stations, window_of
 from terraloom.plans.training import build_training_tables
 from terraloom.sources import scans, sinks
 
@@ -31,7 +33,7 @@ BANDS = list(schemas.OPTICAL_BANDS)
 
 
 @pytest.fixture(scope="module")
-def case(spark):
+def resolved(spark):
     def rows(data, schema):
         return spark.createDataFrame(data, schema)
 
@@ -85,15 +87,22 @@ def case(spark):
     optical, cloud = scenes[0]
     for more_optical, more_cloud in scenes[1:]:
         optical, cloud = optical.unionByName(more_optical), cloud.unionByName(more_cloud)
-    radar = cells.withColumn(
-        "scene_id", F.explode(F.array(*[F.lit(s) for s in ("r1", "r2", "r3", "other", "single", "mode")]))
-    ).select(
-        "scene_id", "cell_x", "cell_y",
+    passes = [
+        F.struct(F.lit(s["scene_id"]).alias("scene_id"), F.lit(s["ts"]).cast("timestamp_ntz").alias("ts"))
+        for s in inputs.sar_scenes.collect()
+    ]
+    radar = cells.withColumn("s", F.explode(F.array(*passes))).select("s.*", "cell_x", "cell_y").select(
+        "scene_id", "ts", "cell_x", "cell_y",
         F.when(F.col("scene_id") == "r1", -10.0).otherwise(-12.0).alias("vv"),
         F.lit(-18.0).alias("vh"), F.lit(38.0).alias("angle"),
     )
     inputs = Inputs(et, optical, cloud, inputs.sar_scenes, radar, inputs.met_hourly, inputs.rain_daily)
-    return inputs, places
+    return inputs, places, stations, grids
+
+
+@pytest.fixture(scope="module")
+def case(resolved):
+    return resolved[:2]
 
 
 def test_supports_skip_the_sea_cell(case):
@@ -195,6 +204,69 @@ def test_partitions_resume(spark, case, tmp_path):
         sinks.check_output(merged.withColumn("scale", F.lit("odd")))
 
 
+def test_a_rerun_without_rows_replaces_the_old_ones(spark, tables, tmp_path):
+    root = str(tmp_path / "out")
+    rows = tables.final
+    work = sinks.with_partition(rows).select("station_id", "year", "quarter").distinct()
+    sinks.write_partitions(rows, work, root)
+    assert sinks.read_partitions(spark, root).count() == rows.count()
+    sinks.write_partitions(rows.filter("station_id <> 'a'"), work, root)
+    left = sinks.read_partitions(spark, root)
+    assert left.count() == rows.filter("station_id <> 'a'").count() > 0
+    assert left.filter("station_id = 'a'").isEmpty()
+    assert sinks.pending_partitions(spark, work, root).isEmpty()
+
+
+def test_rows_outside_the_work_list_are_left_out(spark, tables, tmp_path):
+    root = str(tmp_path / "out")
+    rows = tables.final
+    work = sinks.with_partition(rows).select("station_id", "year", "quarter").distinct()
+    part = work.filter("station_id = 'a'")
+    sinks.write_partitions(rows, part, root)
+    assert {r["station_id"] for r in sinks.read_partitions(spark, root).collect()} == {"a"}
+    assert sinks.pending_partitions(spark, work, root).count() == work.count() - part.count()
+
+
+def test_partitions_before_the_first_run_are_empty(spark, tables, tmp_path):
+    root = str(tmp_path / "none")
+    assert sinks.read_partitions(spark, root).isEmpty()
+    with pytest.raises(ValueError, match="empty"):
+        sinks.check_output(sinks.read_partitions(spark, root))
+    work = sinks.with_partition(tables.final).select("station_id", "year", "quarter").distinct()
+    sinks.write_partitions(tables.final.limit(0), work, root)
+    assert sinks.read_partitions(spark, root).isEmpty()
+    assert sinks.pending_partitions(spark, work, root).isEmpty()
+
+
+def test_a_failed_export_keeps_the_old_one(spark, tables, tmp_path):
+    path = str(tmp_path / "csv")
+    sinks.write_csv(tables.final, path)
+    before = sorted(map(str, sinks.read_csv(spark, path).collect()))
+    broken = tables.final.withColumn("station", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_csv(broken, path)
+    assert sorted(map(str, sinks.read_csv(spark, path).collect())) == before
+    sinks.write_csv(tables.final.filter("scale = 'footprint'"), path)
+    assert sinks.read_csv(spark, path).count() == tables.final.filter("scale = 'footprint'").count()
+    assert [p.name for p in tmp_path.iterdir() if ".old-" in p.name] == []
+
+
+def test_a_work_list_gives_its_slice(spark, case, tables):
+    inputs, places = case
+    work = sinks.with_partition(tables.all).select("station_id", "year", "quarter").distinct()
+    part = work.filter("station_id = 'a'")
+    found = build_training_tables(inputs, places, CONFIG, part).all
+    expected = tables.all.filter("station_id = 'a'")
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+    near = of_stations(places, part)
+    assert {r["station_id"] for r in near.sites.collect()} == {"a"}
+    assert near.bridge.count() < places.bridge.count()
+    dates = spark.createDataFrame([(CONFIG.start,)], "period_start date")
+    assert window_of(dates, CONFIG).start == CONFIG.start
+    assert window_of(dates, CONFIG).end <= CONFIG.end
+    assert window_of(dates.limit(0), CONFIG) == CONFIG
+
+
 def test_plans_have_no_nested_loops(case, tables):
     inputs, places = case
     for frame in (availability(inputs, places, CONFIG), tables.all):
@@ -210,3 +282,23 @@ def test_scan_filters_reach_the_files(spark, case, tmp_path):
     text = plan_text(scans.scan_optical(stored, CONFIG, ["b2"]).select("scene_id", "b2"))
     assert "GreaterThanOrEqual(ts" in text and "LessThan(ts" in text
     assert "ReadSchema: struct<scene_id:string,ts:timestamp_ntz,b2:int>" in text
+
+
+def test_the_batch_job(spark, resolved, tables, tmp_path):
+    inputs, _, stations, grids = resolved
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    stored = {**inputs.__dict__, "stations": stations, "grids": grids}
+    for name, frame in stored.items():
+        frame.write.parquet(f"{source}/{name}")
+    counts = job.run(spark, source, target, CONFIG)
+    assert counts == {"total_rows": 6, "footprint_rows": 3, "local_60m_rows": 3, "other_rows": 0}
+    export = f"{target}/{CONFIG.output_name}"
+    first = sorted(map(str, sinks.read_csv(spark, export).collect()))
+    assert len(first) == 6
+    # Nothing is pending now; the export stays the same.
+    assert job.run(spark, source, target, CONFIG) == counts
+    assert sorted(map(str, sinks.read_csv(spark, export).collect())) == first
+
+    twice = inputs.sar_pixels.unionByName(inputs.sar_pixels.limit(1))
+    with pytest.raises(ValueError, match="sar_pixels holds 2 rows"):
+        job.check_inputs(stations, replace(inputs, sar_pixels=twice), CONFIG)

@@ -565,6 +565,7 @@ SELECTS: dict[str, str] = {
         from stats where scale = 'footprint'""",
     "q_training_table": f"select {_output_select()} from rows",
     "q_export_select": f"select {_output_select()} from rows where stats_complete = 1",
+    "q_training_resume": f"select {_output_select()} from rows where period_start >= '1998-01-01'",
     "q_output_summary": """select count(*) total_rows,
         count(*) filter (scale = 'footprint') footprint_rows,
         count(*) filter (scale = 'local_60m') local_60m_rows,
@@ -592,7 +593,7 @@ def _uses(body: str, name: str) -> bool:
 
 
 def statement(name: str) -> str:
-    """The query with just the CTEs it needs, in dependency order."""
+    """The query with just the CTEs it needs, in dependency order, each worked out once."""
     body = SELECTS[name]
     needed: list[str] = []
 
@@ -603,10 +604,10 @@ def statement(name: str) -> str:
                 needed.append(cte)
 
     visit(body)
-    ctes = [f'"{cte}" as ({CTES[cte]})' for cte in needed]
+    ctes = [f'"{cte}" as materialized ({CTES[cte]})' for cte in needed]
     inner = body.strip()
     if inner.startswith("with "):
-        ctes.append(f'"answer" as ({inner})')
+        ctes.append(f'"answer" as materialized ({inner})')
         inner = "select * from answer"
     return f"with {', '.join(ctes)} {inner}" if ctes else inner
 

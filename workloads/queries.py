@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,7 @@ from terraloom.operators import (
     zonal,
 )
 from terraloom.operators.bounds import Bounds, bounds_of
-from terraloom.operators.medians import exact_medians
+from terraloom.operators.medians import spread_medians
 from terraloom.operators.resample import resample_bilinear
 from terraloom.plans import availability as avail
 from terraloom.plans import training
@@ -44,6 +46,8 @@ REGISTRY: dict[str, Query] = {}
 BANDS = list(OPTICAL_BANDS)
 # Radius at which some stations find no valid weather cell.
 SHORT_RADIUS_M = 6_000.0
+#: First day of the resumed work list.
+RESUME_FROM = date(1998, 1, 1)
 RESAMPLE_FROM = Grid("coarse", "utm18n", 0.0, 0.0, 30.0, 30.0, 30.0)
 RESAMPLE_TO = Grid("fine", "utm18n", 5.0, 15.0, 20.0, 20.0, 20.0)
 
@@ -87,11 +91,6 @@ def _radar(spark: SparkSession, sf: str) -> DataFrame:
     return avail.radar_rows(ins, _bounds(spark, sf), _periods(spark, sf), CONFIG)
 
 
-def _largest_radar(spark: SparkSession, sf: str) -> int:
-    scenes = scans.select_radar_scenes(standins.sar_scenes(spark, sf), CONFIG)
-    return radar.most_scenes_in_a_period(scenes, _periods(spark, sf))
-
-
 # Scans and filters
 
 
@@ -407,7 +406,7 @@ def q_embedding_medoid(spark, sf):
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("v")
     )
     long = vectors.select("label", F.posexplode("v").alias("dim", "x"))
-    medians = exact_medians(long, ["label", "dim"], ["x"])
+    medians = spread_medians(long, ["label", "dim"], ["x"])
     # One entry per dimension: the list is as long as a vector.
     centres = medians.groupBy("label").agg(
         F.transform(
@@ -434,7 +433,7 @@ def q_resample_bilinear(spark, sf):
 
 @query
 def q_radar_median(spark, sf):
-    return rounded(radar.radar_medians(_radar(spark, sf), _largest_radar(spark, sf)))
+    return rounded(radar.radar_medians(_radar(spark, sf)))
 
 
 # Geometry and zones
@@ -486,11 +485,7 @@ def _statistics(spark, sf, scale):
     bounds, found = bounds_of(zones), avail.periods_of(ins, CONFIG)
     clear = avail.clear_rows(ins, bounds, found, CONFIG)
     named = optical.optical_predictors(optical.medoid(optical.daily_stack(clear, BANDS), BANDS))
-    scenes = scans.select_radar_scenes(ins.sar_scenes, CONFIG)
-    medians = radar.radar_medians(
-        avail.radar_rows(ins, bounds, found, CONFIG),
-        radar.most_scenes_in_a_period(scenes, found),
-    )
+    medians = radar.radar_medians(avail.radar_rows(ins, bounds, found, CONFIG))
     zone = ["geom_id", "scale", "period_start"]
     return rounded(
         zonal.zonal_statistics(named, zones, OPTICAL_PREDICTORS).join(
@@ -585,6 +580,17 @@ def q_training_table(spark, sf):
     return rounded(training_rows(spark, sf).all)
 
 
+@query
+def q_training_resume(spark, sf):
+    """The training table of a work list: all stations, the quarters from 1998 on."""
+    span = standins.stations(spark, sf).select("station_id")
+    work = worklist.with_quarters(span, F.lit(RESUME_FROM), F.lit(CONFIG.end))
+    rows = training.build_training_tables(
+        standins.inputs(spark, sf), standins.places(spark, sf), CONFIG, work
+    )
+    return rounded(rows.all)
+
+
 @query
 def q_export_select(spark, sf):
     final = training_rows(spark, sf).final

@@ -74,14 +74,8 @@ def standard_period(day: Column) -> Column:
 
 @once
 def _spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table that unfolds into pixels, over all cores where its files give fewer splits.
-
-    One small file is one split, and all work on its rows would be one task. A table of many files
-    stays as read.
-    """
-    frame = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+    """A table whose rows unfold into pixels, dealt evenly: a file may be one split."""
+    return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism)
 
 
 def _pixels(frame: DataFrame) -> DataFrame:
@@ -159,6 +153,7 @@ def sar_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = (F.col("o_orderkey") + F.col("cell_y")) % 7 == 0
     return _pixels(orders).select(
         F.col("o_orderkey").cast("string").alias("scene_id"),
+        F.col("o_orderdate").alias("ts"),
         "cell_x",
         "cell_y",
         F.when(~masked, level).alias("vv"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
+from terraloom.sources.grids import Grid
+
 
 @dataclass(frozen=True)
 class AnalysisConfig:
@@ -27,10 +29,15 @@ class AnalysisConfig:
     # Sub-samples per axis when a footprint is rasterised onto the analysis grid.
     footprint_samples: int = 10
     output_name: str = "multiscale_training_table"
+    # With both set, optical pixels are resampled bilinearly from the first grid to the second.
+    optical_grid: Grid | None = None
+    analysis_grid: Grid | None = None
 
     def __post_init__(self) -> None:
         if self.end <= self.start:
             raise ValueError(f"window end {self.end} must be later than its start {self.start}")
+        if (self.optical_grid is None) != (self.analysis_grid is None):
+            raise ValueError("resampling needs both grids")
 
     @property
     def utm_zone(self) -> int:

@@ -11,6 +11,7 @@ from terraloom.operators.bounds import Bounds, bounds_of
 from terraloom.operators.observations import et_at_sites, with_period_columns, with_validity
 from terraloom.operators.optical import PERIOD_CELL, SCENE_CELL, clear_pixels, is_clear
 from terraloom.operators.periods import assign_period, composite_periods
+from terraloom.operators.resample import resample_bilinear
 from terraloom.operators.stations import observation_grid
 from terraloom.operators.storage import written
 from terraloom.operators.zonal import footprint_cells_of, zone_summary
@@ -24,6 +25,22 @@ def periods_of(inputs: Inputs, config: AnalysisConfig) -> DataFrame:
     return written(composite_periods(scan_et(inputs.et_pixels, config)), "periods")
 
 
+def optical_pixels(inputs: Inputs, config: AnalysisConfig) -> DataFrame:
+    """Optical pixels of the window on the analysis grid; resampled only if the run asks for it.
+
+    Resampled numbers become integers again, so that medoid scores stay exact.
+    """
+    pixels = scan_optical(inputs.optical_pixels, config)
+    if config.optical_grid is None:
+        return pixels
+    bands = list(OPTICAL_BANDS)
+    scene = ["scene_id", "ts", "mgrs_tile"]
+    blended = resample_bilinear(pixels, bands, config.optical_grid, config.analysis_grid, scene)
+    # Weights are not exact in binary: what is meant to be half must not fall below it.
+    whole = {b: F.floor(F.col(b) + F.lit(0.5 + 1e-6)).cast("int") for b in bands}
+    return blended.withColumns(whole)
+
+
 def optical_rows(
     inputs: Inputs, bounds: Bounds, periods: DataFrame, config: AnalysisConfig
 ) -> DataFrame:
@@ -31,7 +48,7 @@ def optical_rows(
 
     What follows joins the geometries' own cells, so no exact restriction is needed here.
     """
-    near = bounds.near(scan_optical(inputs.optical_pixels, config))
+    near = bounds.near(optical_pixels(inputs, config))
     return assign_period(near, "ts", periods)
 
 

@@ -418,6 +418,13 @@ SELECTS: dict[str, str] = {
     "q_scan_stations": f"""select station_id, station, {_r("longitude", "longitude")},
         {_r("latitude", "latitude")} from stations""",
     "q_scan_optical": "select * from opt_win",
+    "q_optical_resampled": f"""select scene_id, ts, mgrs_tile, cell_x, t cell_y,
+        {", ".join(f"""cast(case when sum(w) filter ({b} is not null) > 1 - 1e-9
+          then floor(sum(w * {b}) / sum(w) filter ({b} is not null) + 0.500001e0) end as integer) {b}"""
+          for b in BANDS)}
+        from opt_win join (select px, t, 1 - abs((10e0 + 20 * t) - (15e0 + 30 * px)) / 30e0 w
+            from range(0, 4) p(px), range(-1, 8) s(t)) on px = cell_y and w > 0
+        group by all having b2 is not null""",
     "q_scan_radar": f"""select scene_id, cell_x, cell_y, {_r("vv", "vv")}, {_r("vh", "vh")},
         {_r("angle", "angle")}, ts from sar_pixels join sar_selected using (scene_id)""",
     "q_scan_hourly": f"""select "hour", cell_x, 0::bigint cell_y,

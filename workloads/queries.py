@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +46,8 @@ REGISTRY: dict[str, Query] = {}
 BANDS = list(OPTICAL_BANDS)
 # Radius at which some stations find no valid weather cell.
 SHORT_RADIUS_M = 6_000.0
+COLUMNS_FROM = Grid("stored", "utm18n", 0.0, 0.0, 20.0, 30.0, 30.0)
+COLUMNS_TO = Grid("analysis", "utm18n", 0.0, 0.0, 20.0, 20.0, 20.0)
 #: First day of the resumed work list.
 RESUME_FROM = date(1998, 1, 1)
 RESAMPLE_FROM = Grid("coarse", "utm18n", 0.0, 0.0, 30.0, 30.0, 30.0)
@@ -110,6 +112,14 @@ def q_scan_optical(spark, sf):
     return _bounds(spark, sf).restrict(pixels)
 
 
+@query
+def q_optical_resampled(spark, sf):
+    """The optical scan with resampling switched on; columns align, rows are 30 m and become 20 m."""
+    config = replace(CONFIG, optical_grid=COLUMNS_FROM, analysis_grid=COLUMNS_TO)
+    pixels = avail.optical_pixels(standins.inputs(spark, sf), config)
+    return pixels.filter("b2 is not null")
+
+
 @query
 def q_scan_radar(spark, sf):
     return rounded(

@@ -389,6 +389,15 @@ def _utm_inverse(source: str) -> str:
 
 
 CTES["boxes"] = _utm_forward("select station_id, longitude lon, latitude lat from stations")
+CTES["box_cells"] = """
+    select station_id geom_id, 'local_60m' scale, cell_x, cell_y, w from (
+      select *, greatest(least((cell_x + 1) * 20e0, x + 30) - greatest(cell_x * 20e0, x - 30), 0)
+        * greatest(least((cell_y + 1) * 20e0, y + 30) - greatest(cell_y * 20e0, y - 30), 0)
+        / 400e0 w
+      from (select *, cast(floor(x / 20) as bigint) + dx cell_x,
+          cast(floor(y / 20) as bigint) + dy cell_y
+        from boxes cross join generate_series(-2, 2) a(dx)
+          cross join generate_series(-2, 2) b(dy))) where w > 0"""
 CTES["corners"] = _utm_forward("""
     select ex, ey, (cx - 0) / (6371007.181e0 * cos(cy / 6371007.181e0)) * 180e0 / pi() lon,
       degrees(cy / 6371007.181e0) lat
@@ -531,18 +540,20 @@ SELECTS: dict[str, str] = {
         where w > 0 group by 1, 2 having sum(w) > 1 - 1e-9""",
     "q_radar_median": f"""select period_start, cell_x, cell_y,
         {", ".join(_r(b, b) for b in RADAR_PREDICTORS)} from radar_predictors""",
-    "q_local_cells": f"""select station_id geom_id, 'local_60m' scale, cell_x, cell_y,
-        {_r("w", "weight")} from (
-          select *, greatest(least((cell_x + 1) * 20e0, x + 30) - greatest(cell_x * 20e0, x - 30), 0)
-            * greatest(least((cell_y + 1) * 20e0, y + 30) - greatest(cell_y * 20e0, y - 30), 0)
-            / 400e0 w
-          from (select *, cast(floor(x / 20) as bigint) + dx cell_x,
-              cast(floor(y / 20) as bigint) + dy cell_y
-            from boxes cross join generate_series(-2, 2) a(dx)
-              cross join generate_series(-2, 2) b(dy))) where w > 0""",
+    "q_local_cells": f"""select geom_id, scale, cell_x, cell_y, {_r("w", "weight")} from box_cells""",
     "q_footprint_cells": f"""select cast((ex + 1000000) * 10000000 + (ey + 1000000) as varchar)
         geom_id, 'footprint' scale, ix cell_x, iy cell_y, {_r("hits / 100e0", "weight")}
         from voted where hits > 0""",
+    "q_resolved_stats": f"""select geom_id, scale, {_r("m", "value_mean")},
+        {_r("sqrt(greatest(sum(w * (v - m) * (v - m)) / sum(w), 0))", "value_stdDev")}
+        from (select *, sum(w * v) over (partition by geom_id, scale)
+            / sum(w) over (partition by geom_id, scale) m
+          from (select geom_id, scale, w,
+              cast((cell_x * 7 + cell_y * 13) % 101 as double) v
+            from (select cast((ex + 1000000) * 10000000 + (ey + 1000000) as varchar) geom_id,
+                'footprint' scale, ix cell_x, iy cell_y, hits / 100e0 w from voted where hits > 0
+              union all select geom_id, scale, cell_x, cell_y, w from box_cells)))
+        group by geom_id, scale, m""",
     "q_optical_coverage": f"""select geom_id, period_start, {_r("share", "share")}
         from opt_cover""",
     "q_radar_coverage": f"select geom_id, period_start, {_r('share', 'share')} from sar_cover",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import asdict, replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +26,9 @@ from terraloom.operators.medians import spread_medians
 from terraloom.operators.resample import resample_bilinear
 from terraloom.plans import availability as avail
 from terraloom.plans import training
+from terraloom.plans.places import resolve_places
 from terraloom.schemas import (
+    GRIDS,
     OPTICAL_BANDS,
     OPTICAL_PREDICTORS,
     OUTPUT_SCHEMA,
@@ -464,6 +466,34 @@ def q_footprint_cells(spark, sf):
     )
 
 
+def _resolved_places(spark, sf):
+    """Stations put on all grids by the library; weather cells are valid in the first hour."""
+    hour = F.lit(CONFIG.start).cast("timestamp_ntz")
+    nothing = [F.lit(0.0).alias(c) for c in ("d2m", "u10", "v10", "ssrd")]
+    hourly = standins.met_cells(spark, sf).select(
+        hour.alias("hour"), "cell_x", "cell_y", F.lit(290.0).alias("t2m"), *nothing
+    )
+    named = {"et": ET_GRID, "analysis": ANALYSIS_GRID, "met": MET_GRID, "rain": MET_GRID}
+    grids = spark.createDataFrame(
+        [(name, *list(asdict(grid).values())[1:]) for name, grid in named.items()], GRIDS
+    )
+    ins = replace(standins.inputs(spark, sf), met_hourly=hourly)
+    return resolve_places(standins.stations(spark, sf), grids, ins, CONFIG)
+
+
+@query
+def q_resolved_stats(spark, sf):
+    """Statistics over true footprints and boxes, from a raster that reaches far beyond them."""
+    bridge = _resolved_places(spark, sf).bridge
+    wide = F.transform(F.sequence(F.lit(-96), F.lit(96), F.lit(48)), lambda d: F.col("cell_x") + d)
+    raster = bridge.select(F.explode(wide).alias("cell_x"), "cell_y").distinct()
+    value = ((F.col("cell_x") * 7 + F.col("cell_y") * 13) % 101).cast("double")
+    inside = bounds_of(bridge).restrict(raster).select(
+        F.lit(CONFIG.start).alias("period_start"), "cell_x", "cell_y", value.alias("value")
+    )
+    return rounded(zonal.zonal_statistics(inside, bridge, ["value"]).drop("period_start"))
+
+
 @query
 def q_optical_coverage(spark, sf):
     cells = _clear(spark, sf).select(*optical.PERIOD_CELL).distinct()

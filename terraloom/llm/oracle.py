@@ -108,28 +108,98 @@ from judged
 
 
 def _secrets() -> str:
-    """RE2 has no look-around: the weak kinds are found in runs that SQL cuts at the same places."""
-    patterns = {
-        "assign": secrets.ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)",
-                                         "(?:(?i)password|passwd|secret|token|api_?key)"),
-        "access": secrets.ACCESS,
-        "hex": secrets.HEX,
+    """Parts by running sums of gaps and matches; links by comparing all parts of a text.
+
+    RE2 has no look-around: identifiers and keys are whole runs of their characters that pass.
+    """
+    assign = secrets.ASSIGN.replace("(?i:", "(?:(?i)")
+    group = secrets.ASSIGN.replace("(?i:", "(?:(?i)")
+    kinds = {
+        "assign": (assign, f"length(regexp_extract(m, {_quoted(group)}, 1)) >= 12"),
+        "access": (secrets.ACCESS, "length(m) >= 18"),
+        "hex": ("[0-9a-f]+", "length(m) >= 16"),
+        "id": (
+            "[A-Za-z0-9]+",
+            "regexp_full_match(m, '[A-Z][A-Z0-9]{11,31}') and regexp_matches(m, '[0-9]')",
+        ),
+        "key": (
+            "[A-Za-z0-9+/]+",
+            "length(m) between 32 and 128 and regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')",
+        ),
+        "endpoint": (secrets.ENDPOINT, f"regexp_matches(m, {_quoted(secrets.HOST)})"),
     }
-    parts = []
-    for kind, pattern in patterns.items():
-        passes = {
-            "assign": f"length(regexp_extract(m, {_quoted(pattern)}, 1)) >= 12",
-            "access": "length(m) >= 18",
-            "hex": "true",
-        }[kind]
-        parts.append(
-            f"select row_id, '{kind}' as kind, m, g, place, {passes} as ok from (select row_id,"
-            f" unnest(regexp_extract_all(text, {_quoted(pattern)})) as m,"
-            f" unnest(list_slice(regexp_split_to_array(text, {_quoted(pattern)}), 1,"
-            f" len(regexp_extract_all(text, {_quoted(pattern)})))) as g,"
-            f" generate_subscripts(regexp_extract_all(text, {_quoted(pattern)}), 1) as place from docs)"
-        )
-    return " union all ".join(parts)
+    parts = " union all ".join(
+        f"""select row_id, {turn} as turn, '{kind}' as kind, m, stop, {passes} as ok from (
+          select row_id, m, sum(length(g) + length(m)) over (partition by row_id order by place) as stop
+          from (select row_id, unnest(regexp_extract_all(text, {_quoted(pattern)})) as m,
+              unnest(list_slice(string_split_regex(text, {_quoted(pattern)}), 1,
+                len(regexp_extract_all(text, {_quoted(pattern)})))) as g,
+              unnest(range(1, len(regexp_extract_all(text, {_quoted(pattern)})) + 1)) as place
+            from docs))"""
+        for turn, (kind, (pattern, passes)) in enumerate(kinds.items(), 1)
+    )
+    return f"""
+with docs as (
+  select row_number() over () as row_id, doc_id, coalesce(text, '') as text from documents
+), parts as (
+  select row_id, turn, kind, (stop - length(m))::int as start, stop::int as stop,
+    case when kind in ('access', 'id') then 'id' when kind in ('assign', 'hex', 'key') then 'key'
+      else 'endpoint' end as role
+  from ({parts}) where ok
+), clear as (
+  select * from parts p where turn <= 3 or not exists (select 1 from parts b
+    where b.row_id = p.row_id and b.turn <= 3 and b.start < p.stop and p.start < b.stop)
+), linked as (
+  select w.row_id, w.turn, w.kind, w.start, w.stop, w.role,
+    bool_or(o.role = 'id') as has_id, bool_or(o.role = 'key') as has_key, bool_or(o.role = 'endpoint') as has_endpoint
+  from clear w join clear o on o.row_id = w.row_id and abs(o.start - w.start) <= {secrets.SCOPE} and o.role <> w.role
+  where w.turn > 3 group by all
+), reported as (
+  select row_id, turn, kind, start, stop from clear where turn <= 3
+  union all select row_id, turn, kind, start, stop from linked
+  where (role = 'id' and has_key) or (role = 'key' and (has_id or has_endpoint))
+    or (role = 'endpoint' and has_id and has_key)
+), joined as (
+  select row_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+    count(*) filter (kind = 'hex') as n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, turn) filter (turn <= 3) as base,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, turn) as spans
+  from reported group by row_id
+)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access,
+  coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join joined using (row_id)
+"""
+
+
+def _near(words: int = 3, percent: int = 85) -> str:
+    """All pairs that share a shingle, and components by walking the links."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+with recursive docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{_WORD}') as words
+  from documents
+), shingles as (
+  select distinct doc_id, array_to_string(list_slice(words, place, place + {words - 1}), ' ') as shingle
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - {words - 1}, 1) + 1)) as place
+    from docs where len(words) > 0)
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n
+  from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all
+), links as (
+  select a, b from pairs p join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * p.n >= {percent} * (x.n + y.n - p.n)
+), both_ways as (
+  select a, b from links union all select b, a from links
+), reached as (
+  select a, b from both_ways union select r.a, l.b from reached r join both_ways l on l.a = r.b
+)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
+from (select d.doc_id, s.n, least(d.doc_id, coalesce((select min(b) from reached r where r.a = d.doc_id), d.doc_id)) as component_id
+  from docs d left join sizes s on s.doc_id = d.doc_id)
+"""
 
 
 def _search(k: int = 20) -> str:
@@ -152,5 +222,7 @@ def statements() -> dict[str, str]:
     return {
         "op2_source_mix": _mix(),
         "op3_line_frequency": _lines(),
+        "op4_secret_links": _secrets(),
+        "op7_minhash_dedup": _near(),
         "op8_top_k": _search(),
     }

@@ -33,7 +33,9 @@ HEX = r"[0-9a-f]{16,}"
 #: The weak kinds: bare upper-case identifiers, long mixed strings, and hosts.
 ID = r"(?<![A-Za-z0-9])[A-Z][A-Z0-9]{11,31}(?![A-Za-z0-9])"
 KEY = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,128}(?![A-Za-z0-9+/])"
-ENDPOINT = r"https?://[^\x20\x09-\x0D\"'<>]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|io)(?![a-z0-9])"
+ENDPOINT = r"https?://[^\x20\x09-\x0D\"'<>]+|[a-z0-9-]+(?:\.[a-z0-9-]+)+"
+#: An endpoint is an address, or a dotted name with one of these ends.
+HOST = r"^https?://|\.(com|net|org|io)$"
 
 
 def _matches(text: Column, kind: str, pattern: str, passes) -> Column:
@@ -67,7 +69,7 @@ def scan(docs: DataFrame) -> DataFrame:
         _matches(text, "hex", HEX, lambda m: F.lit(True)),
         _matches(text, "id", ID, lambda m: m.rlike("[0-9]")),
         _matches(text, "key", KEY, _mixed),
-        _matches(text, "endpoint", ENDPOINT, lambda m: F.lit(True)),
+        _matches(text, "endpoint", ENDPOINT, lambda m: m.rlike(HOST)),
     )
     found = common.id_and_text(docs).select(
         "doc_id", F.md5("text").alias("text_key"), parts.alias("parts")

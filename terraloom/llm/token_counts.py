@@ -29,8 +29,13 @@ CHUNK_BYTES = 8 << 20
 #: Sums held by a task before they are passed on.
 HELD_SUMS = 4 << 20
 
-#: White space as the tokenizers library's pattern engine has it; Python's \s has four more.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+#: White space as the tokenizers library's pattern engine has it, by code points; Python's \\s has
+#: four more.
+_SPACE_RANGES = (
+    (0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+)
+_SPACE = "".join(f"{chr(a)}-{chr(b)}" for a, b in _SPACE_RANGES)
 #: The split of byte-level BPE before merges: fixed values of the vocabulary's format.
 SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"

@@ -152,7 +152,7 @@ def spans_by_loops(text, scope):
         for m in re.finditer(secrets.KEY, text)
         if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
     ]
-    weak += [(m.start(), 6, "endpoint", m.end()) for m in re.finditer(secrets.ENDPOINT, text)]
+    weak += [(m.start(), 6, "endpoint", m.end()) for m in re.finditer(secrets.ENDPOINT, text) if re.search(secrets.HOST, m[0])]
     weak = [w for w in weak if not any(w[0] < b[3] and b[0] < w[3] for b in base)]
     role = {"access": "id", "id": "id", "assign": "key", "hex": "key", "key": "key", "endpoint": "endpoint"}
     out = list(base)

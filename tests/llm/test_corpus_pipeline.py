@@ -7,7 +7,7 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 import tiktoken
-from conftest import ROWS
+from corpus_rows import ROWS
 
 import __spark_entry__ as entry
 from terraloom.llm import mixing, toxicity

@@ -4,7 +4,7 @@ import math
 from collections import Counter
 
 import pytest
-from conftest import ROWS
+from corpus_rows import ROWS
 from pyspark.sql import functions as F
 
 from terraloom.llm import licences

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import ROWS, python_words
+from corpus_rows import ROWS, python_words
 from pyspark.sql import functions as F
 
 from terraloom.llm import line_frequency, mixing, near_dedup, secrets, top_k

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import ROWS
+from corpus_rows import ROWS
 
 from terraloom.llm import deobfuscation, toxicity
 

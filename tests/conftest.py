@@ -24,7 +24,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def plan_text(frame) -> str:
-    return frame._jdf.queryExecution().toString()

@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
-from conftest import plan_text
+from plan_helpers import plan_text
 from pyspark.sql import functions as F
 
 from terraloom.operators import medians, optical, periods, radar, resample, stations, weather, zonal

@@ -4,7 +4,7 @@ from dataclasses import replace
 from datetime import date, datetime, timedelta
 
 import pytest
-from conftest import plan_text
+from plan_helpers import plan_text
 from pyspark.sql import functions as F
 
 from terraloom import AnalysisConfig, job, schemas

@@ -244,15 +244,16 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     listed = sets.join(nodes.select("node").distinct(), "node", "left_semi").mapInArrow(
         _exploded, "node long, n_shingles long, shingle long"
     )
-    listed = written(listed, "near-shingles")
-    rarity = listed.groupBy("shingle").agg(F.count("*").alias("held"))
+    # A shingle stands once in a set, so none holds more than its share of the rows.
+    held = F.count("*").over(Window.partitionBy("shingle"))
     order = Window.partitionBy("node").orderBy("held", "shingle")
+    least = F.ceil(F.col("n_shingles") * rule.percent / 100 - F.lit(1e-9))  # no partner is smaller
     placed = (
-        listed.join(rarity, "shingle")
-        .select("node", "n_shingles", "shingle", (F.row_number().over(order) - 1).alias("place"))
-        # No partner is smaller than this.
-        .filter(F.col("place") <= F.col("n_shingles") - F.ceil(F.col("n_shingles") * rule.percent / 100 - F.lit(1e-9)))
+        listed.withColumn("held", held)
+        .withColumn("place", F.row_number().over(order) - 1)
+        .filter(F.col("place") <= F.col("n_shingles") - least)
         .join(nodes, "node")
+        .select("node", "n_shingles", "shingle", "place", "component")
     )
     placed = written(placed, "near-prefixes")
     parts = placed.groupBy("shingle", "component").agg(

@@ -80,18 +80,23 @@ def _postings(special: list[str]):
                 for token, times in found.items():
                     held = places.get(token)
                     if held is None:
-                        places[token], counts[token] = [place], [times]
-                    else:
+                        held, counts[token] = places.setdefault(token, []), []
+                    while times > 255:  # frequencies take one byte; larger ones several postings
                         held.append(place)
-                        counts[token].append(times)
+                        counts[token].append(255)
+                        times -= 255
+                    held.append(place)
+                    counts[token].append(times)
             tokens = list(places)
-            rows = [_packed(places[t], counts[t]) for t in tokens]
+            rows = [np.array(places[t], "<u2").tobytes() for t in tokens]
+            times_of = [bytes(counts[t]) for t in tokens]
             # The chunk's own row: which document stands at which place. No pre-token is empty.
             sizes = np.array([len(t.encode()) for t in texts], "<i8").tobytes()
             real = np.array([-1 if i is None else 0 for i in ids], "<i8").tobytes()
             known = np.array([i or 0 for i in ids], "<i8").tobytes()
             tokens.append("")
             rows.append(known + sizes + real)
+            times_of.append(b"")
             for start in range(0, len(tokens), 20_000):
                 cut = slice(start, start + 20_000)
                 yield pa.record_batch(
@@ -99,25 +104,19 @@ def _postings(special: list[str]):
                         pa.array(tokens[cut], pa.string()),
                         pa.array([chunk] * len(tokens[cut]), pa.int64()),
                         pa.array(rows[cut], pa.binary()),
+                        pa.array(times_of[cut], pa.binary()),
                     ],
-                    ["token", "chunk", "posting"],
+                    ["token", "chunk", "places", "times"],
                 )
 
     return run
 
 
-def _packed(places: list[int], counts: list[int]) -> bytes:
-    """Places as 16-bit numbers, then counts in as few bytes as the largest needs."""
-    top = max(counts)
-    width = "<u1" if top < 256 else "<u4"
-    head = b"\1" if top < 256 else b"\4"
-    return head + np.array(places, "<u2").tobytes() + np.array(counts, width).tobytes()
-
-
-def _unpacked(row: bytes) -> tuple[np.ndarray, np.ndarray]:
-    width = row[0]
-    n = (len(row) - 1) // (2 + width)
-    return np.frombuffer(row, "<u2", n, 1), np.frombuffer(row, f"<u{width}", n, 1 + 2 * n)
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Length of each value, and all values in a row."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], "<i4", len(column) + 1, 4 * column.offset)
+    return np.diff(ends), memoryview(column.buffers()[2] or b"")[ends[0] : ends[-1]]
 
 
 def _summed(tokenizer_file: str, special: list[str]):
@@ -143,28 +142,29 @@ def _summed(tokenizer_file: str, special: list[str]):
             sums.clear()
             return batch
 
-        for batch in common.arrow_rows(batches, 4_000):
+        for batch in common.arrow_rows(batches, 10_000):
+            listed = np.array([t == "" for t in batch.column(0).to_pylist()], bool)
+            own = batch.filter(pa.array(listed))
+            lists = list(zip(own.column(1).to_pylist(), own.column(2).to_pylist(), strict=True))
+            batch = batch.filter(pa.array(~listed))
             tokens = batch.column(0).to_pylist()
-            chunks = batch.column(1).to_pylist()
-            rows = batch.column(2).to_pylist()
-            new = [t for t in dict.fromkeys(tokens) if t and t != last]
+            new = [t for t in dict.fromkeys(tokens) if t != last]
             coded = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            times = dict(zip(new, map(len, coded), strict=True))
-            if last is not None:
-                times.setdefault(last, pieces)
-            lists = []
-            for token, chunk, row in zip(tokens, chunks, rows, strict=True):
-                if not token:
-                    lists.append((chunk, row))
-                    continue
-                place, count = _unpacked(row)
-                held = sums.get(chunk)
-                if held is None:
-                    held = sums[chunk] = np.zeros(CHUNK_DOCS, "<i8")
-                held[place] += count.astype("<i8") * times[token]
+            pieces_of = dict(zip(new, map(len, coded), strict=True))
+            pieces_of.setdefault(last, pieces)
             if tokens:
-                last = tokens[-1] or None
-                pieces = times.get(last, 0)
+                last, pieces = tokens[-1], pieces_of[tokens[-1]]
+                # The join: each posting meets the count of its pre-token; sums go by place.
+                sizes, flat = _bytes_of(batch.column(2))
+                _, frequencies = _bytes_of(batch.column(3))
+                met = np.array([pieces_of[t] for t in tokens], "<i8").repeat(sizes // 2)
+                chunks, which = np.unique(np.asarray(batch.column(1)), return_inverse=True)
+                at = which.repeat(sizes // 2) * CHUNK_DOCS + np.frombuffer(flat, "<u2")
+                added = met * np.frombuffer(frequencies, "<u1")
+                total = np.bincount(at, added, len(chunks) * CHUNK_DOCS).astype("<i8")
+                for chunk, part in zip(chunks.tolist(), total.reshape(-1, CHUNK_DOCS), strict=True):
+                    held = sums.get(chunk)
+                    sums[chunk] = part.copy() if held is None else held + part
             if lists:
                 yield pa.record_batch(
                     [
@@ -221,7 +221,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, special: list[str]) -> Da
     spark = docs.sparkSession
     parts = common.tasks(spark)
     postings = common.id_and_text(docs).mapInArrow(
-        _postings(special), "token string, chunk long, posting binary"
+        _postings(special), "token string, chunk long, places binary, times binary"
     )
     # The chunks' own rows share an empty pre-token; they are dealt by chunk instead.
     dealt = F.xxhash64("token", F.when(F.col("token") == "", F.col("chunk")))

@@ -67,6 +67,16 @@ def test_token_counts_equal_the_library(docs, no_docs, monkeypatch):
     assert token_counts.count_tokens(no_docs, BYTES, ["<|endoftext|>"]).count() == 0
 
 
+def test_token_counts_over_chunks_and_high_frequencies(spark, monkeypatch):
+    tokenizer = Tokenizer.from_file(BYTES)
+    texts = ["a " * n + f"tail{n}" for n in (1, 254, 255, 256, 511, 3000)] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(token_counts, "CHUNK_BYTES", 1000)
+    found = token_counts.count_tokens(docs, BYTES, ["<|endoftext|>"])
+    expected = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in found.collect()} == expected
+
+
 def test_split_equals_the_library():
     import regex
 

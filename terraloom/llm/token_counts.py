@@ -25,7 +25,7 @@ from terraloom.llm import common
 #: Documents of a chunk; bounds what a task holds.
 CHUNK_DOCS = 4096
 #: Text of a chunk in bytes, after which it ends.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 #: Sums held by a task before they are passed on.
 HELD_SUMS = 4 << 20
 

@@ -1,8 +1,10 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from ancestor directories.
 
-Every line of a file is compared to every template as a sparse vector of its words, weighted by
-inverse document frequencies over all files. A line that is near enough to a template states that
-licence. A licence file's statement holds for its directory. A file without a statement of its own
+Every run of consecutive lines of a file, from single lines over header blocks to the whole file, is
+compared to every template (full licence texts, headers and one-line statements) as a sparse vector
+of its words, weighted by inverse document frequencies over all files. A run that is near enough to a
+template states that licence; the nearest run of a file counts. Runs are left out only where a bound
+shows that they cannot be the nearest. A licence file's statement holds for its directory. A file without a statement of its own
 takes the licence of the nearest directory above it that has a licence file: its directory is
 unfolded into its ancestors, joined to the directories with a licence, and the deepest one is taken.
 
@@ -17,7 +19,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from importlib import resources
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,24 +29,36 @@ from pyspark.sql import functions as F
 from terraloom.llm import common
 from terraloom.operators.storage import written
 
-#: Fixed texts of public licences: their usual statements and the openings of their files.
-TEMPLATES = {
+#: Names of the licences; `licence_texts` holds the full text of each.
+NAMES = ("Apache-2.0", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "GPL-3.0", "MIT")
+#: Short kinds of templates: titles, one-line statements, and the headers of source files.
+STATEMENTS = {
     "Apache-2.0": (
+        "Apache License, Version 2.0",
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file"
         " except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file"
+        " except in compliance with the License. You may obtain a copy of the License at"
+        " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to"
+        " in writing, software distributed under the License is distributed on an AS IS BASIS,"
+        " WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License"
+        " for the specific language governing permissions and limitations under the License.",
         "Apache License Version 2.0, January 2004",
     ),
     "BSD-3-Clause": (
+        "BSD 3-Clause License",
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are"
         " permitted provided that the following conditions are met:",
     ),
     "CC-BY-4.0": (
+        "Creative Commons Attribution 4.0 International Public License",
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ),
     "CC-BY-NC-4.0": (
+        "Creative Commons Attribution-NonCommercial 4.0 International Public License",
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0"
         " International License.",
@@ -51,18 +67,36 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of"
         " the GNU General Public License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of"
+        " the GNU General Public License as published by the Free Software Foundation, either"
+        " version 3 of the License, or (at your option) any later version. This program is"
+        " distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the"
+        " implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU"
+        " General Public License for more details. You should have received a copy of the GNU"
+        " General Public License along with this program. If not, see"
+        " https://www.gnu.org/licenses/.",
         "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     ),
     "MIT": (
+        "MIT License",
+        "The MIT License (MIT)",
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this"
         " software and associated documentation files",
     ),
 }
+
+
+def full_text(name: str) -> str:
+    return (resources.files("terraloom.llm") / "licence_texts" / f"{name}.txt").read_text("utf-8")
+
+
+#: What files are compared with.
+TEMPLATES = {name: (*STATEMENTS[name], full_text(name)) for name in NAMES}
 #: Least cosine of a statement.
 NEAR = 0.8
-#: Lines without any of these words are near no template: each template holds one of them, and the
+#: Files without any of these words are near no template: each template holds one of them, and the
 #: rest of a template's words do not reach NEAR.
 HINT = re.compile("licen[sc]e|permission|redistribution|free software", re.I)
 
@@ -98,8 +132,12 @@ def document_frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
     return found, found.pop("", 0)
 
 
+#: Cosines that differ by less are equal.
+EQUAL = 1e-9
+
+
 class Matcher:
-    """The nearest template of a line."""
+    """The nearest template of a text, and the nearest run of its lines."""
 
     def __init__(self, frequencies: dict[str, int], files: int) -> None:
         self.weight = {w: self._idf(frequencies.get(w, 0), files) for w in vocabulary()}
@@ -112,6 +150,16 @@ class Matcher:
                 for word in vector:
                     self.holding.setdefault(word, []).append(len(self.templates))
                 self.templates.append((name, vector, norm))
+        #: By word: its weight times that in each template, over the template's norm.
+        self.shares = {w: np.zeros(len(self.templates)) for w in self.holding}
+        for place, (_, vector, norm) in enumerate(self.templates):
+            for word, weight in vector.items():
+                self.shares[word][place] = self.weight[word] * weight / norm
+        #: By word: its part of each template's squared norm.
+        self.parts = {w: np.zeros(len(self.templates)) for w in self.holding}
+        for place, (_, vector, norm) in enumerate(self.templates):
+            for word, weight in vector.items():
+                self.parts[word][place] = (weight / norm) ** 2
 
     @staticmethod
     def _idf(found: int, files: int) -> float:
@@ -130,9 +178,9 @@ class Matcher:
         norm = math.sqrt(sum(w * w for w in vector.values()) + others * self.other**2)
         return vector, norm
 
-    def __call__(self, line: str) -> tuple[str, float] | None:
-        """Name and cosine of the nearest template, the first by name among equals."""
-        words = tokens(line)
+    def __call__(self, text: str) -> tuple[str, float] | None:
+        """Name and cosine of the nearest template to a text as one vector, the first among equals."""
+        words = tokens(text)
         vector, norm = self._vector(words)
         sums: Counter = Counter()
         for word, weight in vector.items():
@@ -145,6 +193,79 @@ class Matcher:
                 name, cosine = self.templates[place][0], near
         return (name, cosine) if name is not None and cosine >= NEAR else None
 
+    def nearest(self, text: str) -> tuple[str, float] | None:
+        """Name and cosine of the run of lines that is nearest to a template.
+
+        Among equals the run that starts first counts, then the shortest, then the first template.
+        The product with a template only grows with a run, and so does the run's norm. What the rest
+        of the file gives over the norm so far therefore bounds all longer runs. Nor is a cosine above
+        the root of that part of the template's squared norm whose words the run holds.
+        """
+        lines = [found for found in map(tokens, text.split("\n")) if found]
+        if not lines:
+            return None
+        whole = self(text)
+        limit = whole[1] if whole else NEAR
+        rest, held = self._rest(lines)
+        best = None
+        for start in range(len(lines)):
+            possible = np.sqrt(held[start]) >= limit - EQUAL
+            if not possible.any():
+                break
+            most = float(rest[start][possible].max())
+            run = _Run(self)
+            for end in range(start, len(lines)):
+                run.add(lines[end])
+                if most < (limit - EQUAL) * run.norm:
+                    break
+                cosine = float(run.product.max()) / run.norm
+                if cosine >= NEAR and cosine > (best[1] + EQUAL if best else limit - EQUAL):
+                    place = int(np.argmax(run.product >= run.product.max() - 1e-12 * run.norm))
+                    best = (self.templates[place][0], cosine)
+                    limit = max(limit, cosine)
+        return best
+
+    def _rest(self, lines: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """From each line to the end: products with the templates, and the parts of them held."""
+        run = _Run(self)
+        part = np.zeros(len(self.templates))
+        products, held = [], []
+        for line in reversed(lines):
+            for word in set(line).difference(run.times):
+                if word in self.parts:
+                    part += self.parts[word]
+            run.add(line)
+            products.append(run.product.copy())
+            held.append(part.copy())
+        return products[::-1], held[::-1]
+
+
+class _Run:
+    """Products and norm of lines that are added one by one."""
+
+    def __init__(self, matcher: Matcher) -> None:
+        self.matcher = matcher
+        self.times: Counter = Counter()
+        self.product = np.zeros(len(matcher.templates))
+        self.square = 0.0
+
+    def add(self, line: list[str]) -> None:
+        weights, shares, times = self.matcher.weight, self.matcher.shares, self.times
+        for word in line:
+            n = times[word]
+            times[word] = n + 1
+            weight = weights.get(word)
+            if weight is None:
+                self.square += (2 * n + 1) * self.matcher.other**2
+                continue
+            old, new = 1 + math.log(n) if n else 0.0, 1 + math.log(n + 1)
+            self.square += (new * new - old * old) * weight * weight
+            self.product += (new - old) * shares[word]
+
+    @property
+    def norm(self) -> float:
+        return math.sqrt(self.square)
+
 
 def _statements(frequencies: dict[str, int], files: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,11 +273,7 @@ def _statements(frequencies: dict[str, int], files: int):
         for batch in common.arrow_rows(batches, 500):
             names, cosines = [], []
             for text in batch.column(2).to_pylist():
-                best = None
-                for line in text.split("\n") if HINT.search(text) else ():
-                    found = match(line) if HINT.search(line) else None
-                    if found is not None and (best is None or found[1] > best[1]):
-                        best = found
+                best = match.nearest(text) if HINT.search(text) else None
                 names.append(best and best[0])
                 cosines.append(best and best[1])
             yield pa.record_batch(

@@ -96,8 +96,7 @@ def full_text(name: str) -> str:
 TEMPLATES = {name: (*STATEMENTS[name], full_text(name)) for name in NAMES}
 #: Least cosine of a statement.
 NEAR = 0.8
-#: Files without any of these words are near no template: each template holds one of them, and the
-#: rest of a template's words do not reach NEAR.
+#: Each template holds one of these words. Files are not chosen by them: see `Matcher.possible`.
 HINT = re.compile("licen[sc]e|permission|redistribution|free software", re.I)
 
 _TOKEN = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -193,6 +192,17 @@ class Matcher:
                 name, cosine = self.templates[place][0], near
         return (name, cosine) if name is not None and cosine >= NEAR else None
 
+    def possible(self, text: str) -> bool:
+        """Whether the words of a text hold enough of a template for any run of it to be near.
+
+        By Cauchy and Schwarz a cosine is at most the root of the part of the template's squared
+        norm that belongs to words which both hold.
+        """
+        part = np.zeros(len(self.templates))
+        for word in self.parts.keys() & set(tokens(text)):
+            part += self.parts[word]
+        return bool(part.max() >= (NEAR - EQUAL) ** 2)
+
     def nearest(self, text: str) -> tuple[str, float] | None:
         """Name and cosine of the run of lines that is nearest to a template.
 
@@ -273,7 +283,7 @@ def _statements(frequencies: dict[str, int], files: int):
         for batch in common.arrow_rows(batches, 500):
             names, cosines = [], []
             for text in batch.column(2).to_pylist():
-                best = match.nearest(text) if HINT.search(text) else None
+                best = match.nearest(text) if match.possible(text) else None
                 names.append(best and best[0])
                 cosines.append(best and best[1])
             yield pa.record_batch(

@@ -59,6 +59,27 @@ def test_whole_licence_files_state_their_licence(name):
     assert MATCH.nearest(noted)[0] == name and MATCH.nearest(noted)[1] > 0.9
 
 
+def test_lines_without_hints_equal_brute_force(spark):
+    draw = random.Random(9)
+    lines = ["under CC BY 4.0", "under CC BY-NC 4.0.", "is hereby granted, free of charge, to any person obtaining a copy"
+             " of this software and associated documentation files", "Apache, Version 2.0, January 2004", "by 4.0 and 3.0"]
+    words = [w for texts in licences.STATEMENTS.values() for t in texts for w in t.split()]
+    words = [w for w in words if not licences.HINT.search(w)]
+    lines += [" ".join(draw.sample(words, draw.randint(2, 8))) for _ in range(200)]
+    lines += ["plain words"] * 5000  # so that the words of licences are rare
+    assert not any(map(licences.HINT.search, lines))
+    files = [(i, f"f/{i}", line) for i, line in enumerate(lines)]
+    frame = spark.createDataFrame(files, "doc_id long, path string, text string")
+    found = {r.doc_id: r for r in licences.scan(frame, F.col("path"), lambda _: F.lit(True)).collect()}
+    match = licences.Matcher(*licences.document_frequencies(frame))
+    assert found[0].licence == "CC-BY-4.0" and found[1].licence == "CC-BY-NC-4.0" and found[2].licence == "MIT"
+    for i, line in enumerate(lines):
+        best = match(line)
+        own = (found[i].licence, pytest.approx(found[i].cosine)) if found[i].origin == "own" else None
+        assert own == best, line
+    assert sum(match(line) is not None for line in lines) >= 3
+
+
 def test_wrapped_headers_and_titles_are_found_and_inherited(spark):
     bsd = wrapped(licences.STATEMENTS["BSD-3-Clause"][2])
     header = "#!/bin/sh\n" + wrapped(licences.STATEMENTS["GPL-3.0"][2], "# ") + "\nset -e\necho code"

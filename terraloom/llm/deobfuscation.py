@@ -27,6 +27,8 @@ LOOK_ALIKES = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s",
     "!": "i", "|": "il", "+": "t",
 }
+#: Look-alikes that also stand as decoration, three or more equal ones in a row.
+SIGNS = "@$!|+"
 #: Costs in nats: a look-alike read as a letter or kept as it is; a separator between single
 #: characters dropped or kept.
 READ, KEPT, DROPPED, PARTED = 1.0, 8.0, 0.5, 4.0
@@ -41,11 +43,10 @@ for _place, _letter in enumerate(LETTERS, 1):
 _CODE = {letter: place for place, letter in enumerate(LETTERS, 1)}
 
 _L = f"[{LETTERS}]"
-#: A word with a look-alike beside a letter; !, | and + count between letters only, and three equal
-#: signs are decoration.
+#: A word with a look-alike beside a letter; !, | and + count between letters only.
 _LEET = re.compile(
-    rf"(?<![{LETTERS}0-9@$])(?=[0-9@$!|+]*{_L})(?={_L}*[0134578@$!|+])(?!\S*([@$!|+])\1\1)"
-    rf"[{LETTERS}0-9@$]+(?:[!|+](?={_L})[{LETTERS}0-9@$]+)*"
+    rf"(?<![{LETTERS}0-9@$])(?=[0-9@$!|+]*{_L})(?={_L}*[0134578@$!|+])"
+    rf"[{LETTERS}0-9@$]+(?:([!|+])\1*(?={_L})[{LETTERS}0-9@$]+)*"
 )
 #: Three or more of one letter in a row.
 _LONG = re.compile(rf"{_L}*?({_L})\1\1{_L}*")
@@ -165,6 +166,8 @@ class Restorer:
                 ways.append((letter, cost, place + 1))
                 if run > 2 and letter in _CODE:  # a drawn-out letter was one or two
                     ways += [(letter, cost, after), (letter * 2, cost, after)]
+            if run > 2 and char in SIGNS:  # or decoration, as likely as a letter
+                ways.append((char * run, READ, after))
             lattice.append(ways)
         return lattice
 

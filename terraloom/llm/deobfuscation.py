@@ -32,9 +32,6 @@ SIGNS = "@$!|+"
 #: Costs in nats: a look-alike read as a letter or kept as it is; a separator between single
 #: characters dropped or kept.
 READ, KEPT, DROPPED, PARTED = 1.0, 8.0, 0.5, 4.0
-#: Longest span that is decoded; longer unbroken ones are keys and numbers, not words.
-LONGEST = 64
-
 _CLASS = np.zeros(1 << 16, np.uint8)
 for _place, _letter in enumerate(LETTERS, 1):
     _CLASS[ord(_letter)] = _place
@@ -49,13 +46,15 @@ _LEET = re.compile(
     rf"[{LETTERS}0-9@$]+(?:([!|+])\1*(?={_L})[{LETTERS}0-9@$]+)*"
 )
 #: Three or more of one letter in a row.
-_LONG = re.compile(rf"{_L}*?({_L})\1\1{_L}*")
+_LONG = re.compile(rf"(?<!{_L}){_L}*?({_L})\1\1{_L}*")
 #: Single characters with one separator between each two; by itself as a token, or over tokens.
-_SINGLE = f"[{LETTERS}0134578@$!]"
+_SINGLE = f"[{LETTERS}0134578@$!|+]"
 _DOTTED = re.compile(rf"(?<![^\"'(])(?=\S*{_L}\S*{_L}){_SINGLE}([._*-])(?:{_SINGLE}\1){{1,}}{_SINGLE}(?=[.,;:?!]*$)")
 #: Tokens without any of these restore to themselves.
 _SUSPECT = re.compile(r"[0134578@$!|+]|(.)\1\1|.[._*-].[._*-]")
-_RUN = re.compile("s{3,}|s{2,}e")
+#: Runs by what single tokens are: in the alphabet, in it with punctuation after it, or neither.
+_RUN = re.compile("s{2,}e|s{3,}")
+_ONE = re.compile(_SINGLE)
 _END = re.compile(rf"({_SINGLE})[.,;:?!]+")
 
 
@@ -126,15 +125,16 @@ class Restorer:
 
     def spaced(self, tokens: list[str]) -> list[tuple[int, int, str]]:
         """Runs of single characters: start, end, and what they restore to."""
-        kinds = "".join(["s" if len(t) == 1 else "e" if len(t) < 4 and _END.fullmatch(t) else "." for t in tokens])
+        kinds = "".join(
+            [
+                "s" if len(t) == 1 and _ONE.fullmatch(t) else "e" if 1 < len(t) < 4 and _END.fullmatch(t) else "."
+                for t in tokens
+            ]
+        )
         found = []
         for run in _RUN.finditer(kinds) if "ss" in kinds else ():
             start, end = run.span()
-            if end < len(kinds) and kinds[end] == "e":
-                end += 1
-            span = " ".join(t[0] for t in tokens[start:end])
-            if len(span) <= LONGEST and all(re.fullmatch(_SINGLE, c) for c in span[::2]):
-                found.append((start, end, self.decode(span)))
+            found.append((start, end, self.decode(" ".join(t[0] for t in tokens[start:end]))))
         return found
 
     def token(self, token: str) -> str:
@@ -145,19 +145,20 @@ class Restorer:
         return token
 
     def _span(self, match: re.Match) -> str:
-        return match[0] if len(match[0]) > LONGEST else self.decode(match[0])
+        return self.decode(match[0])
 
     def arcs(self, span: str) -> list[list[tuple[str, float, int]]]:
         """From each place: what may have been meant, its cost, and the place it leads to."""
         spaced = len(span) > 2 and not any(c.isalnum() for c in span[1::2])
         lattice: list[list[tuple[str, float, int]]] = []
+        ends = [len(span)] * (len(span) + 1)  # where the run of equal characters ends
+        for place in range(len(span) - 2, -1, -1):
+            ends[place] = ends[place + 1] if span[place] == span[place + 1] else place + 1
         for place, char in enumerate(span):
             if spaced and place % 2:
                 lattice.append([("", DROPPED, place + 1), (" ", PARTED, place + 1)])
                 continue
-            after = place + 1
-            while after < len(span) and span[after] == char:
-                after += 1
+            after = ends[place]
             run = after - place
             meant = [(c, READ) for c in LOOK_ALIKES.get(char, "")]
             meant.append((char, KEPT if char in LOOK_ALIKES else 0.0))
@@ -174,8 +175,9 @@ class Restorer:
     def decode(self, span: str) -> str:
         lattice = self.arcs(span)
         model = self.model
-        best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(span) + 1)]
-        best[0][0, 0] = (0.0, "")
+        # What was written is a chain of pieces, so that long spans take time in proportion.
+        best: list[dict[tuple[int, int], tuple[float, tuple | None]]] = [{} for _ in range(len(span) + 1)]
+        best[0][0, 0] = (0.0, None)
         for place, ways in enumerate(lattice):
             for (x, y), (score, out) in best[place].items():
                 for letters, cost, to in ways:
@@ -186,11 +188,15 @@ class Restorer:
                             total += model[p][q][code]
                         p, q = q, code
                     held = best[to].get((p, q))
-                    new = (total, out + letters)
-                    if held is None or new > held:
-                        best[to][p, q] = new
+                    if held is None or total > held[0]:
+                        best[to][p, q] = (total, (out, letters))
         ends = [
             (score + (model[x][y][0] if y else 0.0), out)
             for (x, y), (score, out) in best[len(span)].items()
         ]
-        return max(ends)[1]
+        _, out = max(ends, key=lambda end: end[0])
+        pieces = []
+        while out is not None:
+            out, letters = out
+            pieces.append(letters)
+        return "".join(reversed(pieces))

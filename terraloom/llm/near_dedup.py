@@ -148,10 +148,15 @@ def _signed(rule: Rule):
 
 def _sets(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         shingler = _Shingler(rule.words)
         for batch in common.arrow_rows(batches, 1000):
-            sets = [shingler(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["node", "held"])
+            sets = [shingler(t).tobytes() for t in batch.column(0).to_pylist()]
+            keys = [xxhash.xxh3_128_digest(x) for x in sets]
+            yield pa.record_batch(
+                [pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["set_key", "held"]
+            )
 
     return run
 
@@ -335,10 +340,12 @@ def group(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     usable = rows.filter("set_key is not null and doc_id is not null")
     classes = written(
         usable.groupBy("set_key").agg(
-            F.min("doc_id").alias("node"),
+            F.min("doc_id").alias("least_id"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("bands").alias("bands"),
-        ),
+        )
+        # A node is a class, also where classes share an id; the written number stays.
+        .withColumn("node", F.monotonically_increasing_id()),
         "near-classes",
     )
     entries = classes.select("node", "n_shingles", F.explode("bands").alias("key"))
@@ -350,12 +357,11 @@ def group(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     )
     members = written(entries.join(shared, "key"), "near-members")
     nodes = members.select("node").distinct()
-    sets = written(
-        narrow.join(nodes, narrow["doc_id"] == nodes["node"], "left_semi").mapInArrow(
-            _sets(rule), "node long, held binary"
-        ),
-        "near-sets",
-    )
+    wanted = classes.join(nodes, "node", "left_semi").select("node", "set_key", "least_id")
+    texts = narrow.join(wanted, narrow["doc_id"] == wanted["least_id"], "left_semi").select("text")
+    # One row a class, however often its id or its texts repeat.
+    made = texts.mapInArrow(_sets(rule), "set_key binary, held binary").dropDuplicates(["set_key"])
+    sets = written(made.join(wanted, "set_key").select("node", "held"), "near-sets")
     labels = written(nodes.select("node", F.col("node").alias("component")), "labels")
     # First each node meets the smallest centre of its buckets: one pair a node.
     nearest = members.groupBy("node").agg(F.min("centre").alias("centre"))
@@ -375,10 +381,12 @@ def group(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     found = _candidates(few.unionByName(_by_prefix(dense, sets, rule)), rule)
     new = verify(found.join(tested, ["a", "b"], "left_anti"), sets, rule)
     labels = components.merged(labels, new.filter("linked"))
-    same = usable.select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key")
-    grouped = same.join(labels, "node", "left").select(
-        "doc_id", "set_key", F.coalesce("component", "node").alias("component_id")
+    placed = classes.select("set_key", "node", "least_id").join(labels, "node", "left").select(
+        "set_key", "least_id", F.coalesce("component", "node").alias("component")
     )
+    lowest = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    by_class = placed.join(lowest, "component").select("set_key", "component_id")
+    grouped = usable.select("doc_id", "set_key").join(by_class, "set_key")
     return _labelled(rows, grouped)
 
 

@@ -131,9 +131,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -
     listed = _numbered(queries, "number").select(
         F.col("number"), "size", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix")
     )
-    dealt = numbered.join(
-        listed.select("size", "number"), "size"
-    ).join(listed, ["size", "number"])
+    # The numbers of a length are one row and few bytes: one number for TILE queries.
+    numbers = listed.groupBy("size").agg(F.collect_list("number").alias("numbers"))
+    dealt = (
+        numbered.join(F.broadcast(numbers), "size")
+        .withColumn("number", F.explode("numbers"))
+        .drop("numbers")
+        .join(listed, ["size", "number"])
+    )
     parts = common.tasks(spark)
     lists = (
         dealt.repartition(parts, "number", "branch")

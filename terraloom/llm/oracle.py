@@ -6,7 +6,7 @@ is held against brute force in tests/llm.
 
 from __future__ import annotations
 
-from terraloom.llm import line_frequency, mixing, secrets
+from terraloom.llm import divergence, line_frequency, mixing, secrets
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -218,6 +218,51 @@ from scored qualify rank <= {k}
 """
 
 
+def _divergence() -> str:
+    share = f"1 + ({divergence.WHOLE}::hugeint * (n + 1)) // size"
+    return rf"""
+with docs as (
+  select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents
+), words as (
+  select row_id, lang, source, unnest(terms) as term from docs
+), kept as (
+  select lang, term from words group by lang, term having count(distinct row_id) >= {divergence.LEAST_DOCS}
+), vocabulary as (
+  select lang, count(*) as v from kept group by lang
+), counts as (
+  select lang, source, term, count(*) as n from words semi join kept using (lang, term) group by all
+), sums as (
+  select lang, source, sum(n) as n_all from counts group by all
+), groups as (
+  select lang, source, coalesce(v, 0) as v, coalesce(n_all, 0) + coalesce(v, 0) as size
+  from (select distinct lang, source from docs)
+  left join vocabulary using (lang) left join sums using (lang, source)
+), shares as (
+  select lang, source, term, coalesce(n, 0) as n, {share.replace("n + 1", "coalesce(n, 0) + 1")} as p
+  from groups join kept using (lang) left join counts using (lang, source, term)
+), in_lang as (
+  select lang, term, {share} as q
+  from (select lang, term, sum(n) as n from counts group by all)
+  join (select lang, max(v) + sum(size - v) as size from groups group by lang) using (lang)
+), pairs as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), parts as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+  union all
+  select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint
+  from shares join in_lang using (lang, term) where n > 0 and p > q
+)
+select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+from parts qualify part = 'pair' or rank <= {divergence.TOP_TERMS}
+"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op2_source_mix": _mix(),
@@ -225,4 +270,5 @@ def statements() -> dict[str, str]:
         "op4_secret_links": _secrets(),
         "op7_minhash_dedup": _near(),
         "op8_top_k": _search(),
+        "op11_source_divergence": _divergence(),
     }

@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.llm import (
     byte_bpe,
     common,
+    divergence,
     licences,
     line_frequency,
     mixing,
     near_dedup,
+    periodic_runs,
     secrets,
     token_counts,
     token_files,
@@ -95,6 +97,64 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(common.read(spark, sf_dir, "documents"))
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """One document in ten gets a periodic end, as the contract says; its place and period follow
+    from the id. A row without an id or without words stays as it is.
+    """
+    drawn = F.floor(F.crc32(docs["doc_id"].cast("string")) / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        first = drawn % n
+        period = 1 + F.call_function("div", n - first, 3 + drawn % 8)
+        return F.transform(
+            F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")),
+            lambda i: F.get(words, F.when(i < first, i).otherwise(first + (i - first) % period).cast("int")),
+        )
+
+    words = common.let(
+        F.regexp_extract_all("text", F.lit(common.WORD), F.lit(0)),
+        lambda w: F.when(F.size(w) > 0, F.array_join(planted(w), " ")).otherwise(""),
+    )
+    chosen = F.crc32(docs["doc_id"].cast("string")) % 10 == 0
+    return docs.select("doc_id", F.when(chosen, words).otherwise(docs["text"]).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _with_planted_runs(common.read(spark, sf_dir, "documents"))
+    found = periodic_runs.collapse(docs)
+    longest = F.element_at(
+        F.sort_array(
+            F.transform(
+                "runs",
+                lambda r: F.struct(
+                    (-r["length"]).alias("minus"), r["start"].alias("start"), r["period"].alias("period")
+                ),
+            )
+        ),
+        1,
+    )
+    top = F.when(F.size("runs") > 0, longest)
+    lines = F.transform(
+        "runs",
+        lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")),
+    )
+    return found.withColumn("top", top).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("top.start").alias("start"),
+        (-F.col("top.minus")).alias("length"),
+        F.col("top.period").alias("period"),
+        F.call_function("div", -F.col("top.minus") * 1000, F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -108,5 +168,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_top_k,
         op9_byte_bpe,
         op10_token_counts,
+        op11_source_divergence,
+        op13_periodic_runs,
     )
 }

@@ -17,6 +17,7 @@ from terraloom.llm import (
     mixing,
     near_dedup,
     periodic_runs,
+    personal_data,
     secrets,
     token_counts,
     token_files,
@@ -101,6 +102,24 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(common.read(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(common.read(spark, sf_dir, "documents"))
+    spans, base = F.col("spans"), F.filter("spans", lambda s: s["base"])
+
+    def joined(listed: Column) -> Column:
+        return F.array_join(
+            F.transform(listed, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(count, personal_data.KINDS)
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans")
+    )
+
+
 def _with_planted_runs(docs: DataFrame) -> DataFrame:
     """One document in ten gets a periodic end, as the contract says; its place and period follow
     from the id. A row without an id or without words stays as it is.
@@ -169,6 +188,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_byte_bpe,
         op10_token_counts,
         op11_source_divergence,
+        op12_personal_data,
         op13_periodic_runs,
     )
 }

@@ -12,17 +12,10 @@ BRACKET = (0.499, 0.501)
 ACCURACY = 20_000
 
 
-def exact_medians(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Median of every column in `values` per `keys`; NULLs are ignored, an even count averages.
-
-    For groups that stay small whatever the size of the data, such as the passes over one cell in
-    one period: a group's distinct values are held in memory. See `spread_medians` for others.
-    """
-    return rows.groupBy(*keys).agg(*[F.median(v).alias(v) for v in values])
-
-
 def spread_medians(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """The same for groups that grow with the data. Medians by ranks: count equal values, bracket the middle with a sketch, rank inside it.
+    """Median of every column in `values` per `keys`, for groups that grow with the data; NULLs are
+    ignored, an even count averages. Medians by ranks: count equal values, bracket the middle with a
+    sketch, rank inside it.
 
     The counts are keyed by value, so one group spreads over all tasks; only the bracket, about
     0.2 % of a group's ranks, is ordered in one place. The bracket's counted lower edge makes the

@@ -33,6 +33,22 @@ def with_et_values(frame: DataFrame) -> DataFrame:
     )
 
 
+def single(frame: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The rows of `frame`, which holds one per `keys`; a second one is an error when it is read.
+
+    Shuffled on the keys, so a join on them that follows needs no shuffle of its own.
+    """
+    rows = F.count(F.lit(1))
+    where = [F.col(k).cast("string") for k in keys]
+    message = F.concat_ws(" ", F.lit(f"{name} holds"), rows.cast("string"), F.lit("rows at"), *where)
+    values = [
+        F.when(rows == 1, F.first(c)).otherwise(F.raise_error(message)).alias(c)
+        for c in frame.columns
+        if c not in keys
+    ]
+    return frame.groupBy(*keys).agg(*values)
+
+
 def et_at_sites(observations: DataFrame, et_pixels: DataFrame) -> DataFrame:
     """The ET pixel of each observation's own cell and period; absent pixels leave NULLs."""
     joined = observations.join(et_pixels, ["period_start", "cell_x", "cell_y"], "left")

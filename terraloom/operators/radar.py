@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.operators.medians import exact_medians
 from terraloom.operators.optical import PERIOD_CELL
 
 
+def once_per_scene(value: Column) -> Column:
+    """`value` of a period cell's aggregation, or an error if a scene gave the cell two pixels.
+
+    A repeated pixel would bias a median unseen. The check costs no shuffle of its own: it counts in
+    the aggregation that reads the rows anyway, and a cell sees few scenes in a period.
+    """
+    scenes, rows = F.size(F.collect_set("scene_id")), F.count("scene_id")
+    where = [F.col(c).cast("string") for c in PERIOD_CELL]
+    said = [F.lit("sar_pixels holds"), rows.cast("string"), F.lit("rows of"), scenes.cast("string")]
+    message = F.concat_ws(" ", *said, F.lit("scenes at"), *where)
+    return F.when(scenes == rows, value).otherwise(F.raise_error(message))
+
+
 def radar_medians(rows: DataFrame) -> DataFrame:
     """Per period and cell: medians of each band over its own valid pixels.
 
-    A group holds the passes of one orbit over one cell within eight days. VV minus VH is the
-    difference of the two medians, not the median of differences.
+    A group holds the passes of one orbit over one cell within eight days; a scene that holds a cell
+    twice is an error. VV minus VH is the difference of the two medians, not the median of
+    differences.
     """
-    medians = exact_medians(rows, PERIOD_CELL, ["vv", "vh", "angle"])
+    bands = ["vv", "vh", "angle"]
+    medians = rows.groupBy(*PERIOD_CELL).agg(
+        *[once_per_scene(F.median(band)).alias(band) for band in bands]
+    )
     return medians.select(
         *PERIOD_CELL,
         F.col("vv").alias("VV_dB"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.operators.bounds import BLOCK_SHIFT, Blocks
 from terraloom.sources.grids import Grid
 
 
@@ -27,6 +28,34 @@ def _closeness(
     return F.lit(1.0) - F.abs(to_centre - centre) / F.lit(abs(step))
 
 
+def _reached(block: str, origin: float, step: float, to_origin: float, to_step: float) -> Column:
+    """Source blocks along one axis that hold the neighbours of a target block's cells."""
+    size = 1 << BLOCK_SHIFT
+    edges = [F.lit(to_origin) + (F.col(block) + n) * F.lit(to_step * size) for n in (0, 1)]
+    low, high = F.least(*edges) - F.lit(abs(step)), F.greatest(*edges) + F.lit(abs(step))
+    ends = [
+        F.shiftright(F.floor((edge - F.lit(origin)) / F.lit(step)).cast("bigint"), BLOCK_SHIFT)
+        for edge in (low, high)
+    ]
+    return F.explode(F.sequence(F.least(*ends), F.greatest(*ends)))
+
+
+def source_blocks(wanted: Blocks, source: Grid, target: Grid) -> Blocks:
+    """Blocks of the source grid whose pixels some cell of a wanted target block draws on.
+
+    A target cell draws on source centres within one source step, so the block's extent is widened
+    by that much. The list is a few blocks per wanted block.
+    """
+    x = (source.origin_x, source.step_x, target.origin_x, target.step_x)
+    y = (source.origin_y, source.step_y, target.origin_y, target.step_y)
+    spread = wanted.blocks.withColumn("__bx", _reached("block_x", *x)).withColumn(
+        "__by", _reached("block_y", *y)
+    )
+    return Blocks(
+        spread.select(F.col("__bx").alias("block_x"), F.col("__by").alias("block_y")).distinct()
+    )
+
+
 def resample_bilinear(
     pixels: DataFrame, bands: list[str], source: Grid, target: Grid, keys: list[str]
 ) -> DataFrame:

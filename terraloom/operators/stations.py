@@ -150,35 +150,38 @@ def require_supports(stations: DataFrame, supports: DataFrame) -> None:
         raise ValueError(f"stations without a valid weather cell in range: {names}")
 
 
-def station_index(stations: DataFrame) -> DataFrame:
-    """Distinct station ids in order, numbered from 1.
+def numbered(frame: DataFrame, order: list[str], number: str) -> DataFrame:
+    """The rows in `order`, numbered from 1 in the column `number`.
 
     Range partitions number their own rows; a running total over the partition sizes, one row per
-    partition, shifts them. The ordered ids are written once, because both steps must see the same
+    partition, shifts them. The ordered rows are written once, because both steps must see the same
     partitions.
     """
     slot = F.monotonically_increasing_id()
     ordered = written(
-        stations.select("station_id")
-        .distinct()
-        .repartitionByRange("station_id")
-        .sortWithinPartitions("station_id")
+        frame.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .withColumn("__slot", slot)
         .select(
-            "station_id",
+            *frame.columns,
             F.shiftright("__slot", 33).alias("__part"),
             F.col("__slot").bitwiseAND(F.lit((1 << 33) - 1)).alias("__local"),
         ),
-        "station-order",
+        "ordered",
     )
     sizes = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
     return ordered.join(offsets, "__part").select(
-        "station_id", (F.col("__o") + F.col("__local") + 1).alias("station_index")
+        *frame.columns, (F.col("__o") + F.col("__local") + 1).alias(number)
     )
 
 
+def station_index(stations: DataFrame) -> DataFrame:
+    """Distinct station ids in order, numbered from 1."""
+    return numbered(stations.select("station_id").distinct(), ["station_id"], "station_index")
+
+
 def _cells_between(low: Column, high: Column) -> Column:
     return F.explode(F.sequence(F.least(low, high), F.greatest(low, high)))
 

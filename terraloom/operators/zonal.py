@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.schemas import PREDICTOR_SHIFTS
+
 CELL = ["cell_x", "cell_y"]
 ZONE = ["geom_id", "scale", "period_start"]
 
@@ -90,26 +92,77 @@ def zone_summary(rows: DataFrame, valid: Column, bridge: DataFrame) -> DataFrame
     )
 
 
-def zonal_statistics(predictors: DataFrame, bridge: DataFrame, bands: list[str]) -> DataFrame:
+# Moments: per band the weight `w`, the weighted sums of differences from a fixed value `s` and of
+# their squares `q`, and the range. All of them merge by adding, or by the smaller and larger value.
+_MOMENTS = {"w": F.sum, "s": F.sum, "q": F.sum, "low": F.min, "high": F.max}
+
+
+def band_moments(
+    placed: DataFrame, keys: list[str], bands: list[str], shifts: dict[str, float] | None = None
+) -> DataFrame:
+    """Mergeable moments of every band per `keys`: one aggregation, combined before its shuffle.
+
+    A NULL value adds nothing. Differences are taken from the band's shift, a value in the middle of
+    what it can hold (`schemas.PREDICTOR_SHIFTS`, 0 for other bands): the deviation of values x then
+    keeps about 16 - 2 log10(|x - shift| / deviation) digits.
+    """
+    shifts = PREDICTOR_SHIFTS if shifts is None else shifts
+    parts = []
+    for band in bands:
+        value = F.col(band)
+        apart = value - F.lit(float(shifts.get(band, 0.0)))
+        weighted = F.col("weight") * apart
+        terms = {
+            "w": F.when(value.isNotNull(), F.col("weight")),
+            "s": weighted,
+            "q": weighted * apart,
+            "low": value,
+            "high": value,
+        }
+        parts += [merge(terms[m]).alias(f"{band}_{m}") for m, merge in _MOMENTS.items()]
+    return placed.groupBy(*keys).agg(*parts)
+
+
+def merged_moments(moments: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
+    """Moments of coarser groups, from those of finer ones: parts of a zone, periods, batches."""
+    parts = [
+        merge(f"{band}_{m}").alias(f"{band}_{m}") for band in bands for m, merge in _MOMENTS.items()
+    ]
+    return moments.groupBy(*keys).agg(*parts)
+
+
+def moment_statistics(
+    moments: DataFrame, keys: list[str], bands: list[str], shifts: dict[str, float] | None = None
+) -> DataFrame:
+    """Weighted mean and population standard deviation of every band; NULL where nothing was summed.
+
+    Equal values have exactly their own mean and no deviation.
+    """
+    shifts = PREDICTOR_SHIFTS if shifts is None else shifts
+    found = []
+    for band in bands:
+        w, s, q, low, high = (F.col(f"{band}_{m}") for m in _MOMENTS)
+        mean, square = F.try_divide(s, w), F.try_divide(q, w)
+        variance = square - mean * mean
+        # Rounding may leave less than nothing; NULL stays NULL.
+        spread = F.sqrt(F.when(variance < 0, F.lit(0.0)).otherwise(variance))
+        shifted = mean + F.lit(float(shifts.get(band, 0.0)))
+        found += [
+            F.when(low == high, low.cast("double")).otherwise(shifted).alias(f"{band}_mean"),
+            F.when(low == high, F.lit(0.0)).otherwise(spread).alias(f"{band}_stdDev"),
+        ]
+    return moments.select(*keys, *found)
+
+
+def zonal_statistics(
+    predictors: DataFrame,
+    bridge: DataFrame,
+    bands: list[str],
+    shifts: dict[str, float] | None = None,
+) -> DataFrame:
     """Weighted mean and population standard deviation per geometry, scale and period.
 
-    Two passes over one shuffle: the window yields each group's mean, the aggregation on the same
-    keys then sums centred squares, which avoids the cancellation of the one-pass formula. The
-    predictors hold one row per period and cell, so a group never exceeds its geometry's cells.
+    Every task sums the pixels that it holds; one row of moments per zone and task is shuffled.
     """
     placed = predictors.join(bridge, CELL).select(*ZONE, "weight", *bands)
-    zone = f"over (partition by {', '.join(ZONE)})"
-
-    def area(band: str) -> str:
-        return f"sum(if({band} is not null, weight, null))"
-
-    means = [f"sum(weight * {b}) {zone} / {area(b)} {zone} as mean_{b}" for b in bands]
-    centred = placed.selectExpr("*", *means)
-    stats = []
-    for b in bands:
-        spread = f"sum(weight * ({b} - mean_{b}) * ({b} - mean_{b}))"
-        stats += [
-            F.expr(f"first(mean_{b}) as {b}_mean"),
-            F.expr(f"sqrt({spread} / {area(b)}) as {b}_stdDev"),
-        ]
-    return centred.groupBy(*ZONE).agg(*stats)
+    return moment_statistics(band_moments(placed, ZONE, bands, shifts), ZONE, bands, shifts)

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from terraloom.config import AnalysisConfig
 from terraloom.functions.masks import all_present, or_zero
 from terraloom.operators.bounds import Bounds, bounds_of
-from terraloom.operators.observations import et_at_sites, with_period_columns, with_validity
+from terraloom.operators.observations import (
+    et_at_sites,
+    single,
+    with_period_columns,
+    with_validity,
+)
 from terraloom.operators.optical import PERIOD_CELL, SCENE_CELL, clear_pixels, is_clear
 from terraloom.operators.periods import assign_period, composite_periods
-from terraloom.operators.resample import resample_bilinear
+from terraloom.operators.radar import once_per_scene
+from terraloom.operators.resample import resample_bilinear, source_blocks
 from terraloom.operators.stations import observation_grid
 from terraloom.operators.storage import written
 from terraloom.operators.zonal import footprint_cells_of, zone_summary
@@ -25,14 +31,10 @@ def periods_of(inputs: Inputs, config: AnalysisConfig) -> DataFrame:
     return written(composite_periods(scan_et(inputs.et_pixels, config)), "periods")
 
 
-def optical_pixels(inputs: Inputs, config: AnalysisConfig) -> DataFrame:
-    """Optical pixels of the window on the analysis grid; resampled only if the run asks for it.
-
-    Resampled numbers become integers again, so that medoid scores stay exact.
+def on_analysis_grid(pixels: DataFrame, config: AnalysisConfig) -> DataFrame:
+    """Optical pixels resampled from their own grid. Numbers become integers again, so that medoid
+    scores stay exact.
     """
-    pixels = scan_optical(inputs.optical_pixels, config)
-    if config.optical_grid is None:
-        return pixels
     bands = list(OPTICAL_BANDS)
     scene = ["scene_id", "ts", "mgrs_tile"]
     blended = resample_bilinear(pixels, bands, config.optical_grid, config.analysis_grid, scene)
@@ -41,6 +43,19 @@ def optical_pixels(inputs: Inputs, config: AnalysisConfig) -> DataFrame:
     return blended.withColumns(whole)
 
 
+def optical_pixels(inputs: Inputs, bounds: Bounds, config: AnalysisConfig) -> DataFrame:
+    """Optical pixels of the window in the blocks of the geometries, on the analysis grid.
+
+    Resampled only if the run asks for it: then the source is cut to the blocks that the wanted ones
+    draw on before its pixels are spread.
+    """
+    pixels = scan_optical(inputs.optical_pixels, config)
+    if config.optical_grid is None:
+        return bounds.near(pixels)
+    drawn_on = source_blocks(bounds, config.optical_grid, config.analysis_grid)
+    return bounds.near(on_analysis_grid(drawn_on.near(pixels), config))
+
+
 def optical_rows(
     inputs: Inputs, bounds: Bounds, periods: DataFrame, config: AnalysisConfig
 ) -> DataFrame:
@@ -48,8 +63,7 @@ def optical_rows(
 
     What follows joins the geometries' own cells, so no exact restriction is needed here.
     """
-    near = bounds.near(optical_pixels(inputs, config))
-    return assign_period(near, "ts", periods)
+    return assign_period(optical_pixels(inputs, bounds, config), "ts", periods)
 
 
 def _needed_only(rows: DataFrame, needed: DataFrame | None) -> DataFrame:
@@ -83,9 +97,8 @@ def radar_rows(
     needed: DataFrame | None = None,
 ) -> DataFrame:
     """Pixels of the selected radar scenes in the geometries' blocks, of `needed` cells if given."""
-    near = bounds.near(inputs.sar_pixels)
-    dated = assign_period(scan_radar(inputs.sar_scenes, near, config), "ts", periods)
-    return _needed_only(dated, needed)
+    near = bounds.near(scan_radar(inputs.sar_scenes, inputs.sar_pixels, config))
+    return _needed_only(assign_period(near, "ts", periods), needed)
 
 
 def optical_zones(
@@ -108,10 +121,10 @@ def optical_zones(
 def radar_zones(
     inputs: Inputs, bounds: Bounds, periods: DataFrame, footprints: DataFrame, config: AnalysisConfig
 ) -> DataFrame:
-    """Radar coverage and scene dates from one scan of the pixels."""
+    """Radar coverage and scene dates from one scan of the pixels, which also finds repeated ones."""
     rows = radar_rows(inputs, bounds, periods, config)
     valid = F.max(F.col("vv").isNotNull()) & F.max(F.col("vh").isNotNull())
-    return zone_summary(rows, valid, footprints)
+    return zone_summary(rows, once_per_scene(valid), footprints)
 
 
 def availability(
@@ -132,6 +145,7 @@ def availability(
     # Only the sites' own ET cells travel to the observations.
     own = places.sites.select("cell_x", "cell_y").distinct()
     et = scan_et(inputs.et_pixels, config).join(own, ["cell_x", "cell_y"], "left_semi")
+    et = single(et, ["period_start", "cell_x", "cell_y"], "et_pixels")
     observed = et_at_sites(observation_grid(places.sites, periods), et)
     names = ("share", "dates_total", "dates", "products_total")
     joined = observed.join(

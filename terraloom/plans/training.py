@@ -133,15 +133,20 @@ def assemble_rows(valid: DataFrame, statistics: DataFrame, config: AnalysisConfi
 
 
 def build_training_tables(
-    inputs: Inputs, places: Places, config: AnalysisConfig, work: DataFrame | None = None
+    inputs: Inputs,
+    places: Places,
+    config: AnalysisConfig,
+    work: DataFrame | None = None,
+    periods: DataFrame | None = None,
 ) -> TrainingTables:
     """The whole pipeline. `work` (`station_id`, `year`, `quarter`) restricts it to those partitions:
     its stations, composites and dates bound every scan before any pixel is read.
 
     Valid observations are few and steer all heavy work, so they are written once; the scans for
-    the statistics then read pixels of valid observations only.
+    the statistics then read pixels of valid observations only. A caller that builds several tables
+    of one window hands its `periods` over, so that the ET table is not read for them again.
     """
-    periods = periods_of(inputs, config)
+    periods = periods_of(inputs, config) if periods is None else periods
     if work is not None:
         work = work.select("station_id", "year", "quarter").distinct()
         places = of_stations(places, work)

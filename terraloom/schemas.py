@@ -45,6 +45,15 @@ RADAR_PREDICTORS = ["VV_dB", "VH_dB", "VV_minus_VH_dB", "Angle_deg"]
 OPTICAL_PREDICTORS = [*OPTICAL_BANDS.values(), *INDEX_BANDS]
 PREDICTORS = [*OPTICAL_PREDICTORS, *RADAR_PREDICTORS]
 
+# Values near the middle of what a predictor can hold; differences from them are summed. Indices lie
+# around 0, which is also what any other band gets.
+PREDICTOR_SHIFTS = dict.fromkeys(OPTICAL_BANDS.values(), 0.2) | {
+    "VV_dB": -12.0,
+    "VH_dB": -19.0,
+    "VV_minus_VH_dB": 7.0,
+    "Angle_deg": 38.0,
+}
+
 # Meteorological predictors counted as missing when NULL.
 WEATHER_COLUMNS = [
     "Tair_mean_C",
@@ -111,8 +120,8 @@ GRIDS = columns(
     "grid_id string, kind string, origin_x double, origin_y double, "
     "step_x double, step_y double, scale_m double"
 )
-# Large pixel tables are best stored by block_x and block_y (see operators.bounds) and by month:
-# the block join then prunes files, and the window whole folders.
+# Large pixel tables are best stored by month and tile (`sources.layout`): the window then prunes
+# months and the geometries prune tiles before a file is opened.
 ET_PIXELS = columns(
     "period_start date, cell_x bigint, cell_y bigint, et_dn int, et_qc int"
 )

@@ -1,7 +1,8 @@
 """Scans of the input tables.
 
 Each scan is a filter and a column list over a table, so that both reach the file reader. The
-spatial restriction is separate (`operators.bounds`) because it is a join.
+spatial restriction is separate (`operators.bounds`) because it is a join; a table stored by tile
+(`sources.layout`) keeps its tile columns up to it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from terraloom.config import AnalysisConfig
 from terraloom.functions.calendar import half_open
 from terraloom.functions.masks import nan_as_null
 from terraloom.schemas import OPTICAL_BANDS
+from terraloom.sources.layout import in_window, layout_columns
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
@@ -31,7 +33,7 @@ def scan_stations(stations: DataFrame) -> DataFrame:
 
 
 def scan_et(et_pixels: DataFrame, config: AnalysisConfig) -> DataFrame:
-    return et_pixels.filter(half_open(F.col("period_start"), config.start, config.end)).select(
+    return in_window(et_pixels, "period_start", config.start, config.end).select(
         "period_start", "cell_x", "cell_y", "et_dn", "et_qc"
     )
 
@@ -40,14 +42,14 @@ def scan_optical(
     pixels: DataFrame, config: AnalysisConfig, bands: list[str] | None = None
 ) -> DataFrame:
     bands = list(OPTICAL_BANDS) if bands is None else bands
-    return pixels.filter(half_open(F.col("ts"), config.start, config.end)).select(
-        "scene_id", "ts", "mgrs_tile", "cell_x", "cell_y", *bands
+    return in_window(pixels, "ts", config.start, config.end).select(
+        "scene_id", "ts", "mgrs_tile", "cell_x", "cell_y", *bands, *layout_columns(pixels)
     )
 
 
 def scan_cloud(cloud: DataFrame, config: AnalysisConfig) -> DataFrame:
-    return cloud.filter(half_open(F.col("ts"), config.start, config.end)).select(
-        "scene_id", "ts", "cell_x", "cell_y", "cs_cdf"
+    return in_window(cloud, "ts", config.start, config.end).select(
+        "scene_id", "ts", "cell_x", "cell_y", "cs_cdf", *layout_columns(cloud)
     )
 
 
@@ -65,9 +67,11 @@ def select_radar_scenes(scenes: DataFrame, config: AnalysisConfig) -> DataFrame:
 
 def scan_radar(scenes: DataFrame, pixels: DataFrame, config: AnalysisConfig) -> DataFrame:
     """Pixels of the selected scenes. The planner picks the join from the catalogue's real size."""
-    dated = pixels.filter(half_open(F.col("ts"), config.start, config.end))
-    pixels = nan_as_null(dated.select("scene_id", "cell_x", "cell_y", "vv", "vh", "angle"))
-    return pixels.join(select_radar_scenes(scenes, config), "scene_id")
+    dated = in_window(pixels, "ts", config.start, config.end)
+    bands = nan_as_null(
+        dated.select("scene_id", "cell_x", "cell_y", "vv", "vh", "angle", *layout_columns(pixels))
+    )
+    return bands.join(select_radar_scenes(scenes, config), "scene_id")
 
 
 def scan_hourly(hourly: DataFrame, config: AnalysisConfig) -> DataFrame:

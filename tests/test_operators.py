@@ -9,9 +9,11 @@ import pytest
 from plan_helpers import plan_text
 from pyspark.sql import functions as F
 
-from terraloom.operators import medians, optical, periods, radar, resample, stations, weather, zonal
+from terraloom.operators import medians, observations, optical, periods, radar, resample, stations, weather, zonal
 from terraloom.operators.bounds import bounds_of, with_block
 from terraloom.operators.worklist import pending, with_quarters
+from terraloom.config import AnalysisConfig
+from terraloom.sources import layout, scans
 from terraloom.sources.grids import Grid, read_grid
 
 PIXEL = "scene_id string, ts timestamp_ntz, cell_x bigint, cell_y bigint, b1 int, b2 int"
@@ -96,12 +98,12 @@ def test_medoid_against_brute_force(spark):
 def test_radar_bands_have_their_own_masks(spark):
     rows = spark.createDataFrame(
         [
-            (START, 1, 0, -10.0, -20.0, 30.0),
-            (START, 1, 0, -14.0, None, 32.0),
-            (START, 1, 0, None, -22.0, 34.0),
-            (START, 2, 0, None, -5.0, 30.0),
+            ("r1", START, 1, 0, -10.0, -20.0, 30.0),
+            ("r2", START, 1, 0, -14.0, None, 32.0),
+            ("r3", START, 1, 0, None, -22.0, 34.0),
+            ("r1", START, 2, 0, None, -5.0, 30.0),
         ],
-        "period_start date, cell_x bigint, cell_y bigint, vv double, vh double, angle double",
+        "scene_id string, period_start date, cell_x bigint, cell_y bigint, vv double, vh double, angle double",
     )
     found = {r["cell_x"]: r for r in radar.radar_medians(rows).collect()}
     assert (found[1]["VV_dB"], found[1]["VH_dB"], found[1]["VV_minus_VH_dB"]) == (-12.0, -21.0, 9.0)
@@ -110,6 +112,26 @@ def test_radar_bands_have_their_own_masks(spark):
     assert [r["cell_x"] for r in radar.radar_valid_cells(rows).collect()] == [1]
 
 
+def test_a_repeated_radar_pixel_is_an_error(spark):
+    rows = spark.createDataFrame(
+        [("r1", START, 1, 0, 1.0, 1.0, 1.0), ("r1", START, 1, 0, 2.0, 2.0, 2.0), ("r2", START, 2, 0, 1.0, 1.0, 1.0)],
+        "scene_id string, period_start date, cell_x bigint, cell_y bigint, vv double, vh double, angle double",
+    )
+    with pytest.raises(Exception, match="sar_pixels holds 2 rows of 1 scenes at 2021-01-01 1 0"):
+        radar.radar_medians(rows).collect()
+    assert radar.radar_medians(rows.filter("cell_x = 2")).count() == 1
+    text = plan_text(radar.radar_medians(rows))
+    assert text.split("== Physical Plan ==")[-1].count("Exchange") == 1
+
+
+def test_single_rows_pass_and_second_ones_are_errors(spark):
+    rows = spark.createDataFrame([(1, 2, None), (2, 3, 4), (2, 5, 6)], "k int, a int, b int")
+    once = observations.single(rows, ["k"], "table")
+    assert [tuple(r) for r in once.filter("k = 1").collect()] == [(1, 2, None)]
+    with pytest.raises(Exception, match="table holds 2 rows at 2"):
+        once.collect()
+
+
 @pytest.mark.parametrize("size", [7, 8, 1501, 2000])
 def test_hot_groups_have_exact_medians(spark, size):
     rng = random.Random(size)
@@ -157,7 +179,8 @@ def test_zonal_statistics_match_numpy_and_survive_an_offset(spark):
         [("g", "footprint", i, 0, float(w)) for i, w in enumerate(weights)],
         "geom_id string, scale string, cell_x bigint, cell_y bigint, weight double",
     )
-    row = zonal.zonal_statistics(predictors, bridge, ["a", "b"]).head()
+    found = zonal.zonal_statistics(predictors, bridge, ["a", "b"], {"a": 1e6})
+    row = found.head()
     w, v = np.delete(weights, 3), np.delete(values, 3)
     mean = np.average(v, weights=w)
     assert row["a_mean"] == pytest.approx(mean, rel=1e-12)
@@ -165,6 +188,39 @@ def test_zonal_statistics_match_numpy_and_survive_an_offset(spark):
     assert (row["b_mean"], row["b_stdDev"]) == (pytest.approx(40.0), pytest.approx(0.0, abs=1e-9))
 
 
+def test_zonal_statistics_combine_before_their_only_shuffle(spark):
+    predictors = spark.range(1000).selectExpr(
+        "date'2021-01-01' as period_start", "id % 10 as cell_x", "id div 10 as cell_y", "rand(1) as a", "rand(2) as VV_dB"
+    )
+    bridge = spark.range(1000).selectExpr(
+        "cast(id % 3 as string) as geom_id", "'footprint' as scale", "id % 10 as cell_x", "id div 10 as cell_y", "1.0D as weight"
+    )
+    text = plan_text(zonal.zonal_statistics(predictors, bridge, ["a", "VV_dB"]))
+    physical = text.split("== Physical Plan ==")[-1]
+    assert physical.count("HashAggregate") == 2 and "Window" not in physical
+    assert "partial_sum" in physical
+    above_join = physical.split("Join")[0]
+    assert above_join.count("Exchange") == 1
+
+
+def test_moments_merge(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(k), int(p), float(w), float(x)) for k, p, w, x in
+            zip(rng.integers(0, 3, 400), rng.integers(0, 5, 400), rng.random(400), rng.normal(-12, 2, 400), strict=True)]
+    rows += [(7, 0, 1.0, 0.3), (7, 1, 0.1, 0.3), (8, 0, 1.0, None), (9, 0, 0.0, 1.0), (9, 1, 0.0, 2.0)]
+    placed = spark.createDataFrame(rows, "k int, part int, weight double, VV_dB double")
+    fine = zonal.band_moments(placed, ["k", "part"], ["VV_dB"])
+    whole = zonal.merged_moments(fine, ["k"], ["VV_dB"])
+    found = {r["k"]: r for r in zonal.moment_statistics(whole, ["k"], ["VV_dB"]).collect()}
+    for k in range(3):
+        w, x = (np.array([r[i] for r in rows if r[0] == k]) for i in (2, 3))
+        mean = np.average(x, weights=w)
+        assert found[k]["VV_dB_mean"] == pytest.approx(mean, rel=1e-13)
+        assert found[k]["VV_dB_stdDev"] == pytest.approx(np.sqrt(np.average((x - mean) ** 2, weights=w)), rel=1e-12)
+    assert tuple(found[7])[1:] == (0.3, 0.0) and tuple(found[8])[1:] == (None, None)
+    assert tuple(found[9])[1:] == (None, None)
+
+
 def test_bounds_keep_wanted_cells_only(spark):
     pixels = spark.range(5000).select((F.col("id") - 2500).alias("cell_x"), (F.col("id") % 7).alias("cell_y"))
     cells = spark.createDataFrame([(-33, 5), (10, 4), (10, 4), (2000, 0)], "cell_x bigint, cell_y bigint")
@@ -189,6 +245,62 @@ def test_partitioned_pixels_are_pruned_by_block(spark, tmp_path):
     assert "dynamicpruning" in plan_text(found)
 
 
+SMALL = Grid("s", "utm18n", 7.0, -11.0, 30.0, -30.0, 30.0)
+LARGE = Grid("t", "utm18n", 0.0, 0.0, 20.0, 20.0, 20.0)
+
+
+@pytest.mark.parametrize(("source", "target"), [(SMALL, LARGE), (LARGE, SMALL), (LARGE, LARGE)])
+def test_wanted_blocks_draw_on_their_source_blocks_only(spark, source, target):
+    wanted = bounds_of(spark.createDataFrame([(40, -3), (41, 70), (-1, 0)], "cell_x bigint, cell_y bigint"))
+    # Source pixels around all that the wanted blocks can reach, and far away.
+    side = spark.range(-160, 260)
+    pixels = side.select(F.col("id").alias("cell_x")).join(side.select(F.col("id").alias("cell_y")), F.lit(True))
+    far = pixels.withColumn("cell_x", F.col("cell_x") + 100_000)
+    value = (F.col("cell_x") * 7 + F.col("cell_y") * 13) % 101
+    pixels = pixels.unionByName(far).withColumn("v", F.when(F.col("cell_x") % 17 != 0, value.cast("double")))
+    whole = wanted.near(resample.resample_bilinear(pixels, ["v"], source, target, []))
+    cut = resample.source_blocks(wanted, source, target).near(pixels)
+    halo = wanted.near(resample.resample_bilinear(cut, ["v"], source, target, []))
+    rounded = ["cell_x", "cell_y", F.round("v", 6).alias("v")]
+    rows = sorted(map(str, halo.select(*rounded).collect()))
+    assert rows == sorted(map(str, whole.select(*rounded).collect())) and len(rows) > 3 * 1024 - 200
+    # Each wanted block reaches itself, scaled, and its neighbours: never the whole source.
+    scale = target.step_x / source.step_x
+    assert cut.count() <= 3 * (1024 * (max(abs(scale), 1) * 3 + 1) ** 2)
+    assert cut.filter("cell_x > 50000").isEmpty()
+
+
+def pruned_pixels(spark, path):
+    """A year of pixels over 20 tiles, stored by month and tile."""
+    pixels = spark.range(24_000).select(
+        F.concat(F.lit("s"), (F.col("id") % 60).cast("string")).alias("scene_id"),
+        F.expr("cast(date_add(date'2020-06-15', cast(pmod(hash(id, 2), 360) as int)) as timestamp_ntz)").alias("ts"),
+        F.expr("cast(pmod(hash(id), 10240) as bigint)").alias("cell_x"),
+        F.expr("cast(pmod(hash(id, 1), 500) as bigint)").alias("cell_y"),
+        (F.col("id") % 9).cast("double").alias("cs_cdf"),
+    )
+    layout.write_pixels(pixels, path)
+    return pixels, spark.read.parquet(path)
+
+
+def test_stored_pixels_are_pruned_by_month_and_tile(spark, tmp_path):
+    pixels, stored = pruned_pixels(spark, str(tmp_path / "pixels"))
+    assert {"month", "tile_x", "tile_y"} <= set(stored.columns)
+    assert stored.count() == pixels.count()
+    config = AnalysisConfig(start=date(2021, 1, 10), end=date(2021, 3, 1))
+    listed = [(x, 5) for x in range(600, 800)] + [(5000, 400)]
+    bounds = bounds_of(spark.createDataFrame(listed, "cell_x bigint, cell_y bigint"))
+
+    near = bounds.near(scans.scan_cloud(stored, config))
+    plain = bounds.near(scans.scan_cloud(pixels, config))
+    assert near.columns == plain.columns == ["scene_id", "ts", "cell_x", "cell_y", "cs_cdf"]
+    assert sorted(map(str, near.collect())) == sorted(map(str, plain.collect())) != []
+    text = plan_text(near)
+    assert "dynamicpruning" in text
+    filters = [x for x in text.splitlines() if "PartitionFilters" in x][0]
+    assert "month" in filters and "202101" in filters and "202102" in filters and "tile_x" in filters
+
+
 def test_period_join_is_a_hash_join(spark):
     scenes = spark.createDataFrame(
         [("in", datetime(2021, 1, 8, 23)), ("next", datetime(2021, 1, 9)), ("out", datetime(2022, 6, 1))],

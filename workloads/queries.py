@@ -118,8 +118,8 @@ def q_scan_optical(spark, sf):
 def q_optical_resampled(spark, sf):
     """The optical scan with resampling switched on; columns align, rows are 30 m and become 20 m."""
     config = replace(CONFIG, optical_grid=COLUMNS_FROM, analysis_grid=COLUMNS_TO)
-    pixels = avail.optical_pixels(standins.inputs(spark, sf), config)
-    return pixels.filter("b2 is not null")
+    pixels = scans.scan_optical(standins.optical_pixels(spark, sf), config)
+    return avail.on_analysis_grid(pixels, config).filter("b2 is not null")
 
 
 @query

@@ -15,7 +15,8 @@ language keeps fewer than 10^9 terms.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from array import array
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -38,9 +39,9 @@ WHOLE = 1_000_000_000
 
 #: Terms of a shard at most, which bounds a transducer's size. Directory rows follow: one a shard.
 SHARD_TERMS = 65_536
-#: Distinct entries that a task sums up before it sends them on, and pairs looked at together:
-#: array sizes only, results do not depend on them.
-CHUNK_ENTRIES = 400_000
+#: Terms that a task sums up before it sends the sums on, and pairs looked at together: array sizes
+#: only, results do not depend on them.
+CHUNK_TERMS = 4_000_000
 BATCH_PAIRS = 1_000_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -61,30 +62,44 @@ def _read(docs: DataFrame) -> DataFrame:
     )
 
 
+def _numbers() -> defaultdict:
+    """A dictionary that numbers its keys in the order in which they are first asked for."""
+    numbers: defaultdict = defaultdict()
+    numbers.default_factory = numbers.__len__
+    return numbers
+
+
 def kept_terms(texts: DataFrame) -> DataFrame:
     """lang, term (binary), chunks: terms of enough documents, and how many partial sums held them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        numbers: dict[str, defaultdict] = defaultdict(_numbers)
+        found: dict[str, array] = defaultdict(lambda: array("i"))
+        held = 0
 
-        def sent() -> pa.RecordBatch:
-            langs, terms = zip(*held, strict=True) if held else ((), ())
-            return pa.record_batch(
-                [
-                    pa.array(langs, pa.string()),
-                    pa.array(terms, pa.binary()),
-                    pa.array(held.values(), pa.int64()),
-                ],
-                ["lang", "term", "docs"],
-            )
+        def sent() -> Iterator[pa.RecordBatch]:
+            for lang, own in numbers.items():
+                docs = np.bincount(np.frombuffer(found[lang], np.int32), minlength=len(own))
+                yield pa.record_batch(
+                    [
+                        pa.DictionaryArray.from_arrays(np.zeros(len(own), np.int8), [lang]).cast("string"),
+                        pa.array(own.keys(), pa.binary()),
+                        pa.array(docs.astype(np.int64)),
+                    ],
+                    ["lang", "term", "docs"],
+                )
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.update([(lang, t) for t in set(terms_of(text))])
-                if len(held) >= CHUNK_ENTRIES:
-                    yield sent()
-                    held.clear()
-        yield sent()
+                terms = set(terms_of(text))
+                found[lang].extend(map(numbers[lang].__getitem__, terms))
+                held += len(terms)
+                if held >= CHUNK_TERMS:
+                    yield from sent()
+                    numbers.clear()
+                    found.clear()
+                    held = 0
+        yield from sent()
 
     partial = texts.select("lang", "text").mapInArrow(run, "lang string, term binary, docs long")
     summed = partial.groupBy("lang", "term").agg(
@@ -155,52 +170,83 @@ class Directory:
             passed[r.lang] += r.n
             weight += r.weight
 
-    def place(self, lang: str, term: bytes) -> tuple[int, int] | None:
-        """Shard and slot of the range that the term falls in."""
-        at = bisect_right(self.firsts.get(lang, ()), term) - 1
-        return self.shards[lang][at] if at >= 0 else None
+    def places(self, lang: str, terms: list[bytes]) -> tuple[int, np.ndarray, np.ndarray]:
+        """For ascending terms: how many precede every shard, and shard and slot of the others."""
+        starts = np.array([bisect_left(terms, first) for first in self.firsts.get(lang, ())], np.int64)
+        if not len(starts):
+            none = np.empty(0, np.int64)
+            return len(terms), none, none
+        own = np.array(self.shards[lang], np.int64)
+        ranges = np.repeat(own, np.diff(np.append(starts, len(terms))), axis=0)
+        return int(starts[0]), ranges[:, 0], ranges[:, 1]
+
+
+class _Chunk:
+    """Terms of some texts of one language, numbered, with the source of each text."""
+
+    def __init__(self):
+        self.terms, self.sources = _numbers(), _numbers()
+        self.found, self.texts = array("i"), []
+
+    def add(self, source: str, terms: list[bytes]) -> None:
+        self.found.extend(map(self.terms.__getitem__, terms))
+        self.texts.append((self.sources[source], len(terms)))
+
+    def rows(self, lang: str, directory: Directory) -> pa.RecordBatch:
+        """A row per term that a shard may hold: its sources and their counts, terms ascending."""
+        terms = list(self.terms)
+        order = sorted(range(len(terms)), key=terms.__getitem__)
+        terms = [terms[k] for k in order]
+        rank = np.empty(len(terms), np.int64)
+        rank[order] = np.arange(len(terms))
+        source, sizes = np.array(self.texts, np.int32).reshape(-1, 2).T
+        # Sorted in place: this is the largest array of the task.
+        pairs = rank[np.frombuffer(self.found, np.int32)]
+        pairs *= len(self.sources)
+        pairs += np.repeat(source, sizes)
+        pairs.sort()
+        edges = np.flatnonzero(np.diff(pairs, prepend=-1))
+        pairs, counts = pairs[edges], np.diff(edges, append=len(pairs))
+        before, shard, slot = directory.places(lang, terms)
+        first = int(np.searchsorted(pairs, before * len(self.sources)))
+        pairs, counts, terms = pairs[first:], counts[first:], terms[before:]
+        of_term = pairs // len(self.sources) - before
+        offsets = pa.array(np.searchsorted(of_term, np.arange(len(terms) + 1)).astype(np.int32))
+        names = pa.array(self.sources.keys(), pa.string())
+        return pa.record_batch(
+            [
+                pa.array(slot.astype(np.int32)),
+                pa.DictionaryArray.from_arrays(np.zeros(len(terms), np.int8), [lang]).cast("string"),
+                pa.array(shard),
+                pa.array(terms, pa.binary()),
+                pa.ListArray.from_arrays(offsets, names.take(pa.array(pairs % len(self.sources)))),
+                pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
+            ],
+            ["slot", "lang", "shard", "term", "sources", "counts"],
+        )
 
 
 def _stream(texts: DataFrame, directory: Directory) -> DataFrame:
     """slot, lang, shard, term, sources, counts: the terms of all texts, summed per chunk of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        entries = 0
+        chunks: dict[str, _Chunk] = defaultdict(_Chunk)
+        held = 0
 
         def sent() -> Iterator[pa.RecordBatch]:
-            by_term: dict[tuple[str, bytes], list] = defaultdict(list)
-            for (lang, source), counts in held.items():
-                for term, n in counts.items():
-                    by_term[lang, term].append((source, n))
-            rows = []
-            for (lang, term), found in by_term.items():
-                place = directory.place(lang, term)
-                if place is not None:
-                    shard, slot = place
-                    rows.append((slot, lang, shard, term, [s for s, _ in found], [n for _, n in found]))
-            if rows:
-                columns = zip(*rows, strict=True)
-                kinds = [
-                    pa.int32(), pa.string(), pa.int64(), pa.binary(),
-                    pa.list_(pa.string()), pa.list_(pa.int64()),
-                ]
-                yield pa.record_batch(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                    ["slot", "lang", "shard", "term", "sources", "counts"],
-                )
+            for lang, chunk in chunks.items():
+                yield from common.arrow_rows([chunk.rows(lang, directory)], 10_000)
 
         for batch in batches:
             langs, sources = (batch.column(k).to_pylist() for k in range(2))
             for lang, source, text in zip(langs, sources, batch.column(2), strict=True):
-                counts = held[lang, source]
-                before = len(counts)
-                counts.update(terms_of(text))
-                entries += len(counts) - before
-                if entries >= CHUNK_ENTRIES:
+                terms = terms_of(text)
+                chunks[lang].add(source, terms)
+                held += len(terms)
+                if held >= CHUNK_TERMS:
                     yield from sent()
-                    held.clear()
-                    entries = 0
+                    chunks.clear()
+                    held = 0
         yield from sent()
 
     return texts.select("lang", "source", "text").mapInArrow(

@@ -1,7 +1,9 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Long texts are split before encoding where no match of the pre-token pattern can cross: the pieces
-then give the same ids as the whole, and no call sees more than some ten thousand characters.
+then give the same ids as the whole, and few calls see more than some ten thousand characters. A long
+run of white space is cut by rule, because the library's pattern engine recurses over it: the pattern
+takes the run as one match, but for its last character where something follows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ PIECE = 16_384
 #: A letter, then one space, then a letter: the pattern's match ends before the space, whatever
 #: stands around, for no branch goes on from a letter over a space.
 _SAFE = re.compile(r"[A-Za-z](?= [A-Za-z])")
+#: A run of white space that is cut out of the text and encoded as the match that it is.
+_LONG_SPACE = re.compile(rf"[{common.SPACE}]{{{PIECE},}}")
 
 
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
@@ -50,8 +54,18 @@ def encoding(rank_file: str, pattern: str):
 
 def encode(coder, text: str) -> list[int]:
     ids: list[int] = []
-    for piece in pieces(text):
-        ids += coder.encode_ordinary(piece)
+
+    def take(part: str) -> None:
+        for piece in pieces(part):
+            ids.extend(coder.encode_ordinary(piece))
+
+    start = 0
+    for run in _LONG_SPACE.finditer(text) if len(text) >= PIECE else ():
+        take(text[start : run.start()])
+        # No match goes on from other characters into white space.
+        start = run.end() - (run.end() < len(text))
+        ids.extend(coder._encode_single_piece(text[run.start() : start]))
+    take(text[start:])
     return ids
 
 
@@ -59,7 +73,9 @@ def with_tokens(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int), decoded (binary) of every row.
 
     A null text is empty: no ids and no bytes. Decoding works on raw bytes, so ids that split a
-    character still give the text's bytes. Repeated rows give one row each.
+    character still give the text's bytes. Whole texts of any length and content are encoded.
+    Repeated rows give one row each, a null doc_id stays null, other columns are not read, and an
+    empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +95,9 @@ def with_tokens(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: `with_tokens` as digests made in the task."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: `with_tokens` as digests made in the task, with
+    the same results for nulls, empty and long texts, repeated rows and empty tables.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(rank_file, pattern)

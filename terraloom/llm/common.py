@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 #: A word of the contracts: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: White space as the pattern engines of the tokenizer libraries have it, by code points, to stand in
+#: a character class; Python's \\s has four more. Fixed values.
+_SPACE_RANGES = (
+    (0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+)
+SPACE = "".join(f"{chr(a)}-{chr(b)}" for a, b in _SPACE_RANGES)
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -26,6 +34,14 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
 
 
+def unused_name(docs: DataFrame, name: str) -> str:
+    """`name`, made longer until no column has it in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower case for A-Z alone."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -127,7 +127,7 @@ class Restorer:
         """Runs of single characters: start, end, and what they restore to."""
         kinds = "".join(
             [
-                "s" if len(t) == 1 and _ONE.fullmatch(t) else "e" if 1 < len(t) < 4 and _END.fullmatch(t) else "."
+                "s" if len(t) == 1 and _ONE.fullmatch(t) else "e" if len(t) > 1 and _END.fullmatch(t) else "."
                 for t in tokens
             ]
         )

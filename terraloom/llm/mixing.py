@@ -28,18 +28,16 @@ SALTS = 64
 SEED = "systematic"
 
 
-#: A column of written tables that tells equal rows apart.
-ROW = "__row_id"
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """`docs` with row numbers as column `row`, written: they hold for every later reading."""
+    return written(docs.select("*", F.monotonically_increasing_id().alias(row)), "mix-rows")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """`docs` with ROW, written: the numbers hold for every later reading."""
-    return written(docs.select("*", F.monotonically_increasing_id().alias(ROW)), "mix-rows")
-
-
-def sizes(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, source, size of every row; written once, as it is read several times."""
-    row = docs[ROW] if ROW in docs.columns else F.monotonically_increasing_id()
+def sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """row_id, doc_id, source, size of every row; written once, as it is read several times. `row`
+    names a column that tells equal rows apart, where there is one.
+    """
+    row = F.monotonically_increasing_id() if row is None else docs[row]
     found = docs.select(
         row.alias("row_id"),
         docs["doc_id"].cast("long").alias("doc_id"),
@@ -116,7 +114,11 @@ def ranks(sized: DataFrame) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST
+    docs: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    share: float = SHARE,
+    most: int = MOST,
+    row: str | None = None,
 ) -> DataFrame:
     """row_id, doc_id, source, size, source_size, target, copies of every row.
 
@@ -124,7 +126,7 @@ def mix(
     like any other and takes no words. Copies are 0 to `most`; equal rows may differ in copies.
     An empty table gives no rows. `row_id` tells equal rows apart within one result.
     """
-    sized = sizes(docs)
+    sized = sizes(docs, row)
     goals = targets(sized, weights, share, most)
     ranked = ranks(sized)
     # One row per source: as many as there are sources, not documents.
@@ -145,9 +147,14 @@ def mix(
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """The mix itself: the columns of `docs`, each row as often as it was drawn."""
-    rows = numbered(docs)
-    drawn = mix(rows).filter("copies > 0").select(F.col("row_id").alias(ROW), "copies")
+    """The mix itself: the columns of `docs`, each row as often as it was drawn.
+
+    Rows of null or empty text may be drawn like others; equal rows are drawn one by one; texts of
+    any length stay whole; columns of any name stay as they are; an empty table gives no rows.
+    """
+    row = common.unused_name(docs, "__row_id")
+    rows = numbered(docs, row)
+    drawn = mix(rows, row=row).filter("copies > 0").select(F.col("row_id").alias(row), "copies")
     again = F.transform(F.sequence(F.lit(1), drawn["copies"]), lambda _: F.lit(True))
-    chosen = drawn.select(ROW, F.explode(again))
-    return rows.join(chosen.select(ROW), ROW).select(*[rows[c] for c in docs.columns])
+    chosen = drawn.select(row, F.explode(again))
+    return rows.join(chosen.select(row), row).select(*[rows[c] for c in docs.columns])

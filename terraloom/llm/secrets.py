@@ -31,11 +31,15 @@ ACCESS = r"AKIA[A-Z0-9]+"
 # A run of 16 or more is the same as a whole run that passes.
 HEX = r"[0-9a-f]{16,}"
 #: The weak kinds: bare upper-case identifiers, long mixed strings, and hosts.
-ID = r"(?<![A-Za-z0-9])[A-Z][A-Z0-9]{11,31}(?![A-Za-z0-9])"
-KEY = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,128}(?![A-Za-z0-9+/])"
-ENDPOINT = r"https?://[^\x20\x09-\x0D\"'<>]+|[a-z0-9-]+(?:\.[a-z0-9-]+)+"
-#: An endpoint is an address, or a dotted name with one of these ends.
-HOST = r"^https?://|\.(com|net|org|io)$"
+ID = r"(?<![A-Za-z0-9])[A-Z][A-Z0-9]{11,}(?![A-Za-z0-9])"
+KEY = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}(?![A-Za-z0-9+/])"
+#: A name is tried from its first character only, so that a long word is read once.
+ENDPOINT = (
+    r"https?://[^\x20\x09-\x0D\"'<>]+|(?<![a-z0-9-])[a-z0-9-]+(?:\.[a-z0-9-]+)+(?::[a-z0-9-]+)?"
+)
+#: An endpoint is an address, a dotted name or number with a port, a name of three parts or more
+#: whose last is letters, or one of two parts with a common end.
+HOST = r"^https?://|:[0-9]+$|\.[a-z0-9-]+\.[a-z]{2,}(:|$)|\.(com|net|org|io)(:|$)"
 
 
 def _matches(text: Column, kind: str, pattern: str, passes) -> Column:
@@ -123,21 +127,24 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     An identifier needs a key in scope, a key needs an identifier or an endpoint, and an endpoint
     needs both an identifier and a key. Two parts share a scope if their starts are at most `scope`
-    code points apart; the nearest start of each role in a bucket decides, so that a bucket full of
-    parts is not paired out.
+    code points apart, and complementary parts do not overlap: a string is not its own complement.
+    Matches of a kind do not overlap, so a bucket holds a bounded number of them, as one row a role,
+    and a bucket full of parts is not paired out.
     """
     bucket = F.floor(F.col("start") / scope)
     clear = _apart(parts).withColumn("role", _role(F.col("kind")))
     held = clear.groupBy("text_key", bucket.alias("bucket"), F.col("role").alias("other")).agg(
-        F.min("start").alias("lowest"), F.max("start").alias("highest")
+        F.collect_list(F.struct("start", "end")).alias("others")
     )
     weak = clear.filter(F.col("kind").isin(*WEAK)).select(
         "*", F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket")
     )
-    away = F.greatest(F.col("start") - F.col("highest"), F.col("lowest") - F.col("start"))
-    near = weak.join(held, ["text_key", "bucket"]).filter(
-        (F.col("role") != F.col("other")) & (away <= scope)
+    beside = F.exists(
+        "others",
+        lambda o: (F.abs(o["start"] - F.col("start")) <= scope)
+        & ((o["end"] <= F.col("start")) | (o["start"] >= F.col("end"))),
     )
+    near = weak.join(held, ["text_key", "bucket"]).filter((F.col("role") != F.col("other")) & beside)
     per_part = near.groupBy("text_key", "kind", "role", "start", "end").agg(
         F.max(F.col("other") == "id").alias("has_id"),
         F.max(F.col("other") == "key").alias("has_key"),
@@ -195,16 +202,17 @@ def of_kind(spans: Column, *kinds: str) -> Column:
 def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """`docs` with every span in `text` replaced by [kind]; rows and other columns stay.
 
-    Spans that overlap are replaced together, under the kind of the first.
+    Spans that overlap are replaced together, under the kind of the first. Null and empty texts stay
+    as they are, as do columns of any name; equal rows are treated alike; texts of any length are
+    scanned whole; an empty table gives an empty one.
     """
-    key = F.md5(common.text_of(docs))
-    spans = _spans_by_text(scan(docs), scope).withColumnsRenamed(
-        {"text_key": "__text_key", "spans": "__spans"}
-    )
-    rows = docs.withColumn("__key", key).join(spans, F.col("__key") == F.col("__text_key"), "left")
+    key, found, listed = (common.unused_name(docs, c) for c in ("__key", "__text_key", "__spans"))
+    spans = _spans_by_text(scan(docs), scope).withColumnsRenamed({"text_key": found, "spans": listed})
+    keyed = docs.withColumn(key, F.md5(common.text_of(docs)))
+    rows = keyed.join(spans, F.col(key) == F.col(found), "left")
     return rows.select(
         *[
-            _without(F.col("text"), F.col("__spans")).alias(c) if c == "text" else F.col(c)
+            _without(F.col("text"), F.col(listed)).alias(c) if c == "text" else F.col(c)
             for c in docs.columns
         ]
     )

@@ -3,7 +3,7 @@
 Documents are read in chunks. A chunk gives one row per distinct pre-token with its postings
 (document's place in the chunk, frequency). Rows of one pre-token meet in one partition, sorted, so
 that the library counts its pieces once and the count is joined to all its postings; the sums
-travel back per chunk. Token ids are never materialised. A document adds at most one posting to a
+travel back per chunk, as pairs of place and sum. Token ids are never materialised. A document adds at most one posting to a
 pre-token, so no pre-token holds more than its share of documents.
 
 The rows must come in the same order when a task is rerun, as they do from a table.
@@ -11,7 +11,8 @@ The rows must come in the same order when a task is rerun, as they do from a tab
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,22 +25,15 @@ from terraloom.llm import common
 
 #: Documents of a chunk; bounds what a task holds.
 CHUNK_DOCS = 4096
-#: Text of a chunk in bytes, after which it ends.
-CHUNK_BYTES = 12 << 20
-#: Sums held by a task before they are passed on.
-HELD_SUMS = 4 << 20
-
-#: White space as the tokenizers library's pattern engine has it, by code points; Python's \\s has
-#: four more.
-_SPACE_RANGES = (
-    (0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
-    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
-)
-_SPACE = "".join(f"{chr(a)}-{chr(b)}" for a, b in _SPACE_RANGES)
+#: Characters of a chunk, after which it ends.
+CHUNK_CHARS = 12 << 20
+#: Sums held by a task before they are passed on, and looked at together.
+HELD_SUMS = 2 << 20
+
 #: The split of byte-level BPE before merges: fixed values of the vocabulary's format.
 SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
-    rf"| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+    rf"| ?[^{common.SPACE}\p{{L}}\p{{N}}]+|[{common.SPACE}]+(?![^{common.SPACE}])|[{common.SPACE}]+"
 )
 
 
@@ -52,13 +46,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
             ids.append(doc_id)
             texts.append(text)
             held += len(texts[-1])
-            if len(ids) >= CHUNK_DOCS or held >= CHUNK_BYTES:
+            if len(ids) >= CHUNK_DOCS or held >= CHUNK_CHARS:
                 yield ids, texts
                 ids, texts, held = [], [], 0
     if ids:
         yield ids, texts
 
 
+def _rows_of(places: np.ndarray, starts: np.ndarray, width: int) -> pa.Array:
+    """One binary value per range of a typed array, without a copy of its own for each."""
+    offsets = pa.py_buffer((starts * width).astype("<i4"))
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, offsets, pa.py_buffer(places)])
+
+
 def _postings(special: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -68,46 +68,52 @@ def _postings(special: list[str]):
         part = TaskContext.get().partitionId()
         for number, (ids, texts) in enumerate(_chunks(batches)):
             chunk = (part << 32) + number
-            places: dict[str, list[int]] = {}
-            counts: dict[str, list[int]] = {}
-            for place, text in enumerate(texts):
+            numbers: defaultdict = defaultdict()
+            numbers.default_factory = numbers.__len__
+            found, ends = array("i"), []
+            for text in texts:
                 if apart is None or not any(mark in text for mark in special):
-                    found = Counter(split.findall(text))
+                    found.extend(map(numbers.__getitem__, split.findall(text)))
                 else:
-                    found = Counter()
                     for piece in apart.split(text):
-                        found.update([piece] if piece in special else split.findall(piece))
-                for token, times in found.items():
-                    held = places.get(token)
-                    if held is None:
-                        held, counts[token] = places.setdefault(token, []), []
-                    while times > 255:  # frequencies take one byte; larger ones several postings
-                        held.append(place)
-                        counts[token].append(255)
-                        times -= 255
-                    held.append(place)
-                    counts[token].append(times)
-            tokens = list(places)
-            rows = [np.array(places[t], "<u2").tobytes() for t in tokens]
-            times_of = [bytes(counts[t]) for t in tokens]
-            # The chunk's own row: which document stands at which place. No pre-token is empty.
-            sizes = np.array([len(t.encode()) for t in texts], "<i8").tobytes()
-            real = np.array([-1 if i is None else 0 for i in ids], "<i8").tobytes()
-            known = np.array([i or 0 for i in ids], "<i8").tobytes()
-            tokens.append("")
-            rows.append(known + sizes + real)
-            times_of.append(b"")
-            for start in range(0, len(tokens), 20_000):
-                cut = slice(start, start + 20_000)
+                        own = [piece] if piece in special else split.findall(piece)
+                        found.extend(map(numbers.__getitem__, own))
+                ends.append(len(found))
+            place = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            pairs, times = np.unique(
+                np.frombuffer(found, "<i4").astype(np.int64) * CHUNK_DOCS + place, return_counts=True
+            )
+            # Frequencies take one byte; larger ones several postings.
+            copies = (times + 254) // 255
+            pairs, last = np.repeat(pairs, copies), np.cumsum(copies) - 1
+            bounded = np.full(len(pairs), 255, "<u1")
+            bounded[last] = times - 255 * (copies - 1)
+            token_of, places = pairs // CHUNK_DOCS, (pairs % CHUNK_DOCS).astype("<u2")
+            tokens = list(numbers)
+            starts = np.searchsorted(token_of, np.arange(len(tokens) + 1))
+            for first in range(0, len(tokens), 20_000):
+                some = tokens[first : first + 20_000]
+                own = starts[first : first + len(some) + 1]
+                low, high = own[0], own[-1]
                 yield pa.record_batch(
                     [
-                        pa.array(tokens[cut], pa.string()),
-                        pa.array([chunk] * len(tokens[cut]), pa.int64()),
-                        pa.array(rows[cut], pa.binary()),
-                        pa.array(times_of[cut], pa.binary()),
+                        pa.array(some, pa.string()),
+                        pa.array(np.full(len(some), chunk)),
+                        _rows_of(places[low:high], own - low, 2),
+                        _rows_of(bounded[low:high], own - low, 1),
                     ],
                     ["token", "chunk", "places", "times"],
                 )
+            # The chunk's own row: which document stands at which place. No pre-token is empty.
+            sizes = np.array([len(t.encode()) for t in texts], "<i8").tobytes()
+            real = np.array([-1 if i is None else 0 for i in ids], "<i8").tobytes()
+            known = np.array([i or 0 for i in ids], "<i8").tobytes()
+            own_row = [[""], [chunk], [known + sizes + real], [b""]]
+            kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.record_batch(
+                [pa.array(v, k) for v, k in zip(own_row, kinds, strict=True)],
+                ["token", "chunk", "places", "times"],
+            )
 
     return run
 
@@ -119,6 +125,12 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, bytes]:
     return np.diff(ends), memoryview(column.buffers()[2] or b"")[ends[0] : ends[-1]]
 
 
+def _sparse(total: np.ndarray) -> bytes:
+    """The places that hold a sum, and the sums: never more of them than there were postings."""
+    places = np.flatnonzero(total)
+    return places.astype("<u2").tobytes() + total[places].astype("<u4").tobytes()
+
+
 def _summed(tokenizer_file: str, special: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -130,7 +142,7 @@ def _summed(tokenizer_file: str, special: list[str]):
         last, pieces = None, 0
 
         def out() -> pa.RecordBatch:
-            rows = [v.tobytes() for v in sums.values()]
+            rows = [_sparse(v) for v in sums.values()]
             batch = pa.record_batch(
                 [
                     pa.array(list(sums), pa.int64()),
@@ -161,10 +173,18 @@ def _summed(tokenizer_file: str, special: list[str]):
                 chunks, which = np.unique(np.asarray(batch.column(1)), return_inverse=True)
                 at = which.repeat(sizes // 2) * CHUNK_DOCS + np.frombuffer(flat, "<u2")
                 added = met * np.frombuffer(frequencies, "<u1")
-                total = np.bincount(at, added, len(chunks) * CHUNK_DOCS).astype("<i8")
-                for chunk, part in zip(chunks.tolist(), total.reshape(-1, CHUNK_DOCS), strict=True):
-                    held = sums.get(chunk)
-                    sums[chunk] = part.copy() if held is None else held + part
+                # A common pre-token's rows may come from as many chunks: so many at a time.
+                together = HELD_SUMS // CHUNK_DOCS
+                for first in range(0, len(chunks), together):
+                    low, some = first * CHUNK_DOCS, chunks[first : first + together].tolist()
+                    own = (at >= low) & (at < low + len(some) * CHUNK_DOCS)
+                    total = np.bincount(at[own] - low, added[own], len(some) * CHUNK_DOCS)
+                    parts = total.astype("<i8").reshape(-1, CHUNK_DOCS)
+                    for chunk, part in zip(some, parts, strict=True):
+                        held = sums.get(chunk)
+                        sums[chunk] = part.copy() if held is None else held + part
+                    if len(sums) * CHUNK_DOCS > HELD_SUMS:
+                        yield out()
             if lists:
                 yield pa.record_batch(
                     [
@@ -174,8 +194,6 @@ def _summed(tokenizer_file: str, special: list[str]):
                     ],
                     ["chunk", "is_list", "row"],
                 )
-            if len(sums) * CHUNK_DOCS > HELD_SUMS:
-                yield out()
         if sums:
             yield out()
 
@@ -206,7 +224,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if is_list:
                 listed = row
             else:
-                total += np.frombuffer(row, "<i8")
+                n = len(row) // 6
+                total[np.frombuffer(row, "<u2", n)] += np.frombuffer(row, "<u4", n, 2 * n)
     if now is not None:
         yield out(listed, total)
 

@@ -26,6 +26,7 @@ def test_decoration_of_plain_words_stays(restore, text):  # noqa: F811
         ("s t u p i d & i d i o t 2 m 0 r 0 n.", ["stupid", "idiot", "moron"]),
         ("s + u p i d | d i o t", ["stupid"]),
         ("s+upid s.+.u.p.i.d", ["stupid"]),
+        ("s t u p i d!!! i d i o t??????!!!!!!", ["stupid", "idiot"]),
         ("i" + "d" * 3 + "i" + "o" * 60 + "t", ["idiot"]),
         ("l" + "o" * 5000 + "ser", ["loser"]),
     ],

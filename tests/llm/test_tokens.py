@@ -56,6 +56,42 @@ def test_pieces_join_to_the_text_and_its_ids(library):
     assert list(byte_bpe.pieces("9" * 100_000, 100)) == ["9" * 100_000]
 
 
+def plain_encode(coder, text):
+    """Matches of the pattern one by one, by the rule for white space; no engine recurses here."""
+    import regex
+
+    ids, at = [], 0
+    words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")
+    while at < len(text):
+        match = words.match(text, at)
+        end = match.end() if match else at
+        if match is None:
+            while end < len(text) and text[end].isspace():
+                end += 1
+            end -= end < len(text) and end - at > 1
+        ids += coder._encode_single_piece(text[at:end])
+        at = end
+    return ids
+
+
+@pytest.mark.parametrize("size", [16_383, 16_384, 16_385, 50_000])
+@pytest.mark.parametrize("unit", [" ", "\n", " \n\t", "\u3000 "])
+def test_long_white_space_equals_the_rule(library, unit, size):
+    run = (unit * size)[:size]
+    for text in (run, "a" + run, run + "b", "It's" + run + "5" + run + "?!" + run, run + "é" + unit):
+        ids = byte_bpe.encode(library, text)
+        assert ids == plain_encode(library, text) == library.encode_ordinary(text)
+        assert library.decode_bytes(ids).decode() == text
+
+
+@pytest.mark.parametrize("size", [1_000_000, 5_000_000])
+@pytest.mark.parametrize("unit", [" ", "\n", " \t\n", "a", "7", "!", "字", " a"])
+def test_very_long_texts_do_not_crash(library, unit, size):
+    text = (unit * size)[:size]
+    for whole in (text, "x" + text + "y"):
+        assert library.decode_bytes(byte_bpe.encode(library, whole)).decode() == whole
+
+
 def test_token_counts_equal_the_library(docs, no_docs, monkeypatch):
     tokenizer = Tokenizer.from_file(BYTES)
     expected = []
@@ -71,7 +107,7 @@ def test_token_counts_over_chunks_and_high_frequencies(spark, monkeypatch):
     tokenizer = Tokenizer.from_file(BYTES)
     texts = ["a " * n + f"tail{n}" for n in (1, 254, 255, 256, 511, 3000)] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    monkeypatch.setattr(token_counts, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(token_counts, "CHUNK_CHARS", 1000)
     found = token_counts.count_tokens(docs, BYTES, ["<|endoftext|>"])
     expected = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
     assert {r.doc_id: r.n_tokens for r in found.collect()} == expected

@@ -51,12 +51,6 @@ def _last_pixel(bands: list[str]) -> list[Column]:
     return [F.col("ts"), F.col("scene_id"), *[F.col(b) for b in bands]]
 
 
-def daily_mosaic(clear: DataFrame, bands: list[str], keys: list[str]) -> DataFrame:
-    """Per `keys` (cell and day): the bands of the last scene by (ts, scene_id)."""
-    last = clear.groupBy(*keys).agg(F.max(F.struct(*_last_pixel(bands))).alias("__last"))
-    return last.select(*keys, *[F.col(f"__last.{b}").alias(b) for b in bands])
-
-
 def daily_stack(clear: DataFrame, bands: list[str]) -> DataFrame:
     """Per period and cell: `days`, the daily mosaics in date order, at most eight of them.
 

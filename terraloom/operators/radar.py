@@ -1,4 +1,4 @@
-"""Radar imagery: period medians in dB and the joint validity of both polarisations."""
+"""Radar imagery: period medians in dB."""
 
 from __future__ import annotations
 
@@ -39,12 +39,3 @@ def radar_medians(rows: DataFrame) -> DataFrame:
         (F.col("vv") - F.col("vh")).alias("VV_minus_VH_dB"),
         F.col("angle").alias("Angle_deg"),
     )
-
-
-def radar_valid_cells(rows: DataFrame) -> DataFrame:
-    """Period cells whose VV and VH medians both exist, without computing the medians."""
-    present = rows.groupBy(*PERIOD_CELL).agg(
-        F.max(F.col("vv").isNotNull()).alias("has_vv"),
-        F.max(F.col("vh").isNotNull()).alias("has_vh"),
-    )
-    return present.filter(F.col("has_vv") & F.col("has_vh")).select(*PERIOD_CELL)

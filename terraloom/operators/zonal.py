@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,70 +17,94 @@ def footprint_cells_of(bridge: DataFrame) -> DataFrame:
     return bridge.filter(F.col("scale") == "footprint")
 
 
-def coverage(valid_cells: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Weighted share of each geometry that is valid, per period: `geom_id, period_start, share`.
+# A patch is 8 x 8 cells: one bit each of one 64-bit number, so a union of masks is a bitwise or.
+PATCH_SHIFT = 3
+PATCH = ["patch_x", "patch_y"]
 
-    The denominator comes from the bridge alone, so absent pixels count as invalid. A geometry
-    without any valid pixel in a period has no row; its share is 0.
-    """
-    area = bridge.groupBy("geom_id").agg(F.sum("weight").alias("area"))
-    covered = (
-        valid_cells.join(bridge.select("geom_id", *CELL, "weight"), CELL)
-        .groupBy("geom_id", "period_start")
-        .agg(F.sum("weight").alias("covered"))
-    )
-    return covered.join(area, "geom_id").select(
-        "geom_id", "period_start", (F.col("covered") / F.col("area")).alias("share")
-    )
 
+def with_patch(frame: DataFrame) -> DataFrame:
+    """Add the cell's patch and its bit there."""
+    inner = (1 << PATCH_SHIFT) - 1
+    low = [F.col(c).bitwiseAND(F.lit(inner)) for c in ("cell_x", "cell_y")]
+    place = (low[1] * (1 << PATCH_SHIFT) + low[0]).cast("int")
+    squares = {p: F.shiftright(c, PATCH_SHIFT) for p, c in zip(PATCH, CELL, strict=True)}
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+    return frame.withColumns({**squares, "bit": bit})
 
-def scene_dates(pixels: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Scenes that touch each geometry in each period, clear or not.
 
-    Pixels collapse to one row per geometry and scene before the shuffle. A period has at most
-    eight days, so the date list is bounded.
-    """
-    touched = (
-        pixels.join(bridge.filter(F.col("weight") > 0).select("geom_id", *CELL), CELL)
-        .select("geom_id", "period_start", "dd", "scene_id")
-        .distinct()
-    )
-    per_day = touched.groupBy("geom_id", "period_start", "dd").agg(
-        F.count(F.lit(1)).alias("products")
-    )
-    dates = F.sort_array(F.collect_set(F.col("dd").cast("string")))
-    return (
-        per_day.groupBy("geom_id", "period_start")
-        .agg(dates.alias("__dates"), F.sum("products").cast("int").alias("products_total"))
-        .select(
-            "geom_id",
-            "period_start",
-            F.size("__dates").alias("dates_total"),
-            F.array_join("__dates", ";").alias("dates"),
-            "products_total",
-        )
+def _or(condition: Column | None = None) -> Column:
+    bit = F.col("bit") if condition is None else F.when(condition, F.col("bit"))
+    return F.coalesce(F.bit_or(bit), F.lit(0).cast("bigint"))
+
+
+def _held(bits: Column, others: Column) -> Column:
+    return bits.bitwiseAND(others)
+
+
+def bridge_patches(bridge: DataFrame) -> DataFrame:
+    """Per geometry and patch: the cells by weight (`weight`, `bits`), and those that count at all."""
+    alike = with_patch(bridge).groupBy("geom_id", *PATCH, "weight").agg(_or().alias("bits"))
+    return alike.groupBy("geom_id", *PATCH).agg(
+        F.collect_list(F.struct("weight", "bits")).alias("cells"),
+        F.bit_or(F.when(F.col("weight") > 0, F.col("bits"))).alias("touch"),
     )
 
 
-def zone_summary(rows: DataFrame, valid: Column, bridge: DataFrame) -> DataFrame:
+def zone_summary(
+    rows: DataFrame, masks: list[Column], bridge: DataFrame, once: str | None = None
+) -> DataFrame:
     """Coverage and scene dates of each geometry and period from one pass over dated pixel keys.
 
-    `valid` is an aggregate over the rows of a period cell. A cell sees a scene or two a day and a
-    period has eight days, so a cell's scene list is bounded, and most cells of a geometry hold the
-    same list. Returns geom_id, period_start, share, dates_total, dates, products_total.
+    A cell is valid in a period if every mask holds for some pixel of it. Pixels become bits of
+    patches in the tasks that read them, so what is shuffled is a row per scene and patch; coverage
+    is a population count against the geometry's own bits, weight by weight. Absent pixels count as
+    invalid, as the area comes from the bridge alone. A patch sees a scene or two a day and a period
+    has eight days, so its scene list is bounded. With `once`, the name of the table, a scene that
+    holds a cell twice is an error. Returns geom_id, period_start, share, dates_total, dates,
+    products_total; a geometry that no pixel touches in a period has no row.
     """
-    per_cell = rows.groupBy("period_start", *CELL).agg(
-        valid.alias("valid"), F.collect_set(F.struct("dd", "scene_id")).alias("scenes")
+    names = [f"mask{k}" for k in range(len(masks))]
+    scene = with_patch(rows).groupBy("period_start", *PATCH, "dd", "scene_id")
+    seen = _or()
+    if once is not None:
+        pixels = F.count(F.lit(1))
+        where = [F.col(c).cast("string") for c in ("scene_id", *PATCH)]
+        message = F.concat_ws(
+            " ", F.lit(f"{once} holds"), pixels.cast("string"), F.lit("rows of"),
+            F.bit_count(seen).cast("string"), F.lit("cells in scene, patch_x, patch_y"), *where,
+        )
+        seen = F.when(pixels == F.bit_count(seen), seen).otherwise(F.raise_error(message))
+    per_scene = scene.agg(
+        seen.alias("seen"), *[_or(mask).alias(name) for mask, name in zip(masks, names, strict=True)]
+    )
+    per_patch = per_scene.groupBy("period_start", *PATCH).agg(
+        *[F.bit_or(name).alias(name) for name in names],
+        F.collect_list(F.struct("dd", "scene_id", "seen")).alias("scenes"),
     )
+    valid = reduce(_held, [F.col(name) for name in names])
+    per_patch = per_patch.select("period_start", *PATCH, valid.alias("valid"), "scenes")
+
+    def counted(total: Column, cells: Column) -> Column:
+        return total + cells["weight"] * F.bit_count(_held(F.col("valid"), cells["bits"]))
+
+    touched = F.filter("scenes", lambda s: _held(s["seen"], F.col("touch")) != 0)
     area = bridge.groupBy("geom_id").agg(F.sum("weight").alias("area"))
-    touched = F.when(F.col("weight") > 0, F.sort_array("scenes"))
     per_zone = (
-        per_cell.join(bridge.select("geom_id", *CELL, "weight"), CELL)
+        per_patch.join(bridge_patches(bridge), PATCH)
+        .select(
+            "geom_id",
+            "period_start",
+            F.aggregate("cells", F.lit(0.0), counted).alias("covered"),
+            F.transform(
+                touched, lambda s: F.struct(s["dd"].alias("dd"), s["scene_id"].alias("scene_id"))
+            ).alias("scenes"),
+        )
         .groupBy("geom_id", "period_start")
         .agg(
-            F.sum(F.when(F.col("valid"), F.col("weight"))).alias("covered"),
-            F.array_distinct(F.flatten(F.collect_set(touched))).alias("scenes"),
+            F.sum("covered").alias("covered"),
+            F.array_distinct(F.flatten(F.collect_list("scenes"))).alias("scenes"),
         )
+        .filter(F.size("scenes") > 0)
         .join(area, "geom_id")
     )
     days = F.array_sort(F.array_distinct(F.transform("scenes", lambda x: x["dd"].cast("string"))))

@@ -16,7 +16,6 @@ from terraloom.operators.observations import (
 )
 from terraloom.operators.optical import PERIOD_CELL, SCENE_CELL, clear_pixels, is_clear
 from terraloom.operators.periods import assign_period, composite_periods
-from terraloom.operators.radar import once_per_scene
 from terraloom.operators.resample import resample_bilinear, source_blocks
 from terraloom.operators.stations import observation_grid
 from terraloom.operators.storage import written
@@ -114,8 +113,7 @@ def optical_zones(
         .select(*SCENE_CELL, F.lit(True).alias("clear"))
     )
     flagged = rows.join(clear, SCENE_CELL, "left")
-    valid = F.max(F.col("present") & F.coalesce("clear", F.lit(False)))
-    return zone_summary(flagged, valid, footprints)
+    return zone_summary(flagged, [F.col("present") & F.coalesce("clear", F.lit(False))], footprints)
 
 
 def radar_zones(
@@ -123,8 +121,8 @@ def radar_zones(
 ) -> DataFrame:
     """Radar coverage and scene dates from one scan of the pixels, which also finds repeated ones."""
     rows = radar_rows(inputs, bounds, periods, config)
-    valid = F.max(F.col("vv").isNotNull()) & F.max(F.col("vh").isNotNull())
-    return zone_summary(rows, once_per_scene(valid), footprints)
+    masks = [F.col("vv").isNotNull(), F.col("vh").isNotNull()]
+    return zone_summary(rows, masks, footprints, once="sar_pixels")
 
 
 def availability(

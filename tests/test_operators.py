@@ -64,8 +64,8 @@ def test_mosaic_takes_the_last_scene(spark):
     rows = clear_rows(
         spark, [(0, 9, "a", 1, 1, 1), (0, 10, "a", 1, 2, 2), (0, 10, "b", 1, 3, 3), (1, 1, "a", 1, 4, 4)]
     )
-    found = optical.daily_mosaic(rows, ["b1", "b2"], ["cell_x", "cell_y", "dd"]).collect()
-    assert {r["dd"].day: r["b1"] for r in found} == {1: 3, 2: 4}
+    (row,) = optical.daily_stack(rows, ["b1", "b2"]).collect()
+    assert {day["slot"]: day["b1"] for day in row["days"]} == {0: 3, 1: 4}
 
 
 def test_medoid_tie_prefers_the_earlier_day(spark):
@@ -109,7 +109,6 @@ def test_radar_bands_have_their_own_masks(spark):
     assert (found[1]["VV_dB"], found[1]["VH_dB"], found[1]["VV_minus_VH_dB"]) == (-12.0, -21.0, 9.0)
     assert found[1]["Angle_deg"] == 32.0
     assert found[2]["VV_dB"] is None and found[2]["VV_minus_VH_dB"] is None
-    assert [r["cell_x"] for r in radar.radar_valid_cells(rows).collect()] == [1]
 
 
 def test_a_repeated_radar_pixel_is_an_error(spark):
@@ -149,25 +148,77 @@ def test_hot_groups_have_exact_medians(spark, size):
     }
 
 
+BRIDGE = "geom_id string, cell_x bigint, cell_y bigint, weight double"
+
+
 def test_coverage_counts_absent_pixels_and_reaches_the_threshold_exactly(spark):
     bridge = spark.createDataFrame(
-        [("g", 1, 0, 999.0), ("g", 2, 0, 1.0), ("h", 3, 0, 1.0), ("h", 4, 0, 0.5)],
-        "geom_id string, cell_x bigint, cell_y bigint, weight double",
+        [("g", 1, 0, 999.0), ("g", 2, 0, 1.0), ("h", 3, 0, 1.0), ("h", 4, 0, 0.5), ("none", 90, 90, 1.0)], BRIDGE
     )
-    valid = spark.createDataFrame([(START, 1, 0), (START, 3, 0)], "period_start date, cell_x bigint, cell_y bigint")
-    share = {r["geom_id"]: r["share"] for r in zonal.coverage(valid, bridge).collect()}
-    assert share["g"] == 0.999 and share["h"] == pytest.approx(2 / 3)
+    rows = clear_rows(spark, [(0, 0, "a", 1, 0, 0), (0, 0, "a", 3, 0, 0)])
+    found = zonal.zone_summary(rows, [F.lit(True)], bridge)
+    share = {r["geom_id"]: r["share"] for r in found.collect()}
+    assert share["g"] == 0.999 and share["h"] == pytest.approx(2 / 3) and "none" not in share
 
 
 def test_scene_dates_include_cloudy_and_repeat_days(spark):
-    bridge = spark.createDataFrame(
-        [("g", 1, 0, 1.0), ("g", 2, 0, 1.0)], "geom_id string, cell_x bigint, cell_y bigint, weight double"
-    )
+    bridge = spark.createDataFrame([("g", 1, 0, 1.0), ("g", 2, 0, 1.0), ("g", 3, 0, 0.0)], BRIDGE)
     rows = clear_rows(
-        spark, [(2, 0, "b", 1, 0, 0), (2, 0, "b", 2, 0, 0), (0, 0, "a", 1, 0, 0), (2, 5, "c", 1, 0, 0)]
+        spark,
+        [(2, 0, "b", 1, 0, 0), (2, 0, "b", 2, 0, 0), (0, 0, "a", 1, 0, 0), (2, 5, "c", 1, 0, 0), (3, 0, "d", 3, 0, 0)],
     )
-    row = zonal.scene_dates(rows, bridge).head()
+    row = zonal.zone_summary(rows, [F.lit(False)], bridge).head()
     assert (row["dates_total"], row["dates"], row["products_total"]) == (2, "2021-01-01;2021-01-03", 3)
+    assert row["share"] == 0.0
+
+
+def test_zone_summary_against_plain_sets(spark):
+    """Geometries over many patches, negative cells too, and masks held by different scenes."""
+    rng = random.Random(6)
+    cells = [(x, y) for x in range(-20, 15) for y in range(-12, 12)]
+    bridge = [
+        (g, x, y, rng.choice([1.0, 1.0, 0.25, 0.5])) for g in "abc" for x, y in rng.sample(cells, 200)
+    ]
+    pixels = []
+    for scene in range(7):
+        day = rng.randrange(16)
+        for x, y in rng.sample(cells, 300):
+            at = datetime(2021, 1, 1) + timedelta(days=day)
+            period = START + timedelta(days=8 * (day // 8))
+            values = [rng.choice([None, 1.0, 2.0]) for _ in range(2)]
+            pixels.append((period, at.date(), at, f"s{scene}", x, y, *values))
+    rows = spark.createDataFrame(pixels, PERIOD + ", vv double, vh double")
+    masks = [F.col("vv").isNotNull(), F.col("vh").isNotNull()]
+    found = zonal.zone_summary(rows, masks, spark.createDataFrame(bridge, BRIDGE), once="pixels")
+    expected = {}
+    for period in {p[0] for p in pixels}:
+        own = [p for p in pixels if p[0] == period]
+        held = [{p[4:6] for p in own if p[k] is not None} for k in (6, 7)]
+        for g in "abc":
+            weights = {(x, y): w for name, x, y, w in bridge if name == g}
+            scenes = {(p[1], p[3]) for p in own if p[4:6] in weights}
+            covered = sum(w for c, w in weights.items() if c in held[0] and c in held[1])
+            days = sorted({str(d) for d, _ in scenes})
+            expected[g, period] = (covered / sum(weights.values()), len(days), ";".join(days), len(scenes))
+    got = {(r["geom_id"], r["period_start"]): tuple(r)[2:] for r in found.collect()}
+    assert got == {k: (pytest.approx(v[0]), *v[1:]) for k, v in expected.items()}
+    twice = rows.unionByName(rows.limit(1))
+    with pytest.raises(Exception, match="pixels holds .* rows of .* cells"):
+        zonal.zone_summary(twice, masks, spark.createDataFrame(bridge, BRIDGE), once="pixels").collect()
+    assert zonal.zone_summary(twice, masks, spark.createDataFrame(bridge, BRIDGE)).count() == len(expected)
+
+
+def test_zone_summary_shuffles_bits_not_pixels(spark):
+    rows = spark.range(8000).selectExpr(
+        "date'2021-01-01' as period_start", "date'2021-01-02' as dd", "cast(id % 2 as string) as scene_id",
+        "id % 80 as cell_x", "(id div 160) as cell_y",
+    )
+    bridge = spark.createDataFrame([("g", 1, 0, 1.0)], BRIDGE)
+    physical = plan_text(zonal.zone_summary(rows, [F.lit(True)], bridge)).split("== Physical Plan ==")[-1]
+    assert "partial_bit_or" in physical and "Window" not in physical
+    for line in physical.splitlines():
+        if "Exchange hashpartitioning" in line:
+            assert "cell_x" not in line and "cell_y" not in line
 
 
 def test_zonal_statistics_match_numpy_and_survive_an_offset(spark):

@@ -391,9 +391,10 @@ def q_prepare_optical(spark, sf):
 
 @query
 def q_daily_mosaic(spark, sf):
-    return optical.daily_mosaic(
-        _clear(spark, sf), BANDS, ["period_start", "dd", "cell_x", "cell_y"]
-    )
+    stack = optical.daily_stack(_clear(spark, sf), BANDS)
+    days = stack.select(*optical.PERIOD_CELL, F.explode("days").alias("day"))
+    day = F.date_add("period_start", F.col("day.slot")).alias("dd")
+    return days.select("period_start", day, "cell_x", "cell_y", *[f"day.{b}" for b in BANDS])
 
 
 def _medoid(spark, sf):
@@ -494,28 +495,30 @@ def q_resolved_stats(spark, sf):
     return rounded(zonal.zonal_statistics(inside, bridge, ["value"]).drop("period_start"))
 
 
+def _zones(spark, sf, zones_of):
+    """Coverage and scene dates of the footprints as the availability plan computes them."""
+    ins, zones = standins.inputs(spark, sf), _footprints(spark, sf)
+    return zones_of(ins, bounds_of(zones), avail.periods_of(ins, CONFIG), zones, CONFIG)
+
+
 @query
 def q_optical_coverage(spark, sf):
-    cells = _clear(spark, sf).select(*optical.PERIOD_CELL).distinct()
-    return rounded(zonal.coverage(cells, _footprints(spark, sf)))
+    found = _zones(spark, sf, avail.optical_zones).filter("share > 0")
+    return rounded(found.select("geom_id", "period_start", "share"))
 
 
 @query
 def q_radar_coverage(spark, sf):
-    cells = radar.radar_valid_cells(_radar(spark, sf))
-    return rounded(zonal.coverage(cells, _footprints(spark, sf)))
+    found = _zones(spark, sf, avail.radar_zones).filter("share > 0")
+    return rounded(found.select("geom_id", "period_start", "share"))
 
 
 @query
 def q_scene_dates(spark, sf):
-    ins, zones = standins.inputs(spark, sf), _footprints(spark, sf)
-    bounds, found = bounds_of(zones), avail.periods_of(ins, CONFIG)
-    seen = avail.optical_rows(ins, bounds, found, CONFIG)
-    radar_seen = avail.radar_rows(ins, bounds, found, CONFIG)
-    return zonal.scene_dates(seen, zones).unionByName(
-        zonal.scene_dates(radar_seen, zones).withColumn(
-            "geom_id", F.concat(F.lit("radar-"), F.col("geom_id"))
-        )
+    names = ["geom_id", "period_start", "dates_total", "dates", "products_total"]
+    radar_seen = _zones(spark, sf, avail.radar_zones).select(*names)
+    return _zones(spark, sf, avail.optical_zones).select(*names).unionByName(
+        radar_seen.withColumn("geom_id", F.concat(F.lit("radar-"), F.col("geom_id")))
     )
 
 

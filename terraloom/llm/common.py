@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -59,6 +61,17 @@ def arrow_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
             yield batch.slice(start, size)
 
 
+def give_back_memory() -> None:
+    """Return freed memory to the system, so that a worker which goes on to another stage does not
+    hold what its last one needed.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions for a shuffle that the session's setting sizes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -79,18 +79,26 @@ def _postings(special: list[str]):
                         own = [piece] if piece in special else split.findall(piece)
                         found.extend(map(numbers.__getitem__, own))
                 ends.append(len(found))
-            place = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-            pairs, times = np.unique(
-                np.frombuffer(found, "<i4").astype(np.int64) * CHUNK_DOCS + place, return_counts=True
-            )
+            # In place: this is the largest array of the task.
+            pairs = np.array(found, np.int64)
+            del found
+            pairs *= CHUNK_DOCS
+            pairs += np.repeat(np.arange(len(ends), dtype=np.int16), np.diff(ends, prepend=0))
+            pairs.sort()
+            first_of = np.flatnonzero(np.diff(pairs, prepend=-1))
+            times = np.diff(first_of, append=len(pairs))
+            pairs = pairs[first_of]
             # Frequencies take one byte; larger ones several postings.
             copies = (times + 254) // 255
-            pairs, last = np.repeat(pairs, copies), np.cumsum(copies) - 1
-            bounded = np.full(len(pairs), 255, "<u1")
-            bounded[last] = times - 255 * (copies - 1)
-            token_of, places = pairs // CHUNK_DOCS, (pairs % CHUNK_DOCS).astype("<u2")
+            bounded = np.full(int(copies.sum()), 255, "<u1")
+            bounded[np.cumsum(copies) - 1] = times - 255 * (copies - 1)
+            pairs = np.repeat(pairs, copies)
+            del times, copies, first_of
+            places = (pairs % CHUNK_DOCS).astype("<u2")
+            pairs //= CHUNK_DOCS
             tokens = list(numbers)
-            starts = np.searchsorted(token_of, np.arange(len(tokens) + 1))
+            starts = np.searchsorted(pairs, np.arange(len(tokens) + 1))
+            del pairs
             for first in range(0, len(tokens), 20_000):
                 some = tokens[first : first + 20_000]
                 own = starts[first : first + len(some) + 1]
@@ -114,6 +122,8 @@ def _postings(special: list[str]):
                 [pa.array(v, k) for v, k in zip(own_row, kinds, strict=True)],
                 ["token", "chunk", "places", "times"],
             )
+            del numbers, tokens, places, bounded, starts, texts
+            common.give_back_memory()
 
     return run
 
@@ -196,6 +206,8 @@ def _summed(tokenizer_file: str, special: list[str]):
                 )
         if sums:
             yield out()
+        del tokenizer
+        common.give_back_memory()
 
     return run
 

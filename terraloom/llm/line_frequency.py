@@ -84,14 +84,15 @@ def _covered(places: Column) -> Column:
     return F.aggregate(added, F.lit(0).cast("long"), lambda total, x: total + x)
 
 
-def base(docs: DataFrame, host: str = "source") -> DataFrame:
+def base(docs: DataFrame, host: str = "source", row: str | None = None) -> DataFrame:
     """row_id, doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines.
 
-    `lines` holds hash and word count of each line with a word. Written once.
+    `lines` holds hash and word count of each line with a word. Written once. `row` names a column
+    that tells equal rows apart, where there is one.
     """
     text = common.text_of(docs)
     read = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        (F.monotonically_increasing_id() if row is None else docs[row]).alias("row_id"),
         docs["doc_id"].cast("long").alias("doc_id"),
         docs[host].cast("string").alias("host"),
         text.alias("text"),
@@ -145,8 +146,8 @@ def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     return counted.filter(F.col("n_docs") > max_docs).select("host", "hash")
 
 
-def removed_words(rows: DataFrame, frequent: DataFrame) -> DataFrame:
-    """row_id, n_removed: words in frequent lines, for rows that have any."""
+def _hits(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """row_id, hash, words: the lines of rows that are frequent in their host."""
     lines = rows.select(
         "row_id",
         "host",
@@ -159,7 +160,12 @@ def removed_words(rows: DataFrame, frequent: DataFrame) -> DataFrame:
         & (lines["hash"] == salted["hash"])
         & (lines["salt"] == salted["salt"])
     )
-    hit = lines.join(salted, same, "left_semi")
+    return lines.join(salted, same, "left_semi")
+
+
+def removed_words(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """row_id, n_removed: words in frequent lines, for rows that have any."""
+    hit = _hits(rows, frequent)
     return hit.groupBy("row_id").agg(F.sum("words").alias("n_removed"))
 
 
@@ -170,13 +176,17 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> Da
     rows are judged alike, as one document. An empty table gives no rows.
     """
     rows = base(docs, host)
-    removed = removed_words(rows, frequent_lines(rows, max_docs))
+    return _verdicts(rows, removed_words(rows, frequent_lines(rows, max_docs))).drop("row_id")
+
+
+def _verdicts(rows: DataFrame, removed: DataFrame) -> DataFrame:
     gone = F.coalesce(F.col("n_removed"), F.lit(0).cast("long"))
     failed = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
     )
     left = 100 * (F.col("n_words") - gone) >= LEAST_LEFT * F.col("n_words")
     return rows.join(removed, "row_id", "left").select(
+        "row_id",
         "doc_id",
         "n_words",
         "word_chars",
@@ -187,3 +197,32 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> Da
         (~failed & left).alias("kept"),
         gone.alias("n_removed_words"),
     )
+
+
+def cleaned(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
+    """The kept rows of `docs` without their frequent lines; all other columns stay as they are.
+
+    Lines without a word stay, as do the line feeds between the lines that are left. Rows of null or
+    empty text fail the base rules and go. Repeated rows are treated alike, columns may have any
+    name, and an empty table gives an empty one.
+    """
+    row, gone = (common.unused_name(docs, name) for name in ("__row_id", "__gone"))
+    numbered = written(docs.select("*", F.monotonically_increasing_id().alias(row)), "line-rows")
+    rows = base(numbered, host, row)
+    hits = written(_hits(rows, frequent_lines(rows, max_docs)), "line-hits")
+    removed = hits.groupBy("row_id").agg(F.sum("words").alias("n_removed"))
+    kept = _verdicts(rows, removed).filter("kept").select(F.col("row_id").alias(row))
+    listed = hits.groupBy(F.col("row_id").alias(row)).agg(F.collect_set("hash").alias(gone))
+    text = numbered["text"]
+
+    def stays(line: Column) -> Column:
+        return ~(line.rlike(common.WORD) & F.array_contains(gone, _line(line)["hash"]))
+
+    left = F.array_join(F.filter(F.split(text, "\n", -1), stays), "\n")
+    joined = numbered.join(kept, row, "left_semi").join(listed, row, "left")
+    return joined.select(
+        *[
+            F.when(F.col(gone).isNull(), text).otherwise(left).alias(c) if c == "text" else numbered[c]
+            for c in docs.columns
+        ]
+    )

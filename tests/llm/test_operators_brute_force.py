@@ -112,6 +112,40 @@ def judged(rows, max_docs):
     return sorted(out, key=str)
 
 
+def test_cleaned_documents_lose_their_frequent_lines(docs, no_docs, spark):
+    def normal(line):
+        return " ".join(python_words(line)).lower()
+
+    draw = random.Random(8)
+    shared = ["Subscribe  to our LETTER", "all rights reserved é", "cookie notice here"]
+    rows = []
+    for i in range(40):
+        own = [" ".join(f"w{i}x{draw.randrange(10**6)}" for _ in range(25)) for _ in range(3)]
+        lines = own[:2] + draw.sample(shared, draw.randint(0, 2)) + ["", "  "] + own[2:]
+        rows.append((draw.choice([i, i, None]), "\n".join(lines), draw.choice(["h", None]), f"mine{i}"))
+    rows += [(90, "\n".join(shared * 9), "h", "depleted"), (91, None, "h", "none"), (92, "", "h", "empty")]
+    rows.append(rows[0])
+    frame = spark.createDataFrame(rows, TEXTS + ", __row_id string")
+    held = defaultdict(set)
+    for place, (doc_id, text, host, _) in enumerate(rows):
+        for line in (text or "").split("\n"):
+            held[host, normal(line)].add(("row", place) if doc_id is None else doc_id)
+    expected = []
+    kept = Counter(v[0] for v in judged([r[:3] for r in rows], 3) if v[7])
+    for doc_id, text, host, mine in rows:
+        lines = (text or "").split("\n")
+        left = [x for x in lines if not (normal(x) and len(held[host, normal(x)]) > 3)]
+        words, gone = len(python_words(text)), sum(len(python_words(x)) for x in lines if x not in left)
+        if words >= 50 and 100 * (words - gone) >= 50 * words:
+            expected.append((doc_id, "\n".join(left), host, mine))
+    found = line_frequency.cleaned(frame, max_docs=3)
+    assert found.columns == frame.columns
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+    assert Counter(r[0] for r in expected) == kept
+    assert any("letter" not in r[1].lower() for r in expected) and len(expected) < len(rows)
+    assert line_frequency.cleaned(no_docs).count() == 0 and line_frequency.cleaned(docs).columns == docs.columns
+
+
 def test_line_frequency_equals_loops(docs, no_docs, spark):
     found = line_frequency.judge(docs, max_docs=1).collect()
     assert sorted(map(tuple, found), key=str) == judged([(r[0], r[1], r[3]) for r in ROWS], 1)

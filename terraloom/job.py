@@ -2,10 +2,11 @@
 
 usage: spark-submit terraloom/job.py INPUT_DIR OUTPUT_DIR [--config FILE] [--start DAY] [--end DAY]
        [--format parquet] [--stations-per-batch N] [--failures-allowed N] [--compact]
+       [--table INPUT=TABLE ...]
 
 INPUT_DIR holds stations, grids, et_pixels, optical_pixels, cloud_pixels, sar_scenes, sar_pixels,
 met_hourly and rain_daily in the schemas of `terraloom.schemas`; pixel tables may be stored by month
-and tile (`sources.layout`). OUTPUT_DIR gets the partitions and their ledger, resolved geometries, and
+and tile or in buckets (`sources.layout`), the latter named by --table. OUTPUT_DIR gets the partitions and their ledger, resolved geometries, and
 the export under the configured name. FILE is a JSON object of `AnalysisConfig` fields. Pending work
 is done in batches, each recorded as it ends; a repeated run does only what is pending.
 """
@@ -35,12 +36,20 @@ from terraloom.sources.grids import Grid
 from terraloom.sources.scans import read_table, scan_stations, select_radar_scenes
 
 
-def read_inputs(spark: SparkSession, folder: str, fmt: str = "parquet") -> Inputs:
-    names = {name: name.upper() for name in Inputs.__dataclass_fields__}
+def read_inputs(
+    spark: SparkSession, folder: str, fmt: str = "parquet", tables: dict[str, str] | None = None
+) -> Inputs:
+    """Input tables from `folder`, or from the catalog where `tables` names one for an input."""
+    tables = tables or {}
+    unknown = sorted(set(tables) - set(Inputs.__dataclass_fields__))
+    if unknown:
+        raise ValueError(f"unknown inputs: {', '.join(unknown)}")
     return Inputs(
         **{
-            name: read_table(spark, f"{folder}/{name}", getattr(schemas, schema), fmt)
-            for name, schema in names.items()
+            name: spark.table(tables[name])
+            if name in tables
+            else read_table(spark, f"{folder}/{name}", getattr(schemas, name.upper()), fmt)
+            for name in Inputs.__dataclass_fields__
         }
     )
 
@@ -70,6 +79,7 @@ def run(
     fmt: str = "parquet",
     stations_per_batch: int = 500,
     failures_allowed: int = 0,
+    tables: dict[str, str] | None = None,
 ) -> dict[str, int]:
     """Do the pending partitions batch by batch, export all of them, return the checked counts.
 
@@ -84,7 +94,7 @@ def run(
         pending = written(sinks.pending_partitions(spark, every, root), "pending")
         if not pending.isEmpty():
             grids = read_table(spark, f"{source}/grids", schemas.GRIDS, fmt)
-            inputs = read_inputs(spark, source, fmt)
+            inputs = read_inputs(spark, source, fmt, tables)
             check_inputs(stations, inputs, config)
             store = GeometryStore(spark, f"{target}/geometries")
             places = resolve_places(stations, grids, inputs, config, store)
@@ -127,6 +137,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--stations-per-batch", type=int, default=500)
     parser.add_argument("--failures-allowed", type=int, default=0)
     parser.add_argument("--compact", action="store_true")
+    parser.add_argument("--table", action="append", default=[], metavar="INPUT=TABLE")
     chosen = parser.parse_args(arguments)
     text = chosen.config.read_text() if chosen.config else "{}"
     config = read_config(text, start=chosen.start, end=chosen.end)
@@ -134,6 +145,7 @@ def main(arguments: list[str] | None = None) -> None:
     counts = run(
         spark, chosen.source, chosen.target, config, chosen.format,
         chosen.stations_per_batch, chosen.failures_allowed,
+        dict(pair.split("=", 1) for pair in chosen.table),
     )
     if chosen.compact:
         sinks.compact(spark, f"{chosen.target}/partitions")

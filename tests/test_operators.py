@@ -352,6 +352,39 @@ def test_stored_pixels_are_pruned_by_month_and_tile(spark, tmp_path):
     assert "month" in filters and "202101" in filters and "202102" in filters and "tile_x" in filters
 
 
+def test_bucketed_scenes_join_without_a_shuffle(spark):
+    cells = spark.range(400).select(
+        F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("scene_id"),
+        F.expr("cast(date_add(date'2021-01-01', cast(id % 4 as int) * 20) as timestamp_ntz)").alias("ts"),
+        F.lit("T").alias("mgrs_tile"), (F.col("id") % 20).alias("cell_x"), (F.col("id") % 7).alias("cell_y"),
+        F.lit(1).alias("b1"), F.when(F.col("id") % 3 > 0, 2).alias("b2"), F.rand(3).alias("cs_cdf"),
+    ).dropDuplicates(["scene_id", "cell_x", "cell_y"])
+    cells = spark.createDataFrame(cells.collect(), cells.schema)
+    pixels, cloud = cells.drop("cs_cdf"), cells.select("scene_id", "ts", "cell_x", "cell_y", "cs_cdf")
+    names = [f"bucketed_{kind}_{random.randrange(10**9)}" for kind in ("optical", "cloud")]
+    for frame, name in zip((pixels, cloud), names, strict=True):
+        layout.save_bucketed(frame, name, 4)
+    config = AnalysisConfig(start=date(2021, 1, 1), end=date(2021, 2, 1))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def clear(optical_pixels, cloud_pixels):
+            return optical.clear_pixels(
+                scans.scan_optical(optical_pixels, config, ["b1", "b2"]),
+                scans.scan_cloud(cloud_pixels, config).drop("ts"), ["b1", "b2"], 0.5,
+            )
+
+        stored = clear(*map(spark.table, names))
+        physical = plan_text(stored).split("== Physical Plan ==")[-1]
+        assert "SortMergeJoin" in physical and "Exchange" not in physical
+        assert "Exchange" in plan_text(clear(pixels, cloud))
+        assert sorted(map(str, stored.collect())) == sorted(map(str, clear(pixels, cloud).collect())) != []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for name in names:
+            spark.sql(f"drop table {name}")
+
+
 def test_period_join_is_a_hash_join(spark):
     scenes = spark.createDataFrame(
         [("in", datetime(2021, 1, 8, 23)), ("next", datetime(2021, 1, 9)), ("out", datetime(2022, 6, 1))],

@@ -506,6 +506,18 @@ def test_geometries_of_a_run_that_died_are_not_read(spark, tmp_path, monkeypatch
     )
 
 
+def test_inputs_from_the_catalog(spark, resolved, tmp_path):
+    inputs, _, _, _ = resolved
+    for name, frame in inputs.__dict__.items():
+        if name != "rain_daily":
+            frame.limit(1).write.parquet(str(tmp_path / name))
+    inputs.rain_daily.createOrReplaceTempView("rain_of_the_test")
+    found = job.read_inputs(spark, str(tmp_path), tables={"rain_daily": "rain_of_the_test"})
+    assert found.rain_daily.count() == inputs.rain_daily.count() and found.met_hourly.count() == 1
+    with pytest.raises(ValueError, match="unknown inputs: rain"):
+        job.read_inputs(spark, str(tmp_path), tables={"rain": "x"})
+
+
 def test_run_parameters_from_json():
     text = """{"start": "2021-01-01", "radar_orbit": 5, "optical_coverage": 0.9,
         "optical_grid": {"grid_id": "o", "kind": "utm18n", "origin_x": 0, "origin_y": 0,

@@ -100,6 +100,9 @@ def kept_terms(texts: DataFrame) -> DataFrame:
                     found.clear()
                     held = 0
         yield from sent()
+        numbers.clear()
+        found.clear()
+        common.give_back_memory()
 
     partial = texts.select("lang", "text").mapInArrow(run, "lang string, term binary, docs long")
     summed = partial.groupBy("lang", "term").agg(
@@ -248,6 +251,8 @@ def _stream(texts: DataFrame, directory: Directory) -> DataFrame:
                     chunks.clear()
                     held = 0
         yield from sent()
+        chunks.clear()
+        common.give_back_memory()
 
     return texts.select("lang", "source", "text").mapInArrow(
         run,

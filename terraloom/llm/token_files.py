@@ -38,6 +38,8 @@ _MANIFEST = "part int, name string, n_docs long, n_tokens long, low long"
 #: Words of one call to the library.
 JOINED = 64
 _LETTERS = re.compile(rb"[a-z]+")
+#: Cases, runs of white space, accents, digits and signs: what tokenizers of other kinds treat otherwise.
+_PROBE = "Hello World  again\n\tÉTÉ été's 12,345 (a-b) <x> aB\u3000c  "
 
 
 class WordIds:
@@ -57,6 +59,9 @@ class WordIds:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        whole = self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
+        if self.encode(_PROBE) != np.array(whole, "<u4").tobytes():
+            raise ValueError(f"{tokenizer_file} is no tokenizer of words in lower case: {_PROBE!r} differs")
 
     def encode(self, text: str) -> bytes:
         raw = text.encode()

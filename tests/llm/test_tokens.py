@@ -158,6 +158,11 @@ def test_word_ids_equal_the_library(text):
     assert np.frombuffer(ids.encode(text), "<u4").tolist() == expected
 
 
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="no tokenizer of words"):
+        token_files.WordIds(BYTES)
+
+
 def test_word_ids_forget_in_generations(monkeypatch):
     monkeypatch.setattr(token_files, "KEPT_WORDS", 3)
     ids = token_files.WordIds(WORDS)

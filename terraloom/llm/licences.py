@@ -133,6 +133,8 @@ def document_frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
 
 #: Cosines that differ by less are equal.
 EQUAL = 1e-9
+#: Starts that share a bound, and words whose products are held at once.
+BLOCK, WORDS = 32, 8192
 
 
 class Matcher:
@@ -149,16 +151,17 @@ class Matcher:
                 for word in vector:
                     self.holding.setdefault(word, []).append(len(self.templates))
                 self.templates.append((name, vector, norm))
-        #: By word: its weight times that in each template, over the template's norm.
-        self.shares = {w: np.zeros(len(self.templates)) for w in self.holding}
+        #: Rows by word, the last one for all words outside the templates: the word's weight times that
+        #: in each template over the template's norm, and its part of each template's squared norm.
+        self.places = {word: place for place, word in enumerate(self.weight)}
+        self.weights = np.array(list(self.weight.values()))
+        self.share_rows = np.zeros((len(self.places) + 1, len(self.templates)))
+        self.part_rows = np.zeros_like(self.share_rows)
         for place, (_, vector, norm) in enumerate(self.templates):
             for word, weight in vector.items():
-                self.shares[word][place] = self.weight[word] * weight / norm
-        #: By word: its part of each template's squared norm.
-        self.parts = {w: np.zeros(len(self.templates)) for w in self.holding}
-        for place, (_, vector, norm) in enumerate(self.templates):
-            for word, weight in vector.items():
-                self.parts[word][place] = (weight / norm) ** 2
+                row = self.places[word]
+                self.share_rows[row, place] = self.weight[word] * weight / norm
+                self.part_rows[row, place] = (weight / norm) ** 2
 
     @staticmethod
     def _idf(found: int, files: int) -> float:
@@ -198,83 +201,156 @@ class Matcher:
         By Cauchy and Schwarz a cosine is at most the root of the part of the template's squared
         norm that belongs to words which both hold.
         """
-        part = np.zeros(len(self.templates))
-        for word in self.parts.keys() & set(tokens(text)):
-            part += self.parts[word]
+        held = [self.places[word] for word in self.places.keys() & set(tokens(text))]
+        part = self.part_rows[held].sum(axis=0)
         return bool(part.max() >= (NEAR - EQUAL) ** 2)
 
     def nearest(self, text: str) -> tuple[str, float] | None:
         """Name and cosine of the run of lines that is nearest to a template.
 
         Among equals the run that starts first counts, then the shortest, then the first template.
-        The product with a template only grows with a run, and so does the run's norm. What the rest
-        of the file gives over the norm so far therefore bounds all longer runs. Nor is a cosine above
-        the root of that part of the template's squared norm whose words the run holds.
+        Bounds leave out runs that cannot be it. The product with a template only grows with a run,
+        and so does the run's norm: the product of the longest run of a block of starts over the norm
+        of its shortest one bounds them all, for every end. Nor is a cosine above the root of that
+        part of the template's squared norm whose words the rest of the file holds.
         """
-        lines = [found for found in map(tokens, text.split("\n")) if found]
-        if not lines:
+        file = _File(self, text)
+        if not len(file.ends):
             return None
         whole = self(text)
         limit = whole[1] if whole else NEAR
-        rest, held = self._rest(lines)
-        best = None
-        for start in range(len(lines)):
-            possible = np.sqrt(held[start]) >= limit - EQUAL
+        best: tuple[str, float] | None = None
+        least = limit - EQUAL  # what a cosine must exceed
+        for block, first in enumerate(range(0, len(file.ends), BLOCK)):
+            starts = range(first, min(first + BLOCK, len(file.ends)))
+            possible = np.sqrt(file.held[block]) >= least
             if not possible.any():
-                break
-            most = float(rest[start][possible].max())
-            run = _Run(self)
-            for end in range(start, len(lines)):
-                run.add(lines[end])
-                if most < (limit - EQUAL) * run.norm:
-                    break
-                cosine = float(run.product.max()) / run.norm
-                if cosine >= NEAR and cosine > (best[1] + EQUAL if best else limit - EQUAL):
-                    place = int(np.argmax(run.product >= run.product.max() - 1e-12 * run.norm))
-                    best = (self.templates[place][0], cosine)
-                    limit = max(limit, cosine)
+                break  # less is held from line to line
+            most = float(file.rest[block][possible].max())
+            last = file.last_end(starts, most, least)
+            for start in starts:
+                found = file.best_end(start, last, most, least)
+                file.advance(start, start + 1)
+                if found is None:
+                    continue
+                place, cosine = found
+                best, least = (self.templates[place][0], cosine), cosine + EQUAL
+                if cosine >= 1 - EQUAL:
+                    return best
         return best
 
-    def _rest(self, lines: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """From each line to the end: products with the templates, and the parts of them held."""
-        run = _Run(self)
-        part = np.zeros(len(self.templates))
-        products, held = [], []
-        for line in reversed(lines):
-            for word in set(line).difference(run.times):
-                if word in self.parts:
-                    part += self.parts[word]
-            run.add(line)
-            products.append(run.product.copy())
-            held.append(part.copy())
-        return products[::-1], held[::-1]
-
-
-class _Run:
-    """Products and norm of lines that are added one by one."""
-
-    def __init__(self, matcher: Matcher) -> None:
-        self.matcher = matcher
-        self.times: Counter = Counter()
-        self.product = np.zeros(len(matcher.templates))
-        self.square = 0.0
-
-    def add(self, line: list[str]) -> None:
-        weights, shares, times = self.matcher.weight, self.matcher.shares, self.times
-        for word in line:
-            n = times[word]
-            times[word] = n + 1
-            weight = weights.get(word)
-            if weight is None:
-                self.square += (2 * n + 1) * self.matcher.other**2
-                continue
-            old, new = 1 + math.log(n) if n else 0.0, 1 + math.log(n + 1)
-            self.square += (new * new - old * old) * weight * weight
-            self.product += (new - old) * shares[word]
-
-    @property
-    def norm(self) -> float:
-        return math.sqrt(self.square)
+
+class _File:
+    """A file's words by number, with what each block of starts has before it."""
+
+    def __init__(self, matcher: Matcher, text: str) -> None:
+        lines = [found for found in map(tokens, text.split("\n")) if found]
+        numbers = dict(matcher.places)
+        words = [numbers.setdefault(word, len(numbers)) for line in lines for word in line]
+        self.words = np.array(words, np.int64)
+        self.ends = np.cumsum([len(line) for line in lines], dtype=np.int64)
+        self.starts = self.ends - np.diff(self.ends, prepend=0)
+        #: Which time it is, in the file, that a word stands here; and how often it stood before.
+        total = np.bincount(self.words, minlength=len(numbers))
+        order = np.argsort(self.words, kind="stable")
+        firsts = np.cumsum(total) - total
+        self.turn = np.empty(len(words), np.int64)
+        self.turn[order] = np.arange(len(words)) - firsts[self.words[order]]
+        self.before = np.zeros(len(numbers), np.int64)
+        known = len(matcher.places)
+        self.listed = np.minimum(self.words, known)  # all other words share a row of zeros
+        self.square_of = np.append(matcher.weights**2, matcher.other**2)
+        self.shares = matcher.share_rows
+        self.other = known
+        #: 1 + log n, and 0 for none.
+        self.log = np.zeros(int(total.max(initial=0)) + 2)
+        self.log[1:] = 1 + np.log(np.arange(1, len(self.log)))
+        self._look_ahead(total, matcher.part_rows)
+
+    def _look_ahead(self, total: np.ndarray, parts: np.ndarray) -> None:
+        """From each block of starts to the end: products with the templates, parts of them held."""
+        edges = self.starts[::BLOCK]
+        shape = (len(edges), self.shares.shape[1])
+        self.rest, self.held = np.zeros(shape), np.zeros(shape)
+        product, held = np.zeros(shape[1]), np.zeros(shape[1])
+        high = len(self.words)
+        for block in range(len(edges) - 1, -1, -1):
+            for low in range(int(edges[block]), high, WORDS):
+                some = slice(low, min(low + WORDS, high))
+                after = total[self.words[some]] - 1 - self.turn[some]
+                rows = self.listed[some]
+                product += (self.log[after + 1] - self.log[after]) @ self.shares[rows]
+                held += parts[rows[after == 0]].sum(axis=0)
+            high = int(edges[block])
+            self.rest[block], self.held[block] = product, held
+
+    def advance(self, start: int, end: int, times: int = 1) -> None:
+        """Lines from start to end no longer belong to the runs."""
+        np.add.at(self.before, self.words[self.starts[start] : self.ends[end - 1]], times)
+
+    def runs(self, start: int):
+        """Line numbers, products and norms of the runs from a line, some ends at a time."""
+        low, step = int(self.starts[start]), 256
+        line = start
+        product, square = np.zeros(self.shares.shape[1]), 0.0
+        while low < len(self.words):
+            high = min(low + step, len(self.words))
+            rows, words = self.listed[low:high], self.words[low:high]
+            times = self.turn[low:high] - self.before[words]
+            old, new = self.log[times], self.log[times + 1]
+            other = rows == self.other
+            grown = np.where(other, 2.0 * times + 1, new * new - old * old) * self.square_of[rows]
+            squares = square + np.cumsum(grown)
+            # Products are wanted at the ends of lines: sums by line, then over lines.
+            past = int(np.searchsorted(self.ends, high, "right"))
+            stops = self.ends[line:past] - low
+            cuts = np.concatenate([[0], stops[stops < high - low]])
+            sums = np.add.reduceat((new - old)[:, None] * self.shares[rows], cuts, axis=0)
+            products = product + np.cumsum(sums, axis=0)
+            if len(stops):
+                yield np.arange(line, past), products[: len(stops)], np.sqrt(squares[stops - 1])
+            product, square = products[-1], float(squares[-1])
+            line, low, step = past, high, min(2 * step, WORDS)
+
+    def last_end(self, starts: range, most: float, least: float) -> int:
+        """The last line that a run from one of the starts may have to end with."""
+        final = last = starts[-1]
+        # The norms of the shortest runs, for which more lines are before the run; then back again.
+        if len(starts) > 1:
+            self.advance(starts[0], final)
+        norms = []
+        for _, _, some in self.runs(final):
+            norms.append(some)
+            if most < least * some[-1]:
+                break
+        if len(starts) > 1:
+            self.advance(starts[0], final, -1)
+        shortest = np.concatenate(norms)
+        for lines, some, _ in self.runs(starts[0]):
+            inside = (lines >= final) & (lines < final + len(shortest))
+            bounds = some[inside].max(axis=1, initial=0.0)
+            near = np.flatnonzero(bounds >= least * shortest[lines[inside] - final])
+            if len(near):
+                last = int(lines[inside][near[-1]])
+            if lines[-1] >= final + len(shortest) - 1:
+                break
+        return last
+
+    def best_end(self, start: int, last: int, most: float, least: float) -> tuple[int, float] | None:
+        """Template and cosine of the nearest run from a line to one up to the last."""
+        found = None
+        for lines, products, norms in self.runs(start):
+            cosines = products.max(axis=1) / norms
+            cosines[lines > last] = 0.0
+            top = float(cosines.max())
+            if top >= NEAR and top > least:
+                at = int(np.argmax(cosines >= top - EQUAL))
+                row, norm = products[at], norms[at]
+                place = int(np.argmax(row >= row.max() - 1e-12 * norm))
+                found, least = (place, float(cosines[at])), float(cosines[at]) + EQUAL
+            if lines[-1] >= last or most < least * norms[-1]:
+                break
+        return found
 
 
 def _statements(frequencies: dict[str, int], files: int):

@@ -27,8 +27,8 @@ from terraloom.llm import common
 CHUNK_DOCS = 4096
 #: Characters of a chunk, after which it ends.
 CHUNK_CHARS = 12 << 20
-#: Sums held by a task before they are passed on, and looked at together.
-HELD_SUMS = 2 << 20
+#: Counted postings that a task holds before it sums them by document and passes the sums on.
+HELD = 1 << 20
 
 #: The split of byte-level BPE before merges: fixed values of the vocabulary's format.
 SPLIT = (
@@ -67,7 +67,7 @@ def _postings(special: list[str]):
         apart = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         part = TaskContext.get().partitionId()
         for number, (ids, texts) in enumerate(_chunks(batches)):
-            chunk = (part << 32) + number
+            chunk = (part << 24) + number
             numbers: defaultdict = defaultdict()
             numbers.default_factory = numbers.__len__
             found, ends = array("i"), []
@@ -135,10 +135,24 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, bytes]:
     return np.diff(ends), memoryview(column.buffers()[2] or b"")[ends[0] : ends[-1]]
 
 
-def _sparse(total: np.ndarray) -> bytes:
-    """The places that hold a sum, and the sums: never more of them than there were postings."""
-    places = np.flatnonzero(total)
-    return places.astype("<u2").tobytes() + total[places].astype("<u4").tobytes()
+def _sums(keys: np.ndarray, added: np.ndarray) -> pa.RecordBatch:
+    """By chunk: the places that hold a sum, and the sums. A key is a chunk and a place in it."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first_of = np.flatnonzero(np.diff(keys, prepend=-1))
+    totals = np.add.reduceat(added[order], first_of).astype("<u4")
+    keys = keys[first_of]
+    places, chunks = (keys % CHUNK_DOCS).astype("<u2"), keys // CHUNK_DOCS
+    cuts = np.append(np.flatnonzero(np.diff(chunks, prepend=-1)), len(chunks)).tolist()
+    rows = [places[a:b].tobytes() + totals[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pa.record_batch(
+        [
+            pa.array(chunks[cuts[:-1]], pa.int64()),
+            pa.array([False] * len(rows), pa.bool_()),
+            pa.array(rows, pa.binary()),
+        ],
+        ["chunk", "is_list", "row"],
+    )
 
 
 def _summed(tokenizer_file: str, special: list[str]):
@@ -148,22 +162,8 @@ def _summed(tokenizer_file: str, special: list[str]):
         tokenizer = Tokenizer.from_file(tokenizer_file)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        sums: dict[int, np.ndarray] = {}
+        keys, added, held = [], [], 0
         last, pieces = None, 0
-
-        def out() -> pa.RecordBatch:
-            rows = [_sparse(v) for v in sums.values()]
-            batch = pa.record_batch(
-                [
-                    pa.array(list(sums), pa.int64()),
-                    pa.array([False] * len(rows), pa.bool_()),
-                    pa.array(rows, pa.binary()),
-                ],
-                ["chunk", "is_list", "row"],
-            )
-            sums.clear()
-            return batch
-
         for batch in common.arrow_rows(batches, 10_000):
             listed = np.array([t == "" for t in batch.column(0).to_pylist()], bool)
             own = batch.filter(pa.array(listed))
@@ -179,22 +179,23 @@ def _summed(tokenizer_file: str, special: list[str]):
                 # The join: each posting meets the count of its pre-token; sums go by place.
                 sizes, flat = _bytes_of(batch.column(2))
                 _, frequencies = _bytes_of(batch.column(3))
-                met = np.array([pieces_of[t] for t in tokens], "<i8").repeat(sizes // 2)
-                chunks, which = np.unique(np.asarray(batch.column(1)), return_inverse=True)
-                at = which.repeat(sizes // 2) * CHUNK_DOCS + np.frombuffer(flat, "<u2")
-                added = met * np.frombuffer(frequencies, "<u1")
-                # A common pre-token's rows may come from as many chunks: so many at a time.
-                together = HELD_SUMS // CHUNK_DOCS
-                for first in range(0, len(chunks), together):
-                    low, some = first * CHUNK_DOCS, chunks[first : first + together].tolist()
-                    own = (at >= low) & (at < low + len(some) * CHUNK_DOCS)
-                    total = np.bincount(at[own] - low, added[own], len(some) * CHUNK_DOCS)
-                    parts = total.astype("<i8").reshape(-1, CHUNK_DOCS)
-                    for chunk, part in zip(some, parts, strict=True):
-                        held = sums.get(chunk)
-                        sums[chunk] = part.copy() if held is None else held + part
-                    if len(sums) * CHUNK_DOCS > HELD_SUMS:
-                        yield out()
+                sizes //= 2
+                ends = np.cumsum(sizes)
+                counted = np.array([pieces_of[t] for t in tokens], "<i8")
+                chunks = np.asarray(batch.column(1)) * CHUNK_DOCS
+            first = 0
+            while first < len(tokens):
+                # Common pre-tokens have thousands of postings a row: so many rows as there is room for.
+                start = int(ends[first - 1]) if first else 0
+                past = max(first + 1, int(np.searchsorted(ends, start + HELD - held, "right")))
+                rows, own = slice(first, past), slice(start, int(ends[past - 1]))
+                keys.append(chunks[rows].repeat(sizes[rows]) + np.frombuffer(flat, "<u2")[own])
+                added.append(counted[rows].repeat(sizes[rows]) * np.frombuffer(frequencies, "<u1")[own])
+                held += len(keys[-1])
+                first = past
+                if held >= HELD or first < len(tokens):
+                    yield _sums(np.concatenate(keys), np.concatenate(added))
+                    keys, added, held = [], [], 0
             if lists:
                 yield pa.record_batch(
                     [
@@ -204,9 +205,9 @@ def _summed(tokenizer_file: str, special: list[str]):
                     ],
                     ["chunk", "is_list", "row"],
                 )
-        if sums:
-            yield out()
-        del tokenizer
+        if held:
+            yield _sums(np.concatenate(keys), np.concatenate(added))
+        del tokenizer, keys, added
         common.give_back_memory()
 
     return run

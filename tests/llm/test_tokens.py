@@ -103,7 +103,9 @@ def test_token_counts_equal_the_library(docs, no_docs, monkeypatch):
     assert token_counts.count_tokens(no_docs, BYTES, ["<|endoftext|>"]).count() == 0
 
 
-def test_token_counts_over_chunks_and_high_frequencies(spark, monkeypatch):
+@pytest.mark.parametrize("held", [1, 50, 1 << 20])
+def test_token_counts_over_chunks_and_high_frequencies(spark, monkeypatch, held):
+    monkeypatch.setattr(token_counts, "HELD", held)
     tokenizer = Tokenizer.from_file(BYTES)
     texts = ["a " * n + f"tail{n}" for n in (1, 254, 255, 256, 511, 3000)] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)

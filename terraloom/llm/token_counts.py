@@ -26,9 +26,9 @@ from terraloom.llm import common
 #: Documents of a chunk; bounds what a task holds.
 CHUNK_DOCS = 4096
 #: Characters of a chunk, after which it ends.
-CHUNK_CHARS = 12 << 20
+CHUNK_CHARS = 9 << 20
 #: Counted postings that a task holds before it sums them by document and passes the sums on.
-HELD = 1 << 20
+HELD = 2 << 20
 
 #: The split of byte-level BPE before merges: fixed values of the vocabulary's format.
 SPLIT = (
@@ -85,7 +85,9 @@ def _postings(special: list[str]):
             pairs *= CHUNK_DOCS
             pairs += np.repeat(np.arange(len(ends), dtype=np.int16), np.diff(ends, prepend=0))
             pairs.sort()
-            first_of = np.flatnonzero(np.diff(pairs, prepend=-1))
+            new = np.ones(len(pairs), bool)
+            np.not_equal(pairs[1:], pairs[:-1], out=new[1:])
+            first_of = np.flatnonzero(new)
             times = np.diff(first_of, append=len(pairs))
             pairs = pairs[first_of]
             # Frequencies take one byte; larger ones several postings.

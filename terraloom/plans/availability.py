@@ -144,11 +144,13 @@ def availability(
     own = places.sites.select("cell_x", "cell_y").distinct()
     et = scan_et(inputs.et_pixels, config).join(own, ["cell_x", "cell_y"], "left_semi")
     et = single(et, ["period_start", "cell_x", "cell_y"], "et_pixels")
-    observed = et_at_sites(observation_grid(places.sites, periods), et)
+    # The grid's rows are sites times periods, of which a size estimate sees the sites alone: without
+    # the hints it may be taken for a short list and broadcast through the driver.
+    observed = et_at_sites(observation_grid(places.sites, periods).hint("merge"), et).hint("merge")
     names = ("share", "dates_total", "dates", "products_total")
-    joined = observed.join(
-        optical.withColumnsRenamed({c: f"s2_{c}" for c in names}).drop("s2_products_total"), zone, "left"
-    ).join(radar.withColumnsRenamed({c: f"s1_{c}" for c in names}), zone, "left")
+    seen = optical.withColumnsRenamed({c: f"s2_{c}" for c in names}).drop("s2_products_total")
+    joined = observed.join(seen, zone, "left").hint("merge")
+    joined = joined.join(radar.withColumnsRenamed({c: f"s1_{c}" for c in names}), zone, "left")
     filled = joined.withColumns(
         {
             **{c: or_zero(F.col(c), 0.0) for c in ("s2_share", "s1_share")},

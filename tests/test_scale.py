@@ -32,3 +32,26 @@ def test_the_observation_grid_is_not_broadcast(spark):
     text = physical(spark, "q_valid_obs")
     assert "explode(__periods" in text
     assert not any("explode(__periods" in part for part in below(text, "BroadcastExchange"))
+
+
+def shuffles(text):
+    """Shuffles that the plan makes, without those of broadcasts and of the summaries below them."""
+    inner = "\n".join(below(text, "BroadcastExchange"))
+    found = [x for x in text.splitlines() if "Exchange " in x and "BroadcastExchange" not in x and x not in inner]
+    return [re.search(r"Exchange (.*?), \d+\)|Exchange (\w+)", x).group() for x in found]
+
+
+def test_pixels_join_their_scores_where_their_scenes_were_dealt(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("q_link_cloud", "q_prepare_optical"):
+            found = shuffles(physical(spark, name))
+            assert len(found) == 2 and all("hashpartitioning(scene_id" in x for x in found), found
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_resampling_shuffles_no_targets(spark):
+    found = shuffles(physical(spark, "q_optical_resampled"))
+    assert len(found) == 1 and "hashpartitioning(scene_id" in found[0], found

@@ -17,6 +17,7 @@ from terraloom.config import AnalysisConfig
 from terraloom.operators.stations import with_pixel_id
 from terraloom.plans.inputs import Inputs, Places
 from terraloom.schemas import OPTICAL_BANDS
+from terraloom.session import CO_PARTITION, SETTINGS
 from terraloom.sources.grids import Grid
 
 CONFIG = AnalysisConfig(start=date(1995, 2, 1), end=date(2001, 8, 1))
@@ -45,6 +46,8 @@ FOOTPRINT_WEIGHTS = (1.0, 1.0, 0.5, 0.25)
 LOCAL_WEIGHTS = (1.0, 0.25)
 # Events cover 30 days of 2024; twelve shifted copies cover 1999.
 EVENT_COPIES, EVENT_DAYS, EVENT_SHIFT = 12, 30, -9131
+# Rows of a driver table that one task unfolds into pixels.
+ROWS_PER_TASK = 125_000
 
 
 def once(build):
@@ -73,9 +76,22 @@ def standard_period(day: Column) -> Column:
 
 
 @once
-def _spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows unfold into pixels, dealt evenly: a file may be one split."""
-    return table(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism)
+def _tasks(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Tasks that unfold a table: they follow its number of rows, which the files' footers give."""
+    rows = table(spark, sf_dir, name).count()
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+
+
+def _dealt(spark: SparkSession, sf_dir: str, name: str, scene: Column) -> DataFrame:
+    """A table whose rows unfold into pixels, dealt out by `scene_id` as a bucketed pixel table is.
+
+    A file may be one split, so rows have to be dealt anyway. By scene, joins and aggregations that
+    have it among their keys need no shuffle of the unfolded rows.
+    """
+    # A join takes rows dealt by a part of its keys only if the session allows it.
+    spark.conf.set(CO_PARTITION, SETTINGS[CO_PARTITION])
+    keyed = table(spark, sf_dir, name).withColumn("scene_id", scene)
+    return keyed.repartition(_tasks(spark, sf_dir, name), "scene_id")
 
 
 def _pixels(frame: DataFrame) -> DataFrame:
@@ -85,17 +101,13 @@ def _pixels(frame: DataFrame) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their scene id; made before a row unfolds into pixels."""
+    """Line items with their scene id, dealt out by it before a row unfolds into pixels."""
     cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
     quantity = F.col("l_quantity").cast("bigint")
     keys = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
     scene = F.concat_ws("-", *[part.cast("string") for part in (*keys, cents, quantity)])
-    return _spread_table(spark, sf_dir, "lineitem").withColumns(
-        {
-            "scene_id": scene,
-            "price": F.floor("l_extendedprice").cast("bigint"),
-            "quantity": quantity,
-        }
+    return _dealt(spark, sf_dir, "lineitem", scene).withColumns(
+        {"price": F.floor("l_extendedprice").cast("bigint"), "quantity": quantity}
     )
 
 
@@ -148,11 +160,12 @@ def sar_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @once
 def sar_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     stations = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar()
-    orders = _spread_table(spark, sf_dir, "orders").withColumn("cell_x", F.col("o_orderkey") % stations)
+    scene = F.col("o_orderkey").cast("string")
+    orders = _dealt(spark, sf_dir, "orders", scene).withColumn("cell_x", F.col("o_orderkey") % stations)
     level = -F.col("o_totalprice") / F.lit(65537.0)
     masked = (F.col("o_orderkey") + F.col("cell_y")) % 7 == 0
     return _pixels(orders).select(
-        F.col("o_orderkey").cast("string").alias("scene_id"),
+        "scene_id",
         F.col("o_orderdate").alias("ts"),
         "cell_x",
         "cell_y",

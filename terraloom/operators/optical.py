@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from terraloom.functions.calendar import PERIOD_DAYS
 from terraloom.functions.masks import all_present
 from terraloom.functions.spectral import normalized_difference, reflectance
+from terraloom.operators.zonal import PATCH, by_patch
 from terraloom.schemas import INDEX_BANDS, OPTICAL_BANDS
 
 SCENE_CELL = ["scene_id", "cell_x", "cell_y"]
@@ -54,15 +55,17 @@ def _last_pixel(bands: list[str]) -> list[Column]:
 def daily_stack(clear: DataFrame, bands: list[str]) -> DataFrame:
     """Per period and cell: `days`, the daily mosaics in date order, at most eight of them.
 
-    One aggregation does the mosaic of all days. Its state is at most eight rows per cell, is
-    combined before the shuffle, and its single shuffle key is the period and cell.
+    One aggregation does the mosaic of all days. Its single shuffle moves clear pixels as they are,
+    by patch: a cell has hardly two of them a period in one task, and a state of eight days is wider
+    than both. The result carries the patch, for zones that follow.
     """
     slot = F.datediff(F.col("dd"), F.col("period_start"))
     pixel = F.struct(*_last_pixel(bands), slot.alias("slot"))
     slots = [F.max(F.when(slot == i, pixel)).alias(f"__day{i}") for i in range(PERIOD_DAYS)]
-    stacked = clear.groupBy(*PERIOD_CELL).agg(*slots)
+    pixels = by_patch(clear.select(*PERIOD_CELL, "dd", "ts", "scene_id", *bands))
+    stacked = pixels.groupBy(*PATCH, *PERIOD_CELL).agg(*slots)
     days = F.array_compact(F.array(*[F.col(f"__day{i}") for i in range(PERIOD_DAYS)]))
-    return stacked.select(*PERIOD_CELL, days.alias("days"))
+    return stacked.select(*PATCH, *PERIOD_CELL, days.alias("days"))
 
 
 def medoid(stack: DataFrame, bands: list[str]) -> DataFrame:
@@ -79,13 +82,14 @@ def medoid(stack: DataFrame, bands: list[str]) -> DataFrame:
         high = f"sorted_{band}[size(days) div 2]"
         return f"cast({low} as bigint) + cast({high} as bigint) as twice_{band}"
 
-    centred = ranked.selectExpr(*PERIOD_CELL, "days", *[middle(b) for b in bands])
+    centred = ranked.selectExpr(*PATCH, *PERIOD_CELL, "days", *[middle(b) for b in bands])
     gaps = [f"(2 * cast(d.{b} as bigint) - twice_{b})" for b in bands]
     fields = [f"'score', {' + '.join(f'{g} * {g}' for g in gaps)}", "'slot', d.slot"]
     fields += [f"'{b}', d.{b}" for b in bands]
     best = f"array_min(transform(days, d -> named_struct({', '.join(fields)}))) as best"
-    chosen = centred.selectExpr(*PERIOD_CELL, "size(days) as clear_days", best)
+    chosen = centred.selectExpr(*PATCH, *PERIOD_CELL, "size(days) as clear_days", best)
     return chosen.selectExpr(
+        *PATCH,
         *PERIOD_CELL,
         "clear_days",
         "cast(date_add(period_start, best.slot) as string) as date_key",
@@ -96,8 +100,9 @@ def medoid(stack: DataFrame, bands: list[str]) -> DataFrame:
 def optical_predictors(composite: DataFrame, bands: dict[str, str] | None = None) -> DataFrame:
     """Reflectances under their predictor names, then the three indices."""
     bands = OPTICAL_BANDS if bands is None else bands
+    patch = PATCH if set(PATCH) <= set(composite.columns) else []
     named = composite.select(
-        *PERIOD_CELL, *[reflectance(F.col(dn)).alias(name) for dn, name in bands.items()]
+        *patch, *PERIOD_CELL, *[reflectance(F.col(dn)).alias(name) for dn, name in bands.items()]
     )
     return with_indices(named)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.operators.optical import PERIOD_CELL
+from terraloom.operators.zonal import PATCH, by_patch
 
 
 def once_per_scene(value: Column) -> Column:
@@ -26,13 +27,14 @@ def radar_medians(rows: DataFrame) -> DataFrame:
 
     A group holds the passes of one orbit over one cell within eight days; a scene that holds a cell
     twice is an error. VV minus VH is the difference of the two medians, not the median of
-    differences.
+    differences. The only shuffle is by patch, which the result carries for zones that follow.
     """
     bands = ["vv", "vh", "angle"]
-    medians = rows.groupBy(*PERIOD_CELL).agg(
+    medians = by_patch(rows.select(*PERIOD_CELL, "scene_id", *bands)).groupBy(*PATCH, *PERIOD_CELL).agg(
         *[once_per_scene(F.median(band)).alias(band) for band in bands]
     )
     return medians.select(
+        *PATCH,
         *PERIOD_CELL,
         F.col("vv").alias("VV_dB"),
         F.col("vh").alias("VH_dB"),

@@ -32,6 +32,16 @@ def with_patch(frame: DataFrame) -> DataFrame:
     return frame.withColumns({**squares, "bit": bit})
 
 
+def by_patch(frame: DataFrame) -> DataFrame:
+    """Rows of pixels dealt out by patch, with the patch's columns.
+
+    What follows groups by cell or sums over zones; a zone's cells share a few patches, so both find
+    their rows in one task.
+    """
+    squares = {p: F.shiftright(c, PATCH_SHIFT) for p, c in zip(PATCH, CELL, strict=True)}
+    return frame.withColumns(squares).repartition(*PATCH)
+
+
 def _or(condition: Column | None = None) -> Column:
     bit = F.col("bit") if condition is None else F.when(condition, F.col("bit"))
     return F.coalesce(F.bit_or(bit), F.lit(0).cast("bigint"))
@@ -188,7 +198,12 @@ def zonal_statistics(
 ) -> DataFrame:
     """Weighted mean and population standard deviation per geometry, scale and period.
 
-    Every task sums the pixels that it holds; one row of moments per zone and task is shuffled.
+    Every task sums the pixels that it holds; one row of moments per zone and task is shuffled. Where
+    predictors carry the patch by which they were dealt (`by_patch`), a zone is whole in a few tasks,
+    and a bridge too large to broadcast meets them by patch without another shuffle of them.
     """
-    placed = predictors.join(bridge, CELL).select(*ZONE, "weight", *bands)
+    keys = CELL
+    if set(PATCH) <= set(predictors.columns):
+        bridge, keys = by_patch(bridge), [*PATCH, *CELL]
+    placed = predictors.join(bridge, keys).select(*ZONE, "weight", *bands)
     return moment_statistics(band_moments(placed, ZONE, bands, shifts), ZONE, bands, shifts)

@@ -403,7 +403,7 @@ def _medoid(spark, sf):
 
 @query
 def q_optical_medoid(spark, sf):
-    return _medoid(spark, sf)
+    return _medoid(spark, sf).drop(*zonal.PATCH)
 
 
 @query
@@ -446,7 +446,7 @@ def q_resample_bilinear(spark, sf):
 
 @query
 def q_radar_median(spark, sf):
-    return rounded(radar.radar_medians(_radar(spark, sf)))
+    return rounded(radar.radar_medians(_radar(spark, sf)).drop(*zonal.PATCH))
 
 
 # Geometry and zones

@@ -14,12 +14,12 @@ from terraloom.operators.observations import (
     with_period_columns,
     with_validity,
 )
-from terraloom.operators.optical import PERIOD_CELL, SCENE_CELL, clear_pixels, is_clear
+from terraloom.operators.optical import SCENE_CELL, clear_pixels, is_clear
 from terraloom.operators.periods import assign_period, composite_periods
 from terraloom.operators.resample import resample_bilinear, source_blocks
 from terraloom.operators.stations import observation_grid
 from terraloom.operators.storage import written
-from terraloom.operators.zonal import footprint_cells_of, zone_summary
+from terraloom.operators.zonal import PATCH, footprint_cells_of, with_patch, zone_summary
 from terraloom.plans.inputs import Inputs, Places
 from terraloom.schemas import OPTICAL_BANDS
 from terraloom.sources.scans import scan_cloud, scan_et, scan_optical, scan_radar
@@ -66,7 +66,11 @@ def optical_rows(
 
 
 def _needed_only(rows: DataFrame, needed: DataFrame | None) -> DataFrame:
-    return rows if needed is None else rows.join(needed, PERIOD_CELL, "left_semi")
+    """Rows on a needed period cell, one bit of its patch (`training.needed_cells`)."""
+    if needed is None:
+        return rows
+    found = with_patch(rows).join(needed, ["period_start", *PATCH])
+    return found.filter(F.col("bit").bitwiseAND(F.col("bits")) != 0).drop(*PATCH, "bit", "bits")
 
 
 def clear_rows(
@@ -76,7 +80,7 @@ def clear_rows(
     config: AnalysisConfig,
     needed: DataFrame | None = None,
 ) -> DataFrame:
-    """Valid optical pixels in the blocks of the geometries, of the `needed` period cells if given.
+    """Valid optical pixels in the blocks of the geometries, of the `needed` cells' bits if given.
 
     Both sides of the scene join are restricted and screened before it. A cloud score carries the
     time of its scene, so it belongs to the same period.

@@ -16,7 +16,7 @@ from terraloom.operators.observations import (
     with_missing_statistics,
     with_row_status,
 )
-from terraloom.operators.optical import PERIOD_CELL, daily_stack, medoid, optical_predictors
+from terraloom.operators.optical import daily_stack, medoid, optical_predictors
 from terraloom.operators.radar import radar_medians
 from terraloom.operators.storage import written
 from terraloom.operators.worklist import PARTITION
@@ -27,7 +27,7 @@ from terraloom.operators.weather import (
     period_rain,
     period_weather,
 )
-from terraloom.operators.zonal import zonal_statistics
+from terraloom.operators.zonal import PATCH, with_patch, zonal_statistics
 from terraloom.plans.availability import (
     availability,
     clear_rows,
@@ -86,15 +86,18 @@ def meteorology(
 
 
 def needed_cells(valid: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Period cells that the statistics of valid observations read."""
+    """Period cells that the statistics of valid observations read: a row per period and patch, with
+    the cells as `bits`.
+    """
     zones = unfold_scales(valid).select(
         F.col("zone_id").alias("geom_id"), "scale", F.col("period_date").alias("period_start")
     )
+    placed = with_patch(bridge.select("geom_id", "scale", "cell_x", "cell_y"))
     return (
         zones.distinct()
-        .join(bridge.select("geom_id", "scale", "cell_x", "cell_y"), ["geom_id", "scale"])
-        .select(*PERIOD_CELL)
-        .distinct()
+        .join(placed, ["geom_id", "scale"])
+        .groupBy("period_start", *PATCH)
+        .agg(F.bit_or("bit").alias("bits"))
     )
 
 
@@ -108,9 +111,10 @@ def predictor_statistics(
     """The 32 statistics per geometry, scale and period, from pixels of valid observations only.
 
     Optical and radar composites stay apart down to the statistics: their masks are independent,
-    and joining statistics is far smaller than joining pixels.
+    and joining statistics is far smaller than joining pixels. What they need is written first: a
+    list that is short for its size then meets the pixels without a shuffle of them.
     """
-    needed = needed_cells(valid, places.bridge)
+    needed = written(needed_cells(valid, places.bridge), "needed-cells")
     bounds = bounds_of(places.bridge)
     clear = clear_rows(inputs, bounds, periods, config, needed)
     bands = list(OPTICAL_BANDS)

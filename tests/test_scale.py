@@ -55,3 +55,18 @@ def test_pixels_join_their_scores_where_their_scenes_were_dealt(spark):
 def test_resampling_shuffles_no_targets(spark):
     found = shuffles(physical(spark, "q_optical_resampled"))
     assert len(found) == 1 and "hashpartitioning(scene_id" in found[0], found
+
+
+def test_zones_are_summed_where_their_cells_are(spark):
+    text = physical(spark, "q_zonal_stats")
+    found = [x for x in shuffles(text) if "period_start" in x]
+    # Only moments are shuffled by period: pixels go by patch, and no state of eight days does.
+    assert found and all("geom_id" in x for x in found), found
+    assert any("hashpartitioning(patch_x" in x for x in shuffles(text))
+
+
+def test_needed_cells_meet_the_pixels_without_a_shuffle(spark):
+    lines = physical(spark, "q_export_select").splitlines()
+    assert not [x for x in lines if "LeftSemi" in x and "period_start" in x]
+    met = [x for x in lines if "Join [period_start" in x and "patch_x" in x]
+    assert met and all("BroadcastHashJoin" in x for x in met), met

@@ -11,9 +11,11 @@ The rows must come in the same order when a task is rerun, as they do from a tab
 
 from __future__ import annotations
 
+import os
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -157,13 +159,23 @@ def _sums(keys: np.ndarray, added: np.ndarray) -> pa.RecordBatch:
     )
 
 
+@lru_cache(maxsize=1)
+def _loaded(tokenizer_file: str, changed: int, size: int):
+    """The tokenizer of a file, once per worker: the library's threads keep caches of every tokenizer
+    that encodes batches, some 35 MB each, also after it is gone.
+    """
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 def _summed(tokenizer_file: str, special: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        state = os.stat(tokenizer_file)
+        tokenizer = _loaded(tokenizer_file, state.st_mtime_ns, state.st_size)
         keys, added, held = [], [], 0
         last, pieces = None, 0
         for batch in common.arrow_rows(batches, 10_000):
@@ -209,7 +221,7 @@ def _summed(tokenizer_file: str, special: list[str]):
                 )
         if held:
             yield _sums(np.concatenate(keys), np.concatenate(added))
-        del tokenizer, keys, added
+        del keys, added
         common.give_back_memory()
 
     return run

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.functions.calendar import PERIOD_DAYS
 from terraloom.schemas import PREDICTOR_SHIFTS
 
 CELL = ["cell_x", "cell_y"]
@@ -47,17 +48,27 @@ def _or(condition: Column | None = None) -> Column:
     return F.coalesce(F.bit_or(bit), F.lit(0).cast("bigint"))
 
 
+def _or_of(bits: str, condition: Column) -> Column:
+    return F.coalesce(F.bit_or(F.when(condition, F.col(bits))), F.lit(0).cast("bigint"))
+
+
 def _held(bits: Column, others: Column) -> Column:
     return bits.bitwiseAND(others)
 
 
 def bridge_patches(bridge: DataFrame) -> DataFrame:
-    """Per geometry and patch: the cells by weight (`weight`, `bits`), and those that count at all."""
+    """Per geometry and patch: the cells by weight (`weight`, `bits`), those that count at all, and
+    whether the geometry has no other patch (`alone`).
+    """
     alike = with_patch(bridge).groupBy("geom_id", *PATCH, "weight").agg(_or().alias("bits"))
-    return alike.groupBy("geom_id", *PATCH).agg(
+    patches = alike.groupBy("geom_id", *PATCH).agg(
         F.collect_list(F.struct("weight", "bits")).alias("cells"),
         F.bit_or(F.when(F.col("weight") > 0, F.col("bits"))).alias("touch"),
     )
+    whole = patches.groupBy("geom_id").agg(
+        F.collect_list(F.struct(*PATCH, "cells", "touch")).alias("patches")
+    )
+    return whole.select("geom_id", (F.size("patches") == 1).alias("alone"), F.inline("patches"))
 
 
 def zone_summary(
@@ -66,11 +77,14 @@ def zone_summary(
     """Coverage and scene dates of each geometry and period from one pass over dated pixel keys.
 
     A cell is valid in a period if every mask holds for some pixel of it. Pixels become bits of
-    patches in the tasks that read them, so what is shuffled is a row per scene and patch; coverage
-    is a population count against the geometry's own bits, weight by weight. Absent pixels count as
-    invalid, as the area comes from the bridge alone. A patch sees a scene or two a day and a period
-    has eight days, so its scene list is bounded. With `once`, the name of the table, a scene that
-    holds a cell twice is an error. Returns geom_id, period_start, share, dates_total, dates,
+    patches in the tasks that read them, so what is shuffled is a row per scene and patch, once by
+    patch and, as a row per geometry, once by geometry; a join on geometries finds them dealt so.
+    Coverage is a population count against the geometry's own bits, weight by weight. Absent pixels
+    count as invalid, as the area comes from the bridge alone. The days of a period are eight bits.
+    Names of scenes travel only if `products_total` is read, and to the geometries only where one
+    has several patches, which may share scenes. A patch sees a scene or two a day and a period has
+    eight days, so its scene list is bounded. With `once`, the name of the table, a scene that holds
+    a cell twice is an error. Returns geom_id, period_start, share, dates_total, dates,
     products_total; a geometry that no pixel touches in a period has no row.
     """
     names = [f"mask{k}" for k in range(len(masks))]
@@ -87,17 +101,32 @@ def zone_summary(
     per_scene = scene.agg(
         seen.alias("seen"), *[_or(mask).alias(name) for mask, name in zip(masks, names, strict=True)]
     )
-    per_patch = per_scene.groupBy("period_start", *PATCH).agg(
-        *[F.bit_or(name).alias(name) for name in names],
-        F.collect_list(F.struct("dd", "scene_id", "seen")).alias("scenes"),
+    slot = F.datediff(F.col("dd"), F.col("period_start"))
+    slots = [f"seen{i}" for i in range(PERIOD_DAYS)]
+    per_patch = (
+        per_scene.repartition(*PATCH)
+        .groupBy(*PATCH, "period_start")
+        .agg(
+            *[F.bit_or(name).alias(name) for name in names],
+            *[_or_of("seen", slot == i).alias(name) for i, name in enumerate(slots)],
+            F.collect_list(F.struct("dd", "scene_id", "seen")).alias("scenes"),
+        )
     )
     valid = reduce(_held, [F.col(name) for name in names])
-    per_patch = per_patch.select("period_start", *PATCH, valid.alias("valid"), "scenes")
+    per_patch = per_patch.select("period_start", *PATCH, valid.alias("valid"), *slots, "scenes")
 
     def counted(total: Column, cells: Column) -> Column:
         return total + cells["weight"] * F.bit_count(_held(F.col("valid"), cells["bits"]))
 
-    touched = F.filter("scenes", lambda s: _held(s["seen"], F.col("touch")) != 0)
+    touched = F.transform(
+        F.filter("scenes", lambda s: _held(s["seen"], F.col("touch")) != 0),
+        lambda s: F.struct(s["dd"].alias("dd"), s["scene_id"].alias("scene_id")),
+    )
+    met = [
+        F.when(_held(F.col(name), F.col("touch")) != 0, 1 << i).otherwise(0)
+        for i, name in enumerate(slots)
+    ]
+    distinct = F.size(F.array_distinct(F.flatten(F.collect_list("scenes"))))
     area = bridge.groupBy("geom_id").agg(F.sum("weight").alias("area"))
     per_zone = (
         per_patch.join(bridge_patches(bridge), PATCH)
@@ -105,26 +134,31 @@ def zone_summary(
             "geom_id",
             "period_start",
             F.aggregate("cells", F.lit(0.0), counted).alias("covered"),
-            F.transform(
-                touched, lambda s: F.struct(s["dd"].alias("dd"), s["scene_id"].alias("scene_id"))
-            ).alias("scenes"),
+            reduce(Column.bitwiseOR, met).alias("days"),
+            F.when(F.col("alone"), F.size(touched)).alias("products"),
+            F.when(~F.col("alone"), touched).alias("scenes"),
         )
+        .filter(F.col("days") != 0)
+        .repartition("geom_id")
         .groupBy("geom_id", "period_start")
         .agg(
             F.sum("covered").alias("covered"),
-            F.array_distinct(F.flatten(F.collect_list("scenes"))).alias("scenes"),
+            F.bit_or("days").alias("days"),
+            F.coalesce(F.first("products"), distinct).alias("products_total"),
         )
-        .filter(F.size("scenes") > 0)
         .join(area, "geom_id")
     )
-    days = F.array_sort(F.array_distinct(F.transform("scenes", lambda x: x["dd"].cast("string"))))
+    dates = [
+        F.when(F.col("days").bitwiseAND(F.lit(1 << i)) != 0, F.date_add("period_start", i).cast("string"))
+        for i in range(PERIOD_DAYS)
+    ]
     return per_zone.select(
         "geom_id",
         "period_start",
         (F.col("covered") / F.col("area")).alias("share"),
-        F.size(days).alias("dates_total"),
-        F.array_join(days, ";").alias("dates"),
-        F.size("scenes").alias("products_total"),
+        F.bit_count("days").alias("dates_total"),
+        F.concat_ws(";", *dates).alias("dates"),
+        "products_total",
     )
 
 

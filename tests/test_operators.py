@@ -221,6 +221,16 @@ def test_zone_summary_shuffles_bits_not_pixels(spark):
             assert "cell_x" not in line and "cell_y" not in line
 
 
+def test_zone_summary_moves_scene_names_only_for_their_number(spark):
+    rows = clear_rows(spark, [(0, 0, "a", 1, 0, 0), (0, 0, "a", 9, 0, 0), (2, 0, "b", 9, 0, 0)])
+    bridge = spark.createDataFrame([("g", 1, 0, 1.0), ("g", 9, 0, 1.0), ("h", 9, 0, 1.0)], BRIDGE)
+    found = zonal.zone_summary(rows, [F.lit(True)], bridge)
+    # "g" has two patches that share a scene, "h" one patch.
+    assert {r["geom_id"]: (r["products_total"], r["dates_total"]) for r in found.collect()} == {"g": (2, 2), "h": (2, 2)}
+    assert "collect_list(struct(dd" in plan_text(found).split("== Physical Plan ==")[-1]
+    assert "collect_list(struct(dd" not in plan_text(found.drop("products_total")).split("== Physical Plan ==")[-1]
+
+
 def test_zonal_statistics_match_numpy_and_survive_an_offset(spark):
     rng = np.random.default_rng(1)
     weights, values = rng.random(40), rng.random(40) * 1e-3 + 1e6

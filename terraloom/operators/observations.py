@@ -49,9 +49,14 @@ def single(frame: DataFrame, keys: list[str], name: str) -> DataFrame:
     return frame.groupBy(*keys).agg(*values)
 
 
-def et_at_sites(observations: DataFrame, et_pixels: DataFrame) -> DataFrame:
-    """The ET pixel of each observation's own cell and period; absent pixels leave NULLs."""
-    joined = observations.join(et_pixels, ["period_start", "cell_x", "cell_y"], "left")
+def et_at_sites(
+    observations: DataFrame, et_pixels: DataFrame, keys: list[str] | None = None
+) -> DataFrame:
+    """The ET pixel of each observation's own cell and period; absent pixels leave NULLs. `keys` may
+    name more columns, by which both sides are dealt.
+    """
+    keys = ["period_start", "cell_x", "cell_y"] if keys is None else keys
+    joined = observations.join(et_pixels, keys, "left")
     return with_et_values(joined).drop("et_dn", "et_qc")
 
 

@@ -144,13 +144,15 @@ def availability(
     radar = radar_zones(inputs, bounds, periods, footprints, config)
 
     zone = ["geom_id", "period_start"]
-    # Only the sites' own ET cells travel to the observations.
-    own = places.sites.select("cell_x", "cell_y").distinct()
-    et = scan_et(inputs.et_pixels, config).join(own, ["cell_x", "cell_y"], "left_semi")
-    et = single(et, ["period_start", "cell_x", "cell_y"], "et_pixels")
-    # The grid's rows are sites times periods, of which a size estimate sees the sites alone: without
-    # the hints it may be taken for a short list and broadcast through the driver.
-    observed = et_at_sites(observation_grid(places.sites, periods).hint("merge"), et).hint("merge")
+    # Only the sites' own ET cells travel to the observations, dealt by geometry like all that follows.
+    own = places.sites.select("cell_x", "cell_y", "geom_id").distinct()
+    et = scan_et(inputs.et_pixels, config).join(own, ["cell_x", "cell_y"]).repartition("geom_id")
+    et = single(et, [*zone, "cell_x", "cell_y"], "et_pixels")
+    # Sites are dealt out before they unfold into observations, so those are never shuffled. Their
+    # rows are sites times periods, of which a size estimate sees the sites alone: without the hints
+    # they may be taken for a short list and broadcast through the driver.
+    grid = observation_grid(places.sites.repartition("geom_id"), periods).hint("merge")
+    observed = et_at_sites(grid, et, [*zone, "cell_x", "cell_y"]).hint("merge")
     names = ("share", "dates_total", "dates", "products_total")
     seen = optical.withColumnsRenamed({c: f"s2_{c}" for c in names}).drop("s2_products_total")
     joined = observed.join(seen, zone, "left").hint("merge")

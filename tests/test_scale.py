@@ -70,3 +70,17 @@ def test_needed_cells_meet_the_pixels_without_a_shuffle(spark):
     assert not [x for x in lines if "LeftSemi" in x and "period_start" in x]
     met = [x for x in lines if "Join [period_start" in x and "patch_x" in x]
     assert met and all("BroadcastHashJoin" in x for x in met), met
+
+
+def test_observations_unfold_where_their_sites_were_dealt(spark):
+    text = physical(spark, "q_availability")
+    assert "explode(__periods" in text
+    assert not any("explode(__periods" in part for part in below(text, "Exchange"))
+
+
+def test_zones_are_dealt_once_by_patch_and_once_by_geometry(spark):
+    for name in ("q_availability", "q_scene_dates"):
+        found = [x for x in shuffles(physical(spark, name)) if "patch_x" in x or "period_start" in x]
+        # The stand-in's ET table is grouped by period before it is read.
+        found = [x for x in found if "_groupingexpression" not in x and "l_suppkey" not in x]
+        assert len(found) == 2 and all(re.search(r"\(patch_x#\w+, patch_y#\w+, \d+\)$", x) for x in found), found

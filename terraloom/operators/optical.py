@@ -52,6 +52,13 @@ def _last_pixel(bands: list[str]) -> list[Column]:
     return [F.col("ts"), F.col("scene_id"), *[F.col(b) for b in bands]]
 
 
+def dealt_pixels(clear: DataFrame, bands: list[str]) -> DataFrame:
+    """Clear pixels by patch, with what the mosaic reads; those that carry a patch have been dealt."""
+    if set(PATCH) <= set(clear.columns):
+        return clear
+    return by_patch(clear.select(*PERIOD_CELL, "dd", "ts", "scene_id", *bands))
+
+
 def daily_stack(clear: DataFrame, bands: list[str]) -> DataFrame:
     """Per period and cell: `days`, the daily mosaics in date order, at most eight of them.
 
@@ -62,8 +69,7 @@ def daily_stack(clear: DataFrame, bands: list[str]) -> DataFrame:
     slot = F.datediff(F.col("dd"), F.col("period_start"))
     pixel = F.struct(*_last_pixel(bands), slot.alias("slot"))
     slots = [F.max(F.when(slot == i, pixel)).alias(f"__day{i}") for i in range(PERIOD_DAYS)]
-    pixels = by_patch(clear.select(*PERIOD_CELL, "dd", "ts", "scene_id", *bands))
-    stacked = pixels.groupBy(*PATCH, *PERIOD_CELL).agg(*slots)
+    stacked = dealt_pixels(clear, bands).groupBy(*PATCH, *PERIOD_CELL).agg(*slots)
     days = F.array_compact(F.array(*[F.col(f"__day{i}") for i in range(PERIOD_DAYS)]))
     return stacked.select(*PATCH, *PERIOD_CELL, days.alias("days"))
 

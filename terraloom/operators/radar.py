@@ -22,6 +22,16 @@ def once_per_scene(value: Column) -> Column:
     return F.when(scenes == rows, value).otherwise(F.raise_error(message))
 
 
+RADAR_BANDS = ["vv", "vh", "angle"]
+
+
+def dealt_passes(rows: DataFrame) -> DataFrame:
+    """Radar pixels by patch, with what the medians read; those that carry a patch have been dealt."""
+    if set(PATCH) <= set(rows.columns):
+        return rows
+    return by_patch(rows.select(*PERIOD_CELL, "scene_id", *RADAR_BANDS))
+
+
 def radar_medians(rows: DataFrame) -> DataFrame:
     """Per period and cell: medians of each band over its own valid pixels.
 
@@ -29,9 +39,8 @@ def radar_medians(rows: DataFrame) -> DataFrame:
     twice is an error. VV minus VH is the difference of the two medians, not the median of
     differences. The only shuffle is by patch, which the result carries for zones that follow.
     """
-    bands = ["vv", "vh", "angle"]
-    medians = by_patch(rows.select(*PERIOD_CELL, "scene_id", *bands)).groupBy(*PATCH, *PERIOD_CELL).agg(
-        *[once_per_scene(F.median(band)).alias(band) for band in bands]
+    medians = dealt_passes(rows).groupBy(*PATCH, *PERIOD_CELL).agg(
+        *[once_per_scene(F.median(band)).alias(band) for band in RADAR_BANDS]
     )
     return medians.select(
         *PATCH,

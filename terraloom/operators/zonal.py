@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions.calendar import PERIOD_DAYS
@@ -37,8 +39,10 @@ def by_patch(frame: DataFrame) -> DataFrame:
     """Rows of pixels dealt out by patch, with the patch's columns.
 
     What follows groups by cell or sums over zones; a zone's cells share a few patches, so both find
-    their rows in one task.
+    their rows in one task. Rows that carry the patch have been dealt.
     """
+    if set(PATCH) <= set(frame.columns):
+        return frame
     squares = {p: F.shiftright(c, PATCH_SHIFT) for p, c in zip(PATCH, CELL, strict=True)}
     return frame.withColumns(squares).repartition(*PATCH)
 
@@ -241,3 +245,48 @@ def zonal_statistics(
         bridge, keys = by_patch(bridge), [*PATCH, *CELL]
     placed = predictors.join(bridge, keys).select(*ZONE, "weight", *bands)
     return moment_statistics(band_moments(placed, ZONE, bands, shifts), ZONE, bands, shifts)
+
+
+@dataclass(frozen=True)
+class Source:
+    """Pixels dealt by patch (`by_patch`), how they become one value of each band per period and cell,
+    and the bands.
+    """
+
+    pixels: DataFrame
+    composite: Callable[[DataFrame], DataFrame]
+    bands: list[str]
+
+
+def closed_patches(bridge: DataFrame) -> DataFrame:
+    """The bridge dealt by patch, with `closed`: no geometry of the patch has cells in another one."""
+    squares = {p: F.shiftright(c, PATCH_SHIFT) for p, c in zip(PATCH, CELL, strict=True)}
+    own, patch = Window.partitionBy("geom_id", "scale"), Window.partitionBy(*PATCH)
+    single = [F.min(p).over(own) == F.max(p).over(own) for p in PATCH]
+    placed = bridge.withColumns(squares).withColumn("single", single[0] & single[1])
+    return placed.withColumn("closed", F.min("single").over(patch)).drop("single")
+
+
+def statistics_of(sources: list[Source], bridge: DataFrame) -> DataFrame:
+    """`zonal_statistics` of several sources side by side, without a shuffle of most zones.
+
+    Moments of a zone are as wide as many pixels, so only those of geometries that share no closed
+    patch are shuffled: the zones of a closed patch are whole, and their sources meet, where its pixels
+    were dealt. A patch goes one of both ways with all of its pixels, so no cell is composed twice,
+    and both read the same shuffle. Lists of patches and cells are hashed in their tasks, so that
+    pixels need no sort to meet them.
+    """
+    cells = closed_patches(bridge)
+
+    def moments(source: Source, part: DataFrame, keys: list[str]) -> DataFrame:
+        patches = part.select(*PATCH).distinct().hint("shuffle_hash")
+        predictors = source.composite(source.pixels.join(patches, PATCH))
+        placed = predictors.join(part.hint("shuffle_hash"), [*PATCH, *CELL])
+        return band_moments(placed.select(*PATCH, *ZONE, "weight", *source.bands), keys, source.bands)
+
+    def side_by_side(part: DataFrame, keys: list[str]) -> DataFrame:
+        found = [moment_statistics(moments(s, part, keys), keys, s.bands) for s in sources]
+        return reduce(lambda left, right: left.join(right, keys, "full"), found)
+
+    whole = side_by_side(cells.filter("closed"), [*PATCH, *ZONE]).drop(*PATCH)
+    return whole.unionByName(side_by_side(cells.filter("not closed"), ZONE))

@@ -16,8 +16,8 @@ from terraloom.operators.observations import (
     with_missing_statistics,
     with_row_status,
 )
-from terraloom.operators.optical import daily_stack, medoid, optical_predictors
-from terraloom.operators.radar import radar_medians
+from terraloom.operators.optical import daily_stack, dealt_pixels, medoid, optical_predictors
+from terraloom.operators.radar import dealt_passes, radar_medians
 from terraloom.operators.storage import written
 from terraloom.operators.worklist import PARTITION
 from terraloom.operators.weather import (
@@ -27,7 +27,7 @@ from terraloom.operators.weather import (
     period_rain,
     period_weather,
 )
-from terraloom.operators.zonal import PATCH, with_patch, zonal_statistics
+from terraloom.operators.zonal import PATCH, Source, statistics_of, with_patch
 from terraloom.plans.availability import (
     availability,
     clear_rows,
@@ -101,6 +101,24 @@ def needed_cells(valid: DataFrame, bridge: DataFrame) -> DataFrame:
     )
 
 
+def composite_statistics(clear: DataFrame, radar: DataFrame, bridge: DataFrame) -> DataFrame:
+    """The 32 statistics per geometry, scale and period, from clear optical and from radar pixels.
+
+    Optical and radar composites stay apart down to the statistics: their masks are independent,
+    and joining statistics is far smaller than joining pixels.
+    """
+    bands = list(OPTICAL_BANDS)
+
+    def optical(pixels: DataFrame) -> DataFrame:
+        return optical_predictors(medoid(daily_stack(pixels, bands), bands))
+
+    sources = [
+        Source(dealt_pixels(clear, bands), optical, OPTICAL_PREDICTORS),
+        Source(dealt_passes(radar), radar_medians, RADAR_PREDICTORS),
+    ]
+    return statistics_of(sources, bridge)
+
+
 def predictor_statistics(
     valid: DataFrame,
     inputs: Inputs,
@@ -108,25 +126,16 @@ def predictor_statistics(
     config: AnalysisConfig,
     periods: DataFrame,
 ) -> DataFrame:
-    """The 32 statistics per geometry, scale and period, from pixels of valid observations only.
+    """The statistics from pixels of valid observations only.
 
-    Optical and radar composites stay apart down to the statistics: their masks are independent,
-    and joining statistics is far smaller than joining pixels. What they need is written first: a
-    list that is short for its size then meets the pixels without a shuffle of them.
+    What they need is written first: a list that is short for its size then meets the pixels without
+    a shuffle of them.
     """
     needed = written(needed_cells(valid, places.bridge), "needed-cells")
     bounds = bounds_of(places.bridge)
     clear = clear_rows(inputs, bounds, periods, config, needed)
-    bands = list(OPTICAL_BANDS)
-    optical = optical_predictors(medoid(daily_stack(clear, bands), bands))
-
     radar = radar_rows(inputs, bounds, periods, config, needed)
-    backscatter = radar_medians(radar)
-
-    zone = ["geom_id", "scale", "period_start"]
-    return zonal_statistics(optical, places.bridge, OPTICAL_PREDICTORS).join(
-        zonal_statistics(backscatter, places.bridge, RADAR_PREDICTORS), zone, "full"
-    )
+    return composite_statistics(clear, radar, places.bridge)
 
 
 def assemble_rows(valid: DataFrame, statistics: DataFrame, config: AnalysisConfig) -> DataFrame:

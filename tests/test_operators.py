@@ -264,6 +264,52 @@ def test_zonal_statistics_combine_before_their_only_shuffle(spark):
     assert above_join.count("Exchange") == 1
 
 
+def test_zones_of_closed_patches_are_whole_and_others_merge(spark):
+    rng = random.Random(11)
+    geometries = {
+        ("alone", "footprint"): [(x, y) for x in range(3) for y in range(2)],
+        ("alone", "local_60m"): [(x, 0) for x in range(2)],
+        ("wide", "footprint"): [(x, 1) for x in range(28, 45)],
+        ("beside", "footprint"): [(33, 2), (34, 2), (34, 1)],
+        ("below", "footprint"): [(-1, -1), (-8, -8)],
+        ("empty", "footprint"): [(90, 90)],
+    }
+    bridge = [(g, s, x, y, rng.choice([1.0, 0.25])) for (g, s), cells in geometries.items() for x, y in cells]
+    rows = [
+        (date(2021, 1, 1 + 8 * p), x, y, kind, None if rng.random() < 0.2 else rng.random())
+        for p in range(2) for x in range(-9, 50) for y in range(-9, 4) for kind in "ab"
+        if rng.random() < 0.7 and (kind, p, x > 20) != ("b", 1, True)
+    ]
+    cells = spark.createDataFrame(rows, "period_start date, cell_x bigint, cell_y bigint, kind string, v double")
+
+    def source(kind):
+        pixels = zonal.by_patch(cells.filter(F.col("kind") == kind).withColumnRenamed("v", kind).drop("kind"))
+        return zonal.Source(pixels, lambda composed: composed, [kind])
+
+    zones = spark.createDataFrame(bridge, "geom_id string, scale string, cell_x bigint, cell_y bigint, weight double")
+    closed = zonal.closed_patches(zones).filter("closed").select("geom_id").distinct()
+    assert {r["geom_id"] for r in closed.collect()} == {"alone", "below", "empty"}
+    found = zonal.statistics_of([source("a"), source("b")], zones)
+    expected = {}
+    for geom, scale, x, y, weight in bridge:
+        for period, cell_x, cell_y, kind, value in rows:
+            if (x, y) == (cell_x, cell_y):
+                zone = expected.setdefault((geom, scale, period), {"a": [], "b": []})
+                if value is not None:
+                    zone[kind].append((weight, value))
+    assert {(r["geom_id"], r["scale"], r["period_start"]) for r in found.collect()} == set(expected)
+    assert found.count() == len(expected)
+    for r in found.collect():
+        for kind, held in expected[r["geom_id"], r["scale"], r["period_start"]].items():
+            if not held:
+                assert r[f"{kind}_mean"] is None and r[f"{kind}_stdDev"] is None
+                continue
+            w, v = np.array(held).T
+            mean = np.average(v, weights=w)
+            assert r[f"{kind}_mean"] == pytest.approx(mean)
+            assert r[f"{kind}_stdDev"] == pytest.approx(np.sqrt(np.average((v - mean) ** 2, weights=w)), abs=1e-7)
+
+
 def test_moments_merge(spark):
     rng = np.random.default_rng(7)
     rows = [(int(k), int(p), float(w), float(x)) for k, p, w, x in

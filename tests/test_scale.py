@@ -65,6 +65,13 @@ def test_zones_are_summed_where_their_cells_are(spark):
     assert any("hashpartitioning(patch_x" in x for x in shuffles(text))
 
 
+def test_zones_of_one_patch_are_not_shuffled(spark):
+    text = physical(spark, "q_zonal_stats")
+    moved = [[x for x in shuffles(part) if "period_start" in x] for part in below(text, "FullOuter")]
+    # One way for zones that are whole in their patch, another one whose moments are merged.
+    assert sorted(len(found) for found in moved) == [0, 2], moved
+
+
 def test_needed_cells_meet_the_pixels_without_a_shuffle(spark):
     lines = physical(spark, "q_export_select").splitlines()
     assert not [x for x in lines if "LeftSemi" in x and "period_start" in x]

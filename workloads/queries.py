@@ -30,10 +30,8 @@ from terraloom.plans.places import resolve_places
 from terraloom.schemas import (
     GRIDS,
     OPTICAL_BANDS,
-    OPTICAL_PREDICTORS,
     OUTPUT_SCHEMA,
     PREDICTORS,
-    RADAR_PREDICTORS,
     STATISTICS,
     WEATHER_COLUMNS,
 )
@@ -527,14 +525,8 @@ def _statistics(spark, sf, scale):
     zones = standins.bridge(spark, sf).filter(F.col("scale") == scale)
     bounds, found = bounds_of(zones), avail.periods_of(ins, CONFIG)
     clear = avail.clear_rows(ins, bounds, found, CONFIG)
-    named = optical.optical_predictors(optical.medoid(optical.daily_stack(clear, BANDS), BANDS))
-    medians = radar.radar_medians(avail.radar_rows(ins, bounds, found, CONFIG))
-    zone = ["geom_id", "scale", "period_start"]
-    return rounded(
-        zonal.zonal_statistics(named, zones, OPTICAL_PREDICTORS).join(
-            zonal.zonal_statistics(medians, zones, RADAR_PREDICTORS), zone, "full"
-        )
-    )
+    passes = avail.radar_rows(ins, bounds, found, CONFIG)
+    return rounded(training.composite_statistics(clear, passes, zones))
 
 
 @query

@@ -22,8 +22,13 @@ PERIOD_CELL = ["period_start", "cell_x", "cell_y"]
 
 
 def link_cloud_score(pixels: DataFrame, cloud: DataFrame) -> DataFrame:
-    """Add the cloud score of the same scene and cell, NULL where there is none."""
-    return pixels.join(cloud.select(*SCENE_CELL, "cs_cdf"), SCENE_CELL, "left")
+    """Add the cloud score of the same scene and cell, NULL where there is none.
+
+    Tables that carry the patch are joined by it too, and so where they were dealt by it.
+    """
+    dealt = PATCH if set(PATCH) <= set(pixels.columns) & set(cloud.columns) else []
+    keys = [*dealt, *SCENE_CELL]
+    return pixels.join(cloud.select(*keys, "cs_cdf"), keys, "left")
 
 
 def is_clear(threshold: float) -> Column:

@@ -25,14 +25,20 @@ PATCH_SHIFT = 3
 PATCH = ["patch_x", "patch_y"]
 
 
+def with_squares(frame: DataFrame) -> DataFrame:
+    """Add the cell's patch; rows that carry it keep it, for they may be dealt by it."""
+    if set(PATCH) <= set(frame.columns):
+        return frame
+    return frame.withColumns({p: F.shiftright(c, PATCH_SHIFT) for p, c in zip(PATCH, CELL, strict=True)})
+
+
 def with_patch(frame: DataFrame) -> DataFrame:
     """Add the cell's patch and its bit there."""
     inner = (1 << PATCH_SHIFT) - 1
     low = [F.col(c).bitwiseAND(F.lit(inner)) for c in ("cell_x", "cell_y")]
     place = (low[1] * (1 << PATCH_SHIFT) + low[0]).cast("int")
-    squares = {p: F.shiftright(c, PATCH_SHIFT) for p, c in zip(PATCH, CELL, strict=True)}
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
-    return frame.withColumns({**squares, "bit": bit})
+    return with_squares(frame).withColumn("bit", bit)
 
 
 def by_patch(frame: DataFrame) -> DataFrame:
@@ -43,8 +49,7 @@ def by_patch(frame: DataFrame) -> DataFrame:
     """
     if set(PATCH) <= set(frame.columns):
         return frame
-    squares = {p: F.shiftright(c, PATCH_SHIFT) for p, c in zip(PATCH, CELL, strict=True)}
-    return frame.withColumns(squares).repartition(*PATCH)
+    return with_squares(frame).repartition(*PATCH)
 
 
 def _or(condition: Column | None = None) -> Column:
@@ -260,10 +265,9 @@ class Source:
 
 def closed_patches(bridge: DataFrame) -> DataFrame:
     """The bridge dealt by patch, with `closed`: no geometry of the patch has cells in another one."""
-    squares = {p: F.shiftright(c, PATCH_SHIFT) for p, c in zip(PATCH, CELL, strict=True)}
     own, patch = Window.partitionBy("geom_id", "scale"), Window.partitionBy(*PATCH)
     single = [F.min(p).over(own) == F.max(p).over(own) for p in PATCH]
-    placed = bridge.withColumns(squares).withColumn("single", single[0] & single[1])
+    placed = with_squares(bridge).withColumn("single", single[0] & single[1])
     return placed.withColumn("closed", F.min("single").over(patch)).drop("single")
 
 

@@ -70,7 +70,7 @@ def _needed_only(rows: DataFrame, needed: DataFrame | None) -> DataFrame:
     if needed is None:
         return rows
     found = with_patch(rows).join(needed, ["period_start", *PATCH])
-    return found.filter(F.col("bit").bitwiseAND(F.col("bits")) != 0).drop(*PATCH, "bit", "bits")
+    return found.filter(F.col("bit").bitwiseAND(F.col("bits")) != 0).select(*rows.columns)
 
 
 def clear_rows(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from terraloom.functions.calendar import half_open
 from terraloom.operators.bounds import BLOCK, TILE, with_block, with_tile
 from terraloom.operators.optical import SCENE_CELL
+from terraloom.operators.zonal import PATCH, with_squares
 
 MONTH = "month"
 
@@ -46,6 +47,17 @@ def save_bucketed(pixels: DataFrame, table: str, buckets: int, instant: str = "t
     writer.saveAsTable(table)
 
 
+def save_by_patch(pixels: DataFrame, table: str, buckets: int, instant: str = "ts") -> None:
+    """Save a pixel table in the catalog, by month and in buckets of patches.
+
+    Optical and cloud pixels saved so with equal buckets are linked, composed and summed over the zones
+    of closed patches without a shuffle (`session.SETTINGS` let them). For runs of statistics.
+    """
+    laid_out = with_squares(pixels).withColumn(MONTH, month_of(F.col(instant)))
+    writer = laid_out.repartition(buckets, *PATCH).write.partitionBy(MONTH)
+    writer.bucketBy(buckets, *PATCH).sortBy(*PATCH).saveAsTable(table)
+
+
 def in_window(frame: DataFrame, instant: str, start: date, end: date) -> DataFrame:
     """Rows with `instant` in [start, end); a table stored by month is pruned to the months of it."""
     rows = frame.filter(half_open(F.col(instant), start, end))
@@ -57,5 +69,7 @@ def in_window(frame: DataFrame, instant: str, start: date, end: date) -> DataFra
 
 
 def layout_columns(frame: DataFrame) -> list[str]:
-    """The place columns of a stored table; a scan keeps them for the bounds to prune by."""
-    return [c for c in (*TILE, *BLOCK) if c in frame.columns]
+    """The place columns of a stored table; a scan keeps them for the bounds to prune by, and patches
+    for what follows to find its rows dealt.
+    """
+    return [c for c in (*TILE, *BLOCK, *PATCH) if c in frame.columns]

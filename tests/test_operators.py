@@ -13,6 +13,7 @@ from terraloom.operators import medians, observations, optical, periods, radar,
 from terraloom.operators.bounds import bounds_of, with_block
 from terraloom.operators.worklist import pending, with_quarters
 from terraloom.config import AnalysisConfig
+from terraloom.session import CO_PARTITION, SETTINGS
 from terraloom.sources import layout, scans
 from terraloom.sources.grids import Grid, read_grid
 
@@ -441,6 +442,46 @@ def test_bucketed_scenes_join_without_a_shuffle(spark):
             spark.sql(f"drop table {name}")
 
 
+def test_pixels_saved_by_patch_are_composed_without_a_shuffle(spark):
+    rng = random.Random(9)
+    pixels = [
+        (f"s{d}", datetime(2021, 1, 1 + d), x, y, rng.randrange(90), rng.randrange(90))
+        for d in range(4) for x in range(-3, 20) for y in range(5) if rng.random() < 0.8
+    ]
+    scores = [(s, at, x, y, rng.random()) for s, at, x, y, _, _ in pixels if rng.random() < 0.9]
+    tables = [
+        spark.createDataFrame(pixels, PIXEL),
+        spark.createDataFrame(scores, "scene_id string, ts timestamp_ntz, cell_x bigint, cell_y bigint, cs_cdf double"),
+    ]
+    names = [f"patched_{kind}_{random.randrange(10**9)}" for kind in ("optical", "cloud")]
+    for frame, name in zip(tables, names, strict=True):
+        layout.save_by_patch(frame, name, 4)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", CO_PARTITION: SETTINGS[CO_PARTITION]}
+    kept = {key: spark.conf.get(key) for key in settings}
+    config, bands = AnalysisConfig(start=date(2021, 1, 1), end=date(2021, 2, 1)), ["b1", "b2"]
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+
+        def composite(optical_pixels, cloud_pixels):
+            optical_pixels = optical_pixels.withColumn("mgrs_tile", F.lit("T"))
+            clear = optical.clear_pixels(
+                scans.scan_optical(optical_pixels, config, bands), scans.scan_cloud(cloud_pixels, config), bands, 0.4
+            )
+            dated = clear.withColumns({"dd": F.to_date("ts"), "period_start": F.lit(START)})
+            return optical.medoid(optical.daily_stack(dated, bands), bands)
+
+        stored = composite(*map(spark.table, names))
+        physical = plan_text(stored).split("== Physical Plan ==")[-1]
+        assert "SortMergeJoin" in physical and "Exchange" not in physical
+        assert sorted(map(str, stored.collect())) == sorted(map(str, composite(*tables).collect())) != []
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+        for name in names:
+            spark.sql(f"drop table {name}")
+
+
 def test_period_join_is_a_hash_join(spark):
     scenes = spark.createDataFrame(
         [("in", datetime(2021, 1, 8, 23)), ("next", datetime(2021, 1, 9)), ("out", datetime(2022, 6, 1))],

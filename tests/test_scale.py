@@ -72,6 +72,14 @@ def test_zones_of_one_patch_are_not_shuffled(spark):
     assert sorted(len(found) for found in moved) == [0, 2], moved
 
 
+def test_unfolded_pixels_are_composed_where_their_rows_were_dealt(spark):
+    for name in ("q_zonal_stats", "q_local_stats"):
+        dealt = below(physical(spark, name), "Exchange hashpartitioning(patch_x")
+        # Items are dealt by patch before they unfold; their pixels are not dealt again.
+        assert any("l_extendedprice" in part for part in dealt)
+        assert not any("l_extendedprice" in part and "explode(" in part for part in dealt)
+
+
 def test_needed_cells_meet_the_pixels_without_a_shuffle(spark):
     lines = physical(spark, "q_export_select").splitlines()
     assert not [x for x in lines if "LeftSemi" in x and "period_start" in x]

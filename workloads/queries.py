@@ -521,7 +521,7 @@ def q_scene_dates(spark, sf):
 
 
 def _statistics(spark, sf, scale):
-    ins = standins.inputs(spark, sf)
+    ins = standins.inputs_by_place(spark, sf)
     zones = standins.bridge(spark, sf).filter(F.col("scale") == scale)
     bounds, found = bounds_of(zones), avail.periods_of(ins, CONFIG)
     clear = avail.clear_rows(ins, bounds, found, CONFIG)

@@ -7,6 +7,7 @@ hourly weather. `FIXTURES.md` gives the reasons; `oracle.py` spells the same tab
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 from functools import wraps
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from terraloom.config import AnalysisConfig
 from terraloom.operators.stations import with_pixel_id
+from terraloom.operators.zonal import PATCH, PATCH_SHIFT
 from terraloom.plans.inputs import Inputs, Places
 from terraloom.schemas import OPTICAL_BANDS
 from terraloom.session import CO_PARTITION, SETTINGS
@@ -82,16 +84,26 @@ def _tasks(spark: SparkSession, sf_dir: str, name: str) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
 
 
-def _dealt(spark: SparkSession, sf_dir: str, name: str, scene: Column) -> DataFrame:
+def _dealt(
+    spark: SparkSession, sf_dir: str, name: str, scene: Column, place: Column | None = None
+) -> DataFrame:
     """A table whose rows unfold into pixels, dealt out by `scene_id` as a bucketed pixel table is.
 
     A file may be one split, so rows have to be dealt anyway. By scene, joins and aggregations that
-    have it among their keys need no shuffle of the unfolded rows.
+    have it among their keys need no shuffle of the unfolded rows. With `place`, the `cell_x` of a
+    row's pixels, it is dealt by patch instead, into no fewer tasks than other shuffles by patch make:
+    those then follow it.
     """
     # A join takes rows dealt by a part of its keys only if the session allows it.
     spark.conf.set(CO_PARTITION, SETTINGS[CO_PARTITION])
     keyed = table(spark, sf_dir, name).withColumn("scene_id", scene)
-    return keyed.repartition(_tasks(spark, sf_dir, name), "scene_id")
+    tasks = _tasks(spark, sf_dir, name)
+    if place is None:
+        return keyed.repartition(tasks, "scene_id")
+    # Rows reach from `cell_y` 0 to 3. A plain 0 would be folded into the joins and leave their keys.
+    squares = [F.shiftright(c, PATCH_SHIFT) for c in (place, place * 0)]
+    placed = keyed.withColumns(dict(zip(PATCH, squares, strict=True)))
+    return placed.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), *PATCH)
 
 
 def _pixels(frame: DataFrame) -> DataFrame:
@@ -100,19 +112,25 @@ def _pixels(frame: DataFrame) -> DataFrame:
     return frame.withColumn("cell_y", F.explode(cells))
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their scene id, dealt out by it before a row unfolds into pixels."""
+def _patch(pixels: DataFrame) -> list[str]:
+    """The patch, if rows were dealt by it."""
+    return [c for c in PATCH if c in pixels.columns]
+
+
+def _items(spark: SparkSession, sf_dir: str, by_place: bool) -> DataFrame:
+    """Line items with their scene id, dealt out by it or by place before a row unfolds into pixels."""
     cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
     quantity = F.col("l_quantity").cast("bigint")
     keys = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
     scene = F.concat_ws("-", *[part.cast("string") for part in (*keys, cents, quantity)])
-    return _dealt(spark, sf_dir, "lineitem", scene).withColumns(
+    place = F.col("l_suppkey") if by_place else None
+    return _dealt(spark, sf_dir, "lineitem", scene, place).withColumns(
         {"price": F.floor("l_extendedprice").cast("bigint"), "quantity": quantity}
     )
 
 
 @once
-def optical_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def optical_pixels(spark: SparkSession, sf_dir: str, by_place: bool = False) -> DataFrame:
     price, quantity = F.col("price"), F.col("quantity")
     bands = {
         b: ((price * p + F.col("cell_y") * c + quantity * q) % 10000).cast("int")
@@ -120,7 +138,9 @@ def optical_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     masked = (F.col("l_partkey") + F.col("cell_y")) % 5 == 0
     bands["b5"] = F.when(~masked, bands["b5"])
-    return _pixels(_items(spark, sf_dir)).select(
+    pixels = _pixels(_items(spark, sf_dir, by_place))
+    return pixels.select(
+        *_patch(pixels),
         "scene_id",
         F.col("l_shipdate").alias("ts"),
         F.col("l_partkey").cast("string").alias("mgrs_tile"),
@@ -131,10 +151,11 @@ def optical_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @once
-def cloud_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cloud_pixels(spark: SparkSession, sf_dir: str, by_place: bool = False) -> DataFrame:
     """Ten times the discount; an undiscounted item has no cloud score at all."""
-    scored = _items(spark, sf_dir).filter(F.col("l_discount") > 0)
-    return _pixels(scored).select(
+    pixels = _pixels(_items(spark, sf_dir, by_place).filter(F.col("l_discount") > 0))
+    return pixels.select(
+        *_patch(pixels),
         "scene_id",
         F.col("l_shipdate").alias("ts"),
         F.col("l_suppkey").alias("cell_x"),
@@ -295,6 +316,16 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     )
 
 
+@once
+def inputs_by_place(spark: SparkSession, sf_dir: str) -> Inputs:
+    """The same tables with optical and cloud pixels dealt by patch, as `layout.save_by_patch` has them."""
+    return replace(
+        inputs(spark, sf_dir),
+        optical_pixels=optical_pixels(spark, sf_dir, True),
+        cloud_pixels=cloud_pixels(spark, sf_dir, True),
+    )
+
+
 @once
 def places(spark: SparkSession, sf_dir: str) -> Places:
     return Places(
